@@ -5,12 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_weighted_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import mixing
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.schedule(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_shard_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import sharding
+
+    placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+#: The production rules of the URL filter.
+URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
+
+
+def op4_url_rarest_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import url_filter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_pages(pages, [url_filter.parse(r) for r in URL_RULES])
+
+
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import html_extract
+
+    return html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_quality_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import quality_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import bpe
 
@@ -18,8 +59,29 @@ def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_weighted_fair": op1_mix_weighted_fair,
+    "op2_shard_two_pass": op2_shard_two_pass,
+    "op4_url_rarest_token": op4_url_rarest_token,
+    "op6_html_template": op6_html_template,
+    "op7_quality_risk_controlled": op7_quality_risk_controlled,
     "op10_bpe_speculate_verify": op10_bpe_speculate_verify,
 }
 
 #: Twins of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_rarest_token": r"""
+WITH parts AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""",
+}
