@@ -27,6 +27,12 @@ def op2_shard_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op3_near_minhash_icws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import minhash
+
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key")
+
+
 #: The production rules of the URL filter.
 URL_RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
 
@@ -38,6 +44,12 @@ def op4_url_rarest_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(pages, [url_filter.parse(r) for r in URL_RULES])
 
 
+def op5_embedding_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import embed_dedup
+
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import html_extract
 
@@ -61,7 +73,9 @@ def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_weighted_fair": op1_mix_weighted_fair,
     "op2_shard_two_pass": op2_shard_two_pass,
+    "op3_near_minhash_icws": op3_near_minhash_icws,
     "op4_url_rarest_token": op4_url_rarest_token,
+    "op5_embedding_cover_tree": op5_embedding_cover_tree,
     "op6_html_template": op6_html_template,
     "op7_quality_risk_controlled": op7_quality_risk_controlled,
     "op10_bpe_speculate_verify": op10_bpe_speculate_verify,
