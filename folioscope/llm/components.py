@@ -17,8 +17,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) to (node, component): component is the least node reachable; only nodes with an edge to another."""
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "cc")
-    state = None
-    for _ in range(rounds):
+    state = _state(links)
+    for _ in range(rounds if state[0] else 0):
         # large star: the neighbours above a node move to its least neighbour
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,11 +30,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = large.join(least, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         links = materialize(small, "cc")
-        now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        now = (now["n"], now["s"])
+        now = _state(links)
         if now == state:
             break
         state = now
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def _state(links: DataFrame) -> tuple:
+    row = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], row["s"]

@@ -64,6 +64,13 @@ def op7_quality_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
+def op8_substring_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import substring_dedup
+
+    done = substring_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return done.select("doc_id", "text", F.col("removed_words__").alias("removed_words"), F.col("removed__").alias("removed_spans"), F.col("firsts__").alias("first_doc_ids"))
+
+
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import bpe
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_cover_tree": op5_embedding_cover_tree,
     "op6_html_template": op6_html_template,
     "op7_quality_risk_controlled": op7_quality_risk_controlled,
+    "op8_substring_gear_chunks": op8_substring_gear_chunks,
     "op10_bpe_speculate_verify": op10_bpe_speculate_verify,
 }
 
