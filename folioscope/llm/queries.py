@@ -71,6 +71,14 @@ def op8_substring_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.col("removed_words__").alias("removed_words"), F.col("removed__").alias("removed_spans"), F.col("firsts__").alias("first_doc_ids"))
 
 
+def op9_quality_cotrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import quality_classifier
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = quality_classifier.score(docs.select("doc_id", "text", "lang", "source"), labels)
+    return scored.select("doc_id", F.col("quality_score__").alias("score"), F.col("kept__").alias("kept"))
+
+
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import bpe
 
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_template": op6_html_template,
     "op7_quality_risk_controlled": op7_quality_risk_controlled,
     "op8_substring_gear_chunks": op8_substring_gear_chunks,
+    "op9_quality_cotrained": op9_quality_cotrained,
     "op10_bpe_speculate_verify": op10_bpe_speculate_verify,
 }
 

@@ -35,6 +35,8 @@ from folioscope.llm.words import Text, slices, text_of
 WINDOW, CUT = 16, (1 << 16) // 5
 #: Words of consecutive repeated chunks from which on they are removed.
 MIN_WORDS = 16
+#: A chunk ends after so many words, as in a text that says one word over and over.
+MAX_WORDS = 32
 _GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -59,6 +61,8 @@ def chunks(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     far = text.starts - own >= WINDOW
     cut = far & ((h[np.maximum(text.starts - 1, 0)] >> np.uint32(16)) < CUT)
     first = np.flatnonzero(new | cut)
+    run = np.arange(len(cut)) - first[np.searchsorted(first, np.arange(len(cut)), "right") - 1]
+    first = np.flatnonzero(new | cut | (run % MAX_WORDS == 0))
     after = np.append(first[1:], len(text.starts))
     digest = text.hashes(text.starts[first], text.ends[after - 1]).view(np.int64)
     begin = np.where(new[first], own[first], text.starts[first])
