@@ -100,13 +100,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = occurrences(docs, id_col, text_col)
     later = found.join(again, "digest").filter("struct(doc_id, version, at) <> first")
     later = later.select("doc_id", "version", "at", "words", F.col("first.doc_id").alias("origin"))
-    lists = later.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("at", "words", "origin"))).alias("later"))
-    # runs of consecutive chunks: at minus its rank is the same within one
-    runs = "transform(later, (c, i) -> struct(c.at - i AS run, c.at AS at, c.words AS words, c.origin AS origin))"
-    lists = lists.withColumn("later", F.expr(runs))
-    heavy = f"filter(array_distinct(transform(later, c -> c.run)), r -> aggregate(filter(later, c -> c.run = r), 0L, (s, c) -> s + c.words) >= {MIN_WORDS})"
-    lists = lists.withColumn("heavy", F.expr(heavy)).filter("size(heavy) > 0").withColumn("later", F.expr("filter(later, c -> array_contains(heavy, c.run))"))
-    return lists.select("doc_id", "version", F.expr("transform(later, c -> c.at)").alias("chunks"), F.expr("array_sort(array_distinct(transform(later, c -> c.origin)))").alias("firsts"))
+    lists = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "words", "origin"))).alias("later"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            flat, cuts = column.flatten(), np.append(0, np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)))
+            at, words = flat.field("at").to_numpy(), flat.field("words").to_numpy()
+            own = np.repeat(np.arange(len(column)), np.diff(cuts))
+            new = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(words.astype(np.int64), first) if len(first) else first
+            heavy = np.repeat(total >= MIN_WORDS, np.diff(np.append(first, len(at))))
+            left = np.flatnonzero(heavy)
+            bounds = pa.array(np.searchsorted(left, cuts), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, flat.field(c).take(pa.array(left))) for c in ("at", "origin")]
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "version", "chunks", "firsts"])
+            yield out.filter(pa.array(np.diff(np.searchsorted(left, cuts)) > 0))
+
+    found = lists.mapInArrow(run, f"doc_id {kind}, version long, chunks array<int>, firsts array<{kind}>")
+    return found.withColumn("firsts", F.array_sort(F.array_distinct("firsts")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
