@@ -70,11 +70,12 @@ def offsets(text: Column, pattern: str) -> Column:
 
 def scan(text: Column, order: str = "dmy", current_year: int = 2026) -> Column:
     """T6. Array of (at, kind, iso) of all dates of a text."""
-    hits = []
-    for kind, pattern in enumerate(CLASSES):
-        found = F.transform(offsets(text, pattern), lambda h, kind=kind: F.struct(h["at"].alias("at"), F.lit(kind).alias("kind"), _parts(kind, h["match"], order, current_year).alias("iso")))
-        hits.append(F.filter(found, lambda h: h["iso"].isNotNull()))
-    return F.concat(*hits)
+    return F.concat(*[_hits(text, kind, order, current_year) for kind in range(len(CLASSES))])
+
+
+def _hits(text: Column, kind: int, order: str, current_year: int) -> Column:
+    read = lambda h: F.struct(h["at"].alias("at"), F.lit(kind).alias("kind"), _parts(kind, h["match"], order, current_year).alias("iso"))
+    return F.filter(F.transform(offsets(text, CLASSES[kind]), read), lambda h: h["iso"].isNotNull())
 
 
 def extract_date(text: Column, order: str = "dmy", select: str = "first", current_year: int = 2026) -> Column:

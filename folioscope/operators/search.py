@@ -190,15 +190,22 @@ def leaves(node: Leaf | Node) -> list[Leaf]:
 
 def _starts(leaf: Leaf, terms: dict[str, Column], prefixed: Column | None) -> Column:
     """Positions at which a phrase begins, from the positions of its words."""
-    lists = [terms[w] for w in leaf.words]
-    if leaf.prefix:
-        lists[-1] = prefixed
+    lists = [prefixed if leaf.prefix and k == len(leaf.words) - 1 else terms[w] for k, w in enumerate(leaf.words)]
     first = lists[0]
     for k, later in enumerate(lists[1:], start=1):
-        first = F.filter(first, lambda p, later=later, k=k: F.array_contains(later, p + k))
+        first = _followed(first, later, k)
     return first
 
 
+def _followed(first: Column, later: Column, by: int) -> Column:
+    return F.filter(first, lambda p: F.array_contains(later, p + by))
+
+
+def _close(first: Column, other: Column, width: int, other_width: int, near: int) -> Column:
+    """Places of ``first`` from whose phrase to one of ``other`` lie at most ``near`` words, in any order."""
+    return F.filter(first, lambda p: F.exists(other, lambda q: F.greatest(q - (p + width), p - (q + other_width)) <= near))
+
+
 def _hits(posts: DataFrame, leaf: Leaf) -> DataFrame:
     """(document_id, tf, starts) of the documents that a leaf matches."""
     phrases = leaf.parts or (leaf,)
@@ -220,11 +227,7 @@ def _hits(posts: DataFrame, leaf: Leaf) -> DataFrame:
     if leaf.near is not None:
         first, width = starts[0], [len(p.words) for p in phrases]
         for k in range(1, len(phrases)):
-            # between the end of one and the begin of the other lie at most `near` words
-            first = F.filter(
-                first,
-                lambda p, k=k: F.exists(starts[k], lambda q, p=p: F.greatest(q - (p + width[0]), p - (q + width[k])) <= leaf.near),
-            )
+            first = _close(first, starts[k], width[0], width[k], leaf.near)
         starts = [first]
     out = grouped.select("document_id", starts[0].alias("starts"))
     return out.select("document_id", F.size("starts").cast("long").alias("tf"), "starts").filter("tf > 0")
