@@ -4,8 +4,8 @@ A gear hash rolls over the bytes of a text; a word whose preceding ``WINDOW`` by
 hash below ``CUT`` begins a new chunk.  As a cut depends on those bytes only, chunks
 line up again right after an insertion, and a passage is cut alike wherever it stands.
 Chunks are known by the digest of their words.  The first chunk of a digest - by doc_id,
-then place - stays; later ones are repeats.  Where consecutive repeats of one document
-make up ``MIN_WORDS`` words or more, they are removed.
+then place - stays; later ones are repeats.  Where a run of repeats has ``MIN_WORDS``
+words or more that follow each other in one earlier place too, it is removed.
 
 Counting and finding first places is one pre-aggregated minimum over digests; the join
 back deals the chunks out by digest, where a chunk that a third of all documents hold
@@ -33,8 +33,8 @@ from folioscope.llm.words import Text, slices, text_of
 
 #: Bytes that decide about a cut, and the share of words that begin a chunk, of 2**16.
 WINDOW, CUT = 16, (1 << 16) // 5
-#: Words of consecutive repeated chunks from which on they are removed.
-MIN_WORDS = 16
+#: Words of repeated chunks in the order of one other place from which on they are removed.
+MIN_WORDS = 12
 #: A chunk ends after so many words, as in a text that says one word over and over.
 MAX_WORDS = 32
 _GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -99,8 +99,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
     found = occurrences(docs, id_col, text_col)
     later = found.join(again, "digest").filter("struct(doc_id, version, at) <> first")
-    later = later.select("doc_id", "version", "at", "words", F.col("first.doc_id").alias("origin"))
-    lists = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "words", "origin"))).alias("later"))
+    later = later.select("doc_id", "version", "at", "words", F.col("first.doc_id").alias("origin"), F.col("first.at").alias("origin_at"))
+    lists = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "words", "origin", "origin_at"))).alias("later"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,11 +109,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             flat, cuts = column.flatten(), np.append(0, np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)))
             at, words = flat.field("at").to_numpy(), flat.field("words").to_numpy()
             own = np.repeat(np.arange(len(column)), np.diff(cuts))
-            new = np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            total = np.add.reduceat(words.astype(np.int64), first) if len(first) else first
-            heavy = np.repeat(total >= MIN_WORDS, np.diff(np.append(first, len(at))))
-            left = np.flatnonzero(heavy)
+            left = np.flatnonzero(_aligned(own, at, words, flat.field("origin").dictionary_encode().indices.fill_null(-1).to_numpy(), flat.field("origin_at").to_numpy()))
             bounds = pa.array(np.searchsorted(left, cuts), pa.int32())
             lists = [pa.ListArray.from_arrays(bounds, flat.field(c).take(pa.array(left))) for c in ("at", "origin")]
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "version", "chunks", "firsts"])
@@ -123,6 +119,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.withColumn("firsts", F.array_sort(F.array_distinct("firsts")))
 
 
+def _aligned(own: np.ndarray, at: np.ndarray, words: np.ndarray, origin: np.ndarray, origin_at: np.ndarray) -> np.ndarray:
+    """Which repeated chunks go: those of a run from the first to the last that stand in one other
+    place in the same order, or are one chunk said over and over, if these have ``MIN_WORDS`` words.  Short common chunks that happen
+    to be known from here and there neither make a run nor lengthen one."""
+    if not len(at):
+        return np.zeros(0, bool)
+    run = np.cumsum(np.append(True, (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)))
+    edge = np.zeros(len(at) + 1, np.int64)
+    for place in (origin_at.astype(np.int64) - at, origin_at.astype(np.int64)):  # in the same order; or one chunk over and over
+        _, group = np.unique(np.stack([run, origin.astype(np.int64), place]), axis=1, return_inverse=True)
+        group = group.ravel()
+        heavy = np.bincount(group, weights=words) >= MIN_WORDS
+        first, last = np.full(len(heavy), len(at)), np.full(len(heavy), -1)
+        np.minimum.at(first, group, np.arange(len(at)))
+        np.maximum.at(last, group, np.arange(len(at)))
+        np.add.at(edge, first[heavy], 1)
+        np.add.at(edge, last[heavy] + 1, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """``docs`` without the repeated passages in its texts; a column ``n_chars`` is kept true.
 
