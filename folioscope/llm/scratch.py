@@ -35,6 +35,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, per: int = 1_000_000, least: int = 8) -> DataFrame:
+    """``df`` in no more tasks than so many rows need: a shuffle of a small table ends in few tasks, of a large one in as many as before."""
+    return df.coalesce(max(least, rows // per + 1))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, lengthened until no column is called so in any letter case."""
     taken = {c.lower() for c in columns}
