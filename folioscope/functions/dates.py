@@ -90,9 +90,10 @@ def extract_date(text: Column, order: str = "dmy", select: str = "first", curren
 def date_for_rule(text: Column, date_regex: str | None = None, select: str | None = None, order: str = "dmy", current_year: int = 2026) -> Column:
     """T11. (iso, source): the first capture of the rule's expression that holds a date, else the selected date."""
     chosen = extract_date(text, order, select or "first", current_year)
-    fallback = F.when(chosen.isNotNull(), F.struct(chosen.alias("iso"), F.lit(select or "first").alias("source")))
+    one = F.array(F.struct(chosen.alias("iso"), F.lit(select or "first").alias("source")))
+    fallback = F.get(F.filter(one, lambda d: d["iso"].isNotNull()), F.lit(0))
     if date_regex is None:
         return fallback
     captures = F.regexp_extract_all(text, F.lit("(?i)" + date_regex), F.lit(1))
-    parsed = F.filter(F.transform(captures, lambda c: extract_date(c, order, "first", current_year)), lambda d: d.isNotNull())
-    return F.when(F.size(parsed) > 0, F.struct(F.get(parsed, F.lit(0)).alias("iso"), F.lit("rule-regex").alias("source"))).otherwise(fallback)
+    parsed = F.transform(captures, lambda c: F.struct(extract_date(c, order, "first", current_year).alias("iso"), F.lit("rule-regex").alias("source")))
+    return F.coalesce(F.get(F.filter(parsed, lambda d: d["iso"].isNotNull()), F.lit(0)), fallback)

@@ -33,13 +33,15 @@ def render_name(template: str, fields: Mapping[str, Column], ascii_only: bool =
             raise ConfigError(f"template: unknown field {{{name}}}")
     if any(c in p for p in pieces[0::2] for c in "/\\"):
         raise ConfigError("template renders a path, not a file name")
-    out, pending = F.lit(""), F.lit("")
-    for literal, name in zip(pieces[0::2], pieces[1::2], strict=False):
-        pending = F.concat(pending, F.lit(literal))
-        value = sanitize_component(fields[name], ascii_only)
-        there = F.length(value) > 0
-        out, pending = F.when(there, F.concat(out, F.when(F.length(out) > 0, pending).otherwise(F.lit("")), value)).otherwise(out), F.lit("")
-    return F.trim(F.when(F.length(out) > 0, F.concat(out, pending, F.lit(pieces[-1]))).otherwise(out))
+    parts = [F.struct(F.lit(literal).alias("before"), sanitize_component(fields[name], ascii_only).alias("value")) for literal, name in zip(pieces[0::2], pieces[1::2], strict=False)]
+    if not parts:
+        return F.lit("")
+
+    def add(out: Column, part: Column) -> Column:
+        between = F.when(F.length(out) > 0, part["before"]).otherwise("")
+        return F.when(F.length(part["value"]) > 0, F.concat(out, between, part["value"])).otherwise(out)
+
+    return F.trim(F.aggregate(F.array(*parts), F.lit(""), add, lambda out: F.when(F.length(out) > 0, F.concat(out, F.lit(pieces[-1]))).otherwise("")))
 
 
 def parent(path: Column) -> Column:
@@ -74,11 +76,12 @@ def inside_root(path: Column) -> Column:
 def targets(rows: DataFrame, template: str = DEFAULT_TEMPLATE, ascii_only: bool = False) -> DataFrame:
     """T16. Adds name, target_path, target_key and collision suffix to rows with rel_path, sha256, folder and the four fields."""
     name = render_name(template, {c: F.col(c) for c in ("doc_date", "party", "doc_type", "detail")}, ascii_only)
+    rows = rows.withColumn("name", name)
     place = F.coalesce(F.when(F.length("folder") > 0, F.col("folder")), parent(F.col("rel_path")))
     place = F.when(place == ".", "").otherwise(place)
     under = lambda n: F.when(F.length("place") > 0, F.concat_ws("/", "place", n)).otherwise(n)
     end = F.coalesce(suffix(F.col("rel_path")), F.lit(""))
-    out = rows.withColumn("name", name).withColumn("place", place).withColumn("end__", end)
+    out = rows.withColumn("place", place).withColumn("end__", end)
     out = out.withColumn("target_path", under(F.concat("name", "end__")))
     out = out.withColumn("suffix6", collision_suffix(F.col("sha256"))).withColumn("suffixed_path", under(F.concat("name", F.lit("_"), "suffix6", "end__")))
     return out.withColumn("target_key", F.lower("target_path")).drop("end__")

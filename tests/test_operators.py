@@ -124,8 +124,10 @@ def test_paths(spark):
 
 def test_claims_fold_and_window(spark):
     rng = random.Random(5)
-    rows = [(k, f"{rng.getrandbits(256):064x}", f"in/{k}.pdf", rng.choice(["f", "g"]), rng.choice("abc"), rng.random() < 0.2, False) for k in range(60)]
-    rows[7] = (7, None, "f/a.pdf", "f", "a", False, False)
+    places = [(rng.choice(["f", "g"]), rng.choice("abc")) for _ in range(60)]
+    disk = {("f", "a"), ("g", "c")}  # f/a.pdf is document 7 itself
+    rows = [(k, f"{rng.getrandbits(256):064x}", f"in/{k}.pdf", *p, p in disk, False) for k, p in enumerate(places)]
+    rows[7] = (7, None, "f/a.pdf", "f", "a", True, False)
     df = spark.createDataFrame(rows, "document_id long, sha256 string, rel_path string, folder string, party string, on_disk boolean, suffixed_on_disk boolean")
     targets = plan.targets(df.withColumns({c: F.lit(None).cast("string") for c in ("doc_date", "doc_type", "detail")}), "{party}")
     fold = sorted((r.document_id, r.status, r.final_path, r.claimed_by) for r in plan.claims(targets).collect())
