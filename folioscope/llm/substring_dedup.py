@@ -85,11 +85,11 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(docs[id_col].alias("doc_id"), version(docs[text_col]).alias("version"), docs[text_col].alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, version long, at int, words int, digest long")
+    return rows.mapInArrow(run, f"doc_id {kind}, version int, at int, words int, digest long")
 
 
 def version(text):
-    return F.xxhash64(text)
+    return F.hash(text)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "version", "chunks", "firsts"])
             yield out.filter(pa.array(np.diff(np.searchsorted(left, cuts)) > 0))
 
-    found = lists.mapInArrow(run, f"doc_id {kind}, version long, chunks array<int>, firsts array<{kind}>")
+    found = lists.mapInArrow(run, f"doc_id {kind}, version int, chunks array<int>, firsts array<{kind}>")
     return found.withColumn("firsts", F.array_sort(F.array_distinct("firsts")))
 
 
