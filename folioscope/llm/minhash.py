@@ -10,10 +10,13 @@ similarity; ``ROWS`` samples make a band, and texts that share a band are candid
 * The weight of a shingle lies between 1 and 1.5, so words that very many copies share
   weigh less than rare ones but cannot hide that the copies are alike.
 * Texts that are equal are one node from the start, by digest.
-* In a band's bucket every node is compared with the bucket's hub - the node whose
-  bands are shared most - not with every other: as many pairs as members, at any size.
-  Members that are not like the hub meet again, among themselves, by pairs of bands,
-  then by triples, each time with the hubs of the smaller buckets.
+* In a band's bucket every node is first compared with the bucket's hub, the node whose
+  bands are shared most: as many pairs as members.
+* Then every pair of a bucket's nodes that these links leave in different classes is
+  compared, block against block of ``BLOCK`` nodes: no pair that shares a band is left
+  out unless its two nodes are in one class already.  Nodes of a bucket's largest class
+  meet the others only, so what is sent and compared grows with the others.  A bucket of
+  several blocks first has each block compared within itself, which joins most.
 * Candidates are verified by their exact weighted Jaccard similarity over whole texts.
 
 Classes are the connected components of the links; a class's id is its smallest
@@ -37,8 +40,8 @@ from folioscope.llm.words import SHINGLE, Text, distinct, mix, slices, text_of
 
 HASHES, ROWS = 36, 3
 SIMILARITY = 0.8
-#: Hubs of a bucket with which its members are compared: buckets of bands, of pairs of bands, of triples.
-HUBS = (1, 2, 4)
+#: Nodes of a bucket in a block, about; blocks are compared in tasks of their own.
+BLOCK = 128
 #: Slots of document frequencies, and pieces in which they are summed.
 SLOTS, PIECES = 1 << 18, 64
 #: How much more the rarest shingle weighs than one that all documents have.
@@ -202,15 +205,94 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, least: float
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, like boolean")
 
 
-def _combined(held: DataFrame, n: int) -> DataFrame:
-    """(key, bucket) of every ``n`` bands of a node together."""
-    lists = held.groupBy("key").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    out = lists.select("key", "bands", F.posexplode("bands").alias("at", "one")).select("key", "bands", "at", F.col("one").alias("bucket"))
-    for _ in range(n - 1):
-        later = F.expr("slice(bands, at + 2, size(bands))")
-        out = out.select("key", "bands", "at", "bucket", F.posexplode(later).alias("step", "one"))
-        out = out.select("key", "bands", (F.col("at") + F.col("step") + 1).alias("at"), F.xxhash64("bucket", "one").alias("bucket"))
-    return out.select("key", "bucket")
+def block_links(comp: np.ndarray, side: np.ndarray, texts: list[bytes], weights: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links that join all components some pair of texts is alike across; of two sides, only pairs across them are compared."""
+    doc, key, tf = shingles(text_of(texts))
+    weight = tf * weights[slot(key)].astype(np.float64)
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    own, total = doc[starts], np.add.reduceat(weight, starts) if len(doc) else np.zeros(0)
+    ends = np.append(starts[1:], len(doc))
+    words, at = np.unique(key, return_inverse=True)
+    dense = np.zeros(len(words))
+    comp, side = np.unique(comp, return_inverse=True)[1][own], side[own]
+    largest = comp == np.bincount(comp).argmax() if len(comp) else np.zeros(0, bool)
+    two = len(np.unique(side)) > 1
+    # each pair once: of two sides from the first; of one from nodes outside the largest component, to that and to later ones
+    ask = np.flatnonzero(side == side.min() if two else ~largest) if len(comp) else []
+    target = side != side.min() if two else np.ones(len(comp), bool)
+    out = []
+    for i in ask:
+        if not two:
+            target[i] = False
+        open_ = target & (comp != comp[i])
+        if not open_.any():
+            continue
+        mine = slice(starts[i], ends[i])
+        dense[at[mine]] = weight[mine]
+        shared = np.add.reduceat(np.minimum(weight, dense[at]), starts)
+        dense[at[mine]] = 0
+        for j in np.flatnonzero(open_ & (shared / (total + total[i] - shared) >= least)):
+            if comp[j] != comp[i]:
+                out.append((int(own[i]), int(own[j])))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _open(left: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
+    """(key, bucket, comp, main, others, most) of buckets with nodes in several components; of buckets with equal nodes, one.
+
+    ``main`` is the largest component of the bucket with ``most`` nodes; ``others`` counts the rest.
+    """
+    held = left.select("key", "bucket").join(groups.select(F.col("node").alias("key"), "component"), "key", "left")
+    held = materialize(few(held.select("key", "bucket", F.coalesce("component", "key").alias("comp")), rows), "mh-held")
+    print_ = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"p{k}") for k in (1, 2)]
+    per = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), *print_)
+    whole = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
+    whole = few(whole, rows).filter("comps > 1").groupBy("p1", "p2", "all").agg(F.min(F.struct("bucket", "top")).alias("one"))
+    whole = few(whole, rows).select("one.bucket", F.col("one.top.comp").alias("main"), (F.col("all") - F.col("one.top.n")).alias("others"), F.col("one.top.n").alias("most"))
+    return materialize(few(held.join(whole, "bucket"), rows).select("key", "bucket", "comp", "main", "others", "most"), "mh-open")
+
+
+def resolve(opened: DataFrame, texts: DataFrame, weights: np.ndarray, least: float, all_blocks: bool) -> DataFrame:
+    """(a, b): links between the components of each bucket of ``_open``, by all pairs of its blocks or only by one or two for each block."""
+    sent = opened.sparkSession.sparkContext.broadcast(weights)
+    single = F.col("others") + F.col("most") <= BLOCK
+    parts = opened.withColumn("nb", F.when(single, 1).otherwise(F.ceil(F.col("others") / BLOCK)).cast("int")).withColumn("mb", F.when(single, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int"))
+    parts = parts.withColumn("is_main", (F.col("mb") > 0) & (F.col("comp") == F.col("main")))
+    parts = parts.withColumn("mine", F.expr("cast(if(is_main, nb + pmod(xxhash64(key), mb), pmod(xxhash64(key), nb)) as int)"))
+    if all_blocks:
+        partners = F.expr("if(is_main, sequence(0, nb - 1), sequence(0, nb + mb - 1))")
+    else:
+        partners = F.expr("if(is_main, filter(sequence(0, nb - 1), x -> x % mb = mine - nb), if(mb = 0, array(mine), array(mine, cast(nb + mine % mb as int))))")
+    dealt = parts.select("key", "bucket", "comp", "mine", F.explode(partners).alias("other"))
+    dealt = dealt.select("key", "bucket", "comp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    full = dealt.join(texts, "key").select("bucket", "i", "j", "key", "comp", "mine", "text")
+    full = full.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def links(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        ids: dict[bytes, int] = {}
+        comp = np.array([ids.setdefault(r[1], len(ids)) for r in rows])
+        found = block_links(comp, np.array([r[2] for r in rows]), [r[3].encode() for r in rows], sent.value, least)
+        return [(rows[i][0], rows[j][0]) for i, j in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def made(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            out = []
+            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, i, j) != now:
+                    out += links(held) if held else []
+                    now, held = (bucket, i, j), []
+                held.append(row)
+            yield made(out)
+        if held:
+            yield made(links(held))
+
+    return materialize(full.mapInArrow(run, "a binary, b binary"), "mh-links")
 
 
 def _crowded(held: DataFrame, rows: int) -> DataFrame:
@@ -231,34 +313,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     size = nodes.count()
     rows_ = size * (HASHES // ROWS)
     members = _crowded(nodes.select("key", F.explode("bands").alias("bucket")), rows_)
-    of_band = members.select("key", F.col("bucket").alias("band"))
-    wanted = of_band.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("key").alias("key__"), F.col("rep").alias("rep__"))
+    wanted = members.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("key").alias("key__"), F.col("rep").alias("rep__"))
     rows = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("rep__")) & (rows["key"] == F.col("key__"))).select("key", "text")
     texts = materialize(few(texts, size, *_PAIRS), "mh-texts")
-    edges = None
-    for depth, hubs_ in enumerate(HUBS, start=1):
-        # Spark limits the rows of each bucket before the shuffle, so a crowded one sends a few from each task
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("key")))
-        hubs = members.withColumn("place", place).filter(F.col("place") <= hubs_).select("bucket", F.col("key").alias("hub"))
-        star = materialize(few(members.join(few(hubs, rows_), "bucket").filter("key <> hub"), rows_), "mh-star")
-        ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
-        pairs = materialize(few(star.select(*ends).distinct(), rows_), "mh-pairs")
-        tried = materialize(verify(pairs, texts, weights, least), "mh-verified")
-        new = tried.filter("like").select("a", "b")
-        edges = new if edges is None else edges.union(new)
-        if depth == len(HUBS):
-            break
-        # a member that is like none of its bucket's hubs goes on, in that bucket
-        like = new.select("a", "b").union(new.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        joined = few(star.select("key", "bucket", F.col("hub")).join(like.select(F.col("a").alias("key"), F.col("b").alias("hub"), F.lit(1).alias("hit")), ["key", "hub"], "left"), rows_)
-        left = joined.groupBy("key", "bucket").agg(F.count("hit").alias("hits")).filter("hits = 0").select("key", "bucket")
-        left = materialize(few(left, rows_), "mh-left")
-        if left.isEmpty():
-            break
-        of_band = left.select("key", F.col("bucket").alias("band")) if depth == 1 else of_band.join(left.select("key").distinct(), "key", "left_semi")
-        members = _crowded(few(_combined(of_band, depth + 1), rows_), rows_)
-    groups = components(edges).withColumnRenamed("node", "node__")
+    # Spark limits the rows of each bucket before the shuffle, so a crowded one sends a few from each task
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("key")))
+    hubs = members.withColumn("place", place).filter("place = 1").select("bucket", F.col("key").alias("hub"))
+    star = materialize(few(members.join(few(hubs, rows_), "bucket").filter("key <> hub"), rows_), "mh-star")
+    ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
+    pairs = materialize(few(star.select(*ends).distinct(), rows_), "mh-pairs")
+    edges = materialize(verify(pairs, texts, weights, least), "mh-verified").filter("like").select("a", "b")
+    groups = components(edges)
+    # a hub has met all of its bucket; all others go on where their bucket is not in one component
+    opened = _open(star, groups, rows_)
+    if not opened.filter(F.col("others") + F.col("most") > BLOCK).isEmpty():
+        edges = edges.union(resolve(opened, texts, weights, least, all_blocks=False))
+        groups = components(edges)
+        opened = _open(opened, groups, rows_)
+    if not opened.isEmpty():
+        groups = components(edges.union(resolve(opened, texts, weights, least, all_blocks=True)))
+    groups = groups.withColumnRenamed("node", "node__")
     rooted = nodes.join(groups, nodes["key"] == F.col("node__"), "left").select("key", "rep", "copies", F.coalesce("component", "key").alias("root"))
     rooted = few(rooted, size)
     named = few(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), size)
