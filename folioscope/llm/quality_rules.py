@@ -1,17 +1,25 @@
 """Quality rules whose thresholds bound the risk of rejecting good documents.
 
 Each rule rejects documents beyond a cutoff of one statistic.  Cutoffs are chosen
-per stratum (language) on labelled documents: among the cutoffs of a fixed grid the
-strictest is taken whose false-rejection rate is bounded by the rule's share of
-``risk`` with an exact (Clopper-Pearson) binomial bound, at a level corrected for all
-tests made (Bonferroni over strata, rules and grid).  Where no cutoff qualifies -
-few labels, or good documents everywhere on the grid - the rule rejects nothing there.
-With probability 1 - ``delta`` all the bounds hold together, so in every stratum at
-most ``risk`` of good documents are rejected by the rules.
+per stratum (language) on labelled documents that pass the base rule:
+
+* A fixed share of the good ones, by hash of the id, and the bad ones lay out a path:
+  from no rejections on, one cutoff of one rule becomes a grid step stricter each time,
+  first where fewest good and then where most bad documents are rejected.
+* The other good ones test the path in its order.  A step holds if the rate at which
+  all rules together reject good documents is bounded by ``risk`` with an exact
+  (Clopper-Pearson) binomial bound at level ``delta`` over strata; the first step that
+  does not hold ends the path.  The path does not depend on the documents that test it,
+  so its steps need no further correction (fixed-sequence testing).
+* Strata with too few labels for any step are tested together, with one path.  If they
+  are too few even so, nothing is rejected there; likewise where no good label is.
+
+With probability 1 - ``delta`` all the bounds hold together: in every stratum, and in
+the strata tested together as a whole, at most ``risk`` of good documents are rejected.
 
 A map over whole texts computes the statistics (hashes of words and lines by numpy);
-counts for the thresholds are one aggregate over all labelled documents, of as many
-values as strata, rules and grid have.
+counts for the thresholds are one aggregate over all labelled documents, of no more
+values than strata and combinations of grid steps.
 
 Null and empty texts have no words and fail the base rule; a null language is a
 stratum; documents without a label are judged, not used; conflicting labels of a
@@ -44,6 +52,8 @@ RULES = (
     ("chars_per_word_high", "word_chars / n_words", ">", (6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0)),
 )
 RISK, DELTA = 0.02, 0.05
+#: One of so many labelled good documents lays out the path; the others test it.
+PATH_PART = 5
 
 
 def statistics(text: Text) -> list[np.ndarray]:
@@ -105,23 +115,67 @@ def _rejects(statistic: str, side: str, cutoff: float):
     return F.expr(f"n_words > 0 AND try_divide(1.0D * ({statistic.split('/')[0]}), n_words) {side} {cutoff}D")
 
 
+def _rejected(levels: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Which rows of levels (cutoffs of each rule that reject, of its whole grid) are rejected at so many steps from the loosest."""
+    return (levels + steps > np.array([len(r[3]) for r in RULES])).any(axis=1)
+
+
+def path(good: np.ndarray, n_good: np.ndarray, bad: np.ndarray, n_bad: np.ndarray) -> Iterator[np.ndarray]:
+    """Steps of all rules, ever stricter, by the levels of good and bad documents and how many have them; ends where no more bad ones are to be had."""
+    now = np.zeros(len(RULES), np.int64)
+    while True:
+        options = []
+        had = n_bad[_rejected(bad, now)].sum()
+        for i, (_, _, _, grid) in enumerate(RULES):
+            costs, gain = [], 0
+            for k in range(now[i] + 1, len(grid) + 1):
+                then = now.copy()
+                then[i] = k
+                costs.append(n_good[_rejected(good, then)].sum())
+                if costs[-1] > costs[0] and gain:
+                    break
+                gain = max(gain, n_bad[_rejected(bad, then)].sum() - had)
+            if gain:
+                options.append((costs[0], -gain, i))
+        if not options:
+            return
+        now[min(options)[2]] += 1
+        yield now.copy()
+
+
+def cutoffs(steps: np.ndarray) -> list[float | None]:
+    """Cutoff of each rule, None at no step."""
+    return [sorted(grid, reverse=side == ">")[k - 1] if k else None for (_, _, side, grid), k in zip(RULES, steps, strict=True)]
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> dict[str | None, list[float | None]]:
-    """Cutoff of every rule, or None, for each stratum; all labelled good documents that pass the base rule count.
+    """Cutoff of every rule, or None, for each stratum; all labelled documents that pass the base rule count.
 
-    ``labels`` has (doc_id, quality); collected are one row of counts for each stratum.
+    ``labels`` has (doc_id, quality); collected are counts for each stratum and combination of levels.
     """
-    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select(F.col("doc_id").alias("good__"))
-    held = measured.join(good, F.col("doc_id") == F.col("good__"), "left_semi").filter(~base_failed())
-    sums = [F.sum(_rejects(s, side, c).cast("long")).alias(f"r{i}_{j}") for i, (_, s, side, grid) in enumerate(RULES) for j, c in enumerate(grid)]
-    rows = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    tests = max(1, len(rows)) * sum(len(r[3]) for r in RULES)
-    out: dict[str | None, list[float | None]] = {}
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).select(F.col("doc_id").alias("known__"), F.when(F.col("q") == 1, 1).otherwise(0).alias("good__"))
+    held = measured.join(known, F.col("doc_id") == F.col("known__")).filter(~base_failed())
+    levels = [sum((_rejects(s, side, c).cast("int") for c in grid), F.lit(0)).alias(f"l{i}") for i, (_, s, side, grid) in enumerate(RULES)]
+    part = F.when(F.col("good__") == 0, "bad").when(F.pmod(F.xxhash64("doc_id"), F.lit(PATH_PART)) == 0, "path").otherwise("test").alias("part")
+    rows = held.select(F.col(stratum).alias("stratum"), part, *levels).groupBy("stratum", "part", *(f"l{i}" for i in range(len(RULES)))).count().collect()
+    counts: dict[str | None, dict[str, list[tuple]]] = {}
     for row in rows:
-        chosen: list[float | None] = []
-        for i, (_, _, side, grid) in enumerate(RULES):
-            ok = [c for j, c in enumerate(grid) if upper_bound(row[f"r{i}_{j}"], row["n"], delta / tests) <= risk / len(RULES)]
-            chosen.append((min(ok) if side == ">" else max(ok)) if ok else None)
-        out[row["stratum"]] = chosen
+        counts.setdefault(row["stratum"], {"bad": [], "path": [], "test": []})[row["part"]].append((*row[2:-1], row[-1]))
+    counts = {s: x for s, x in counts.items() if x["path"] or x["test"]}
+    level = delta / max(1, len(counts))
+    few = [s for s, x in counts.items() if upper_bound(0, sum(c[-1] for c in x["test"]), level) > risk]
+    out: dict[str | None, list[float | None]] = {}
+    for names in [[s] for s in counts if s not in few] + ([few] if few else []):
+        part_ = {k: [c for s in names for c in counts[s][k]] for k in ("bad", "path", "test")}
+        # without bad documents of its own, a stratum takes its path by those of all
+        part_["bad"] = part_["bad"] or [(*row[2:-1], row[-1]) for row in rows if row["part"] == "bad"]
+        (bad, n_bad), (good, n_good), (test, n_test) = ((np.array([c[:-1] for c in part_[k]], np.int64).reshape(-1, len(RULES)), np.array([c[-1] for c in part_[k]], np.int64)) for k in ("bad", "path", "test"))
+        chosen = np.zeros(len(RULES), np.int64)
+        for steps in path(good, n_good, bad, n_bad):
+            if upper_bound(int(n_test[_rejected(test, steps)].sum()), int(n_test.sum()), level) > risk:
+                break
+            chosen = steps
+        out |= {s: cutoffs(chosen) for s in names}
     return out
 
 

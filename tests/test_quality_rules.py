@@ -1,0 +1,29 @@
+"""Cutoffs of the quality rules on small strata."""
+
+from folioscope.llm import quality_rules
+
+
+def measured(spark, strata):
+    """Documents and labels of (stratum, good, good with symbols, bad); bad ones have a symbol for each word."""
+    docs, labels = [], []
+    for name, good, odd, bad in strata:
+        for k in range(good + bad):
+            symbols = 100 if k >= good or k < odd else 0
+            docs.append((f"{name}-{k}", name, 100, 500, symbols, 0, 0))
+            labels.append((f"{name}-{k}", int(k < good)))
+    return spark.createDataFrame(docs, f"doc_id string, lang string, {quality_rules.COUNTS}"), spark.createDataFrame(labels, "doc_id string, quality int")
+
+
+def test_small_strata_reject_bad_documents(spark):
+    docs, labels = measured(spark, [("de", 400, 0, 40), ("fr", 400, 0, 0), ("it", 130, 0, 9), ("pt", 140, 0, 9), ("xx", 400, 40, 40)])
+    cut = quality_rules.thresholds(docs, labels, "lang")
+    # below 1.0, one in ten good documents of xx would go; it and pt are too few even together; fr has no bad ones of its own
+    assert {s: c[0] for s, c in cut.items()} == {"de": 0.75, "fr": 0.75, "it": None, "pt": None, "xx": 1.0}
+    docs, labels = measured(spark, [("de", 400, 0, 40), ("it", 160, 0, 9), ("pt", 170, 0, 9)])
+    assert {s: c[0] for s, c in quality_rules.thresholds(docs, labels, "lang").items()} == {"de": 0.75, "it": 0.75, "pt": 0.75}
+
+
+def test_no_labels(spark):
+    docs, labels = measured(spark, [("de", 20, 0, 2)])
+    assert quality_rules.thresholds(docs, labels.filter("false"), "lang") == {}
+    assert quality_rules.thresholds(docs, labels, "lang") == {"de": [None] * 5}
