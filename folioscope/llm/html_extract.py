@@ -6,13 +6,14 @@ in the same pages have one occurrence vector; tokens that share it form an equiv
 class.  The vectors are compared by a commutative fingerprint (a sum of hashes of page
 and count), so no task gathers the pages of a host.  A class is valid if most pages of
 its host hold it; valid classes nest by path into the template.  Texts of valid classes
-are the template's own words.  Of the elements that occur once in each page, the main
-slot is the article if the template has one, else the deepest that holds most of the
-text that varies.
+are the template's own words.  The main slot is the article if the template has one
+that occurs once in each page, else the smallest element that holds all text that is
+neither the template's own nor dropped.
 
 Pass 2 walks each page with its host's template and extracts the slots that remain:
 those in the main slot, outside menus, headers, footers, side bars, notices, adverts,
-forms and reader comments.  Each page is parsed whole, in one task, with no limits.
+forms and reader comments.  A class or id names such a part only as a whole; what is
+named so is kept if all articles of the page are inside such parts and it holds one.  Each page is parsed whole, in one task, with no limits.
 
 Null and empty pages have empty text; pages without a host or of a host with one page
 are templates of their own; an element left open ends where its parent does; equal
@@ -26,7 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,8 +36,6 @@ from folioscope.llm.url_filter import host_of
 
 #: Share of a host's pages that hold a valid class; pages from which on texts count as the template's.
 SUPPORT, MIN_PAGES = 0.5, 4
-#: Share of a host's text that the main slot holds if the template has no article.
-MAIN_SHARE = 0.6
 #: Rows of the templates that are sent to every executor; more are joined by host.
 BROADCAST_HOSTS = 20_000
 
@@ -47,7 +46,7 @@ _DROPPED = frozenset("head nav header footer aside form menu dialog button selec
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section table ul".split())
 _CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dd dt", {"dl"}), "dd": ("dd dt", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
-_ROLE_WORDS = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|widget\w*|footer\w*|header|masthead|banner\w*|cookie\w*|consent\w*|notice\w*|popup|modal|newsletter|subscribe|signup|comment\w*|disqus\w*|replies|share|sharing|social\w*|related\w*|recommend\w*)(?:$|[\s_-])")
+_ROLE_WORDS = re.compile(r"(?i)(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side-bar|widget\w*|footer\w*|header|masthead|banner\w*|cookie\w*|consent\w*|notice\w*|popup|modal|newsletter|subscribe|signup|comment\w*|disqus\w*|replies|share|sharing|social\w*|related\w*|recommend\w*)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -59,12 +58,15 @@ def parse(page: str) -> tuple[dict[str, list[int]], list[tuple[int, str, bool, s
     (block, path, whether it is in a dropped element, path of its article or '', text)."""
     elements: dict[str, list[int]] = {}
     pieces: list[tuple[int, str, bool, str, str]] = []
-    stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]  # tag, path, dropped, article
-    block = at = 0
+    stack: list[tuple[str, str, bool, tuple[int, ...], str]] = [("", "", False, (), "")]  # tag, path, dropped, elements dropped by their names, article
+    named: list[tuple[int, ...]] = []
+    around: list[tuple[int, ...]] = []  # of each article
+    block = at = n_named = 0
 
     def add(raw: str) -> None:
-        _, path, dropped, article = stack[-1]
+        _, path, dropped, names, article = stack[-1]
         pieces.append((block, path, dropped, article, _html.unescape(raw)))
+        named.append(names)
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -89,27 +91,34 @@ def parse(page: str) -> tuple[dict[str, list[int]], list[tuple[int, str, bool, s
         if tag in _CLOSES_P:
             _close(stack, ("p",), {"article", "section", "div", "td", "th", "li", "blockquote", "body", "aside", "main", "table", "button"})
         if tag in _CLOSES:
-            names, scope = _CLOSES[tag]
-            _close(stack, tuple(names.split()), scope)
+            closed, scope = _CLOSES[tag]
+            _close(stack, tuple(closed.split()), scope)
         if tag == "br":
             add(" ")
         elif tag not in _INLINE:
             block += 1
         attrs = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m[3] or m[6] or "")}
-        _, path, dropped, article = stack[-1]
+        _, path, dropped, names, article = stack[-1]
         name = ".".join([tag, *sorted(f"{attrs.get('class', '')} {attrs.get('id', '')}".split())])
         path = f"{path}/{name}"
         elements.setdefault(path, [0, 0])[0] += 1
         if tag in _VOID:
             continue
-        words = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+        words = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
         main = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        dropped = dropped or tag in _DROPPED or "hidden" in attrs or attrs.get("role") in _ROLES or (not main and tag != "body" and bool(_ROLE_WORDS.search(words)))
+        dropped = dropped or tag in _DROPPED or "hidden" in attrs or attrs.get("role") in _ROLES
+        if not main and tag != "body" and any(map(_ROLE_WORDS.fullmatch, words)):
+            n_named += 1
+            names = (*names, n_named)
+        if main and not dropped:
+            around.append(names)
         if tag in _RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
             dropped = True
-        stack.append((tag, path, dropped, article or (path if main else "")))
+        stack.append((tag, path, dropped, names, article or (path if main else "")))
+    kept = set().union(*around) if all(around) else set()
+    pieces = [(b, path, dropped or not kept.issuperset(names), article, text) for (b, path, dropped, article, text), names in zip(pieces, named, strict=True)]
     for _, path, dropped, _, text in pieces:
         if not dropped and (n := len(text.strip())):
             while path:
@@ -143,11 +152,17 @@ def extract(page: str, main: str | None, fixed: set[str]) -> str:
     if main is not None:
         inside = [p for p in left if p[1] == main or p[1].startswith(main + "/")]
         if any(p[4].strip() for p in inside):
-            return _join([(p[0], p[4]) for p in inside])
+            return _join([(p[0], p[4]) for p in _varying(inside, fixed)])
     own = [p for p in left if p[3]]
     if any(p[4].strip() for p in own):
         return _join([(p[0], p[4]) for p in own])
-    return _join([(p[0], p[4]) for p in left if not p[4].strip() or f"{p[1]} {p[4].strip()}" not in fixed])
+    return _join([(p[0], p[4]) for p in _varying(left, fixed)])
+
+
+def _varying(pieces: list[tuple], fixed: set[str]) -> list[tuple]:
+    """Pieces that are not the template's own; all, if no others have text."""
+    found = [p for p in pieces if not p[4].strip() or f"{p[1]} {p[4].strip()}" not in fixed]
+    return found if any(p[4].strip() for p in found) else pieces
 
 
 def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -174,24 +189,28 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
 
     seen = rows.mapInArrow(tokens, "host string, page long, token string, n long, size long")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
-    counted = seen.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"), F.sum("size").alias("chars"))
+    counted = seen.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"))
     counted = materialize(counted, "html-tokens")
     whole = rows.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     classes = counted.groupBy("host", "vector").agg(F.max("pages").alias("held"))
     valid = classes.join(whole, "host").filter((F.col("held") >= 2) & (F.col("held") >= SUPPORT * F.col("of")))
-    tokens_ = counted.join(valid, ["host", "vector"])
+    # of hosts with few pages, texts on all of them are not dropped but may be outside the main slot
+    tokens_ = counted.join(whole.filter("of >= 2"), "host").join(valid.select("host", "vector", F.lit(True).alias("valid")), ["host", "vector"], "left")
     element = ~F.col("token").contains(" ")
-    once = element & (F.col("times") == F.col("pages"))
-    text_of_host = F.max(F.when(element, F.col("chars"))).over(Window.partitionBy("host"))
+    once = element & F.col("valid") & (F.col("times") == F.col("pages"))
     last = F.element_at(F.split("token", "/"), -1)
     depth = F.size(F.split("token", "/"))
     article = last.rlike(r"^(article|main)(\.|$)")
-    ranked = tokens_.withColumn("all_chars", text_of_host)
-    best = F.when(once & article, F.struct(F.lit(2).alias("k"), -depth, F.col("token"))).when(
-        once & (F.col("chars") >= MAIN_SHARE * F.col("all_chars")) & (F.col("all_chars") > 0), F.struct(F.lit(1).alias("k"), depth, F.col("token"))
-    )
-    fixed = F.when(~element & (F.col("of") >= MIN_PAGES), F.col("token"))
-    return ranked.groupBy("host").agg(F.max(best)["token"].alias("main"), F.array_sort(F.collect_set(fixed)).alias("fixed"))
+    best = F.when(once & article, F.struct(-depth, F.col("token")))
+    own = F.when(F.col("of") >= MIN_PAGES, F.coalesce("valid", F.lit(False))).otherwise(F.col("pages") == F.col("of"))
+    fixed = F.when(~element & F.col("valid") & (F.col("of") >= MIN_PAGES), F.col("token"))
+    varies = F.when(~element & ~own, F.concat(F.substring_index("token", " ", 1), F.lit("/")))
+    found = tokens_.groupBy("host").agg(F.max(best)["token"].alias("article"), F.min(varies).alias("low"), F.max(varies).alias("high"), F.array_sort(F.collect_set(fixed)).alias("fixed"))
+    # the common beginning of all paths is that of the least and the greatest
+    steps = F.expr("filter(sequence(1, size(split(low, '/')) - 1), k -> substring_index(low, '/', k) = substring_index(high, '/', k))")
+    common = F.when(F.col("low").isNotNull(), F.expr("substring_index(low, '/', n)"))
+    found = found.withColumn("n", F.array_max(steps)).withColumn("common", F.when(common != "", common))
+    return found.select("host", F.coalesce("article", "common").alias("main"), "fixed")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

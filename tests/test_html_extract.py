@@ -1,0 +1,31 @@
+"""Main text of hosts whose pages have no article, and of wrappers named like side bars."""
+
+from folioscope.llm import html_extract
+
+
+def texts(spark, pages):
+    rows = [(k, f"http://{host}/{k}", html) for k, (host, html) in enumerate(pages)]
+    found = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def page(k, wrap="wrap"):
+    return f"<body><div class=top>The Site</div><div class='{wrap}'><h1>Title {k}</h1><div class=lead>Lead {k}</div><div class=body>{f'Long text {k}. ' * 20}</div></div><div class=imprint>All rights</div></body>"
+
+
+def test_title_and_lead_stay(spark):
+    wanted = [f"Title {k}\nLead {k}\n" + " ".join([f"Long text {k}."] * 20) for k in range(9)]
+    assert texts(spark, [("a.example", page(k)) for k in range(6)] + [("b.example", page(k)) for k in range(6, 9)]) == wanted
+
+
+def test_copies_keep_their_text(spark):
+    got = texts(spark, [("a.example", page(1))] * 5)
+    assert all("Title 1" in t and "Lead 1" in t and "Long text 1." in t for t in got)
+
+
+def test_names_are_whole_and_keep_articles(spark):
+    assert [t.split("\n")[:2] for t in texts(spark, [("a.example", page(k, "layout has-sidebar")) for k in range(5)])] == [[f"Title {k}", f"Lead {k}"] for k in range(5)]
+    pages = [("a.example", f"<body><div class=sidebar><article><p>Text {k}</p></article></div></body>") for k in range(4)]
+    assert texts(spark, pages) == [f"Text {k}" for k in range(4)]
+    outside = "<body><article><p>Text</p></article><div class=comments><article>Reply</article></div></body>"
+    assert texts(spark, [("a.example", outside)]) == ["Text"]
