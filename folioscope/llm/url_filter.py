@@ -5,7 +5,8 @@ and a list of its literal tokens (labels of the host, and the parts of the path
 are surely whole in any URL that fits).  How often each rule token occurs is counted
 over all URLs; a rule is filed under its rarest one.  The distinct tokens of a URL
 fetch the rules filed under them, only these run their expression, and the longest
-rule that fits decides.  A URL that no rule fits takes ``default``.
+rule that fits decides.  A rule without a token is filed under ``ANY``, which every URL
+carries.  A URL that no rule fits takes ``default``.
 
 Only DataFrame functions are used.  URLs are made distinct first (pre-aggregated), so
 a URL that repeats is judged once.  The index is broadcast while the rules' text is
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 #: The index is sent to executors up to this size.
 BROADCAST_BYTES = 8 << 20
 TOKEN = "[a-z0-9]+"
+#: Stands for a token that every URL has; no token is empty.
+ANY = ""
 _UPPER_LETTERS, _LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(_UPPER_LETTERS, _LOWER_LETTERS)
 
@@ -79,9 +82,11 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
         return urls.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     small = sum(len(r.name) + 128 for r in rules) <= BROADCAST_BYTES
     light = F.broadcast if small else (lambda df: df)
-    listed = spark.createDataFrame([(r.name, r.verdict, *r.patterns, len(r.name), r.tokens) for r in rules], "rule string, verdict string, on_host string, on_path string, size int, tokens array<string>")
+    listed = spark.createDataFrame([(r.name, r.verdict, *r.patterns, len(r.name), r.tokens or [ANY]) for r in rules], "rule string, verdict string, on_host string, on_path string, size int, tokens array<string>")
     wanted = listed.select(F.explode("tokens").alias("token")).distinct()
     tokens = F.array_distinct(F.regexp_extract_all(F.translate(F.concat_ws(" ", "host", "path"), _UPPER_LETTERS, _LOWER_LETTERS), F.lit(TOKEN), F.lit(0)))
+    if not all(r.tokens for r in rules):
+        tokens = F.array_append(tokens, F.lit(ANY))
     split = urls.select("url", "host", "path", F.explode(tokens).alias("token"))
     seen = split.select("token").join(light(wanted), "token").groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
     filed = listed.select("rule", "verdict", "on_host", "on_path", "size", F.explode("tokens").alias("token")).join(seen, "token", "left")
