@@ -8,6 +8,8 @@
 3. *Repair*: only words with a failing pair go through the merges one by one.
 
 Words are cut by the byte-level pattern; added tokens in a text are their own ids.
+Words are looked up by hash and compared by their letters: a word whose hash is that
+of another one is encoded by itself.
 Null and empty texts have no ids and decode to ''.  Texts are encoded whole, of any
 length; repeated rows are encoded alike; an empty table gives an empty result.
 """
@@ -175,7 +177,7 @@ class Encoder:
         self.token_at = np.full(len(nodes), -1, np.int64)
         for s, i in self.speculated.items():
             self.token_at[nodes[s]] = i
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.known, self.known_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.forget()
         self.words = self.failed = 0
@@ -183,6 +185,8 @@ class Encoder:
     def forget(self) -> None:
         self.word_keys, self.word_codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.lens, self.flat, self.used, self.flat_used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0, 0
+        # the letters of each word, to compare
+        self.spelt_from, self.spelt_len, self.spelt, self.spelt_used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether the merges leave tokens a and b side by side, for each pair; limit: only merges before it count."""
@@ -294,8 +298,8 @@ class Encoder:
             offer(k)
         return [t for t, a in zip(ids, alive, strict=True) if a]
 
-    def learn(self, words: list[str]) -> None:
-        """Ids of distinct new words into the memory."""
+    def cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, token) of distinct words, by word: speculated, verified, repaired."""
         plain = [w.encode().decode("latin-1") for w in words]
         word, flat = self.greedy(plain)
         inner = np.flatnonzero(word[1:] == word[:-1])
@@ -321,20 +325,41 @@ class Encoder:
             mended, ids = self.merge([plain[k] for k in bad.tolist()])
             keep = ~wrong[word]
             word, flat = _in_order([(word[keep], flat[keep]), (bad[mended], ids)])
+        return word, flat
+
+    def learn(self, words: list[str]) -> None:
+        """Ids and letters of distinct new words into the memory."""
+        word, flat = self.cut(words)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(w) for w in words], np.int64)
         lens = np.bincount(word, minlength=len(words))
         while self.used + len(words) > len(self.starts):
-            self.starts, self.lens = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lens, np.zeros_like(self.lens)])
+            self.starts, self.lens, self.spelt_from, self.spelt_len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens, self.spelt_from, self.spelt_len))
         while self.flat_used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.spelt_used + len(letters) > len(self.spelt):
+            self.spelt = np.concatenate([self.spelt, np.zeros_like(self.spelt)])
         to = slice(self.used, self.used + len(words))
         self.starts[to], self.lens[to] = self.flat_used + np.cumsum(lens) - lens, lens
         self.flat[self.flat_used : self.flat_used + len(flat)] = flat
-        self.used, self.flat_used = self.used + len(words), self.flat_used + len(flat)
+        self.spelt_from[to], self.spelt_len[to] = self.spelt_used + np.cumsum(sizes) - sizes, sizes
+        self.spelt[self.spelt_used : self.spelt_used + len(letters)] = letters
+        self.used, self.flat_used, self.spelt_used = self.used + len(words), self.flat_used + len(flat), self.spelt_used + len(letters)
+
+    def _misread(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Words that are not, letter by letter, the remembered ones of their codes."""
+        size = ends - starts
+        wrong = size != self.spelt_len[code]
+        at = np.repeat(np.where(wrong, 0, self.spelt_from[code]) - starts, size) + np.arange(len(cp))
+        differ = np.flatnonzero(self.spelt[np.where(np.repeat(wrong, size), 0, at) if wrong.any() else at] != cp)
+        if len(differ):
+            wrong[np.searchsorted(starts, differ, "right") - 1] = True
+        return np.flatnonzero(wrong)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if self.cut is not None and any(s in t for t in texts for s in self.added):
-            parts = [self.cut.split(t) for t in texts]
+        if self.split is not None and any(s in t for t in texts for s in self.added):
+            parts = [self.split.split(t) for t in texts]
             plain = iter(self._encode([p for x in parts for p in x if p not in self.added]))
             return [np.concatenate([np.array([self.added[p]], np.uint32) if p in self.added else next(plain) for p in x]) for x in parts]
         return self._encode(texts)
@@ -359,9 +384,16 @@ class Encoder:
             self.word_keys, self.word_codes = np.insert(self.word_keys, to, distinct[~seen]), np.insert(self.word_codes, to, codes)
             at = np.searchsorted(self.word_keys, distinct)
         code = self.word_codes[at][back] if len(distinct) else np.zeros(0, np.int64)
-        lens = self.lens[code]
+        begin, lens, flat = self.starts[code], self.lens[code], self.flat
+        wrong = self._misread(cp, starts, ends, code)
+        if len(wrong):
+            chars = "".join(texts)
+            word, mended = self.cut([chars[a:b] for a, b in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)])
+            lens[wrong] = own = np.bincount(word, minlength=len(wrong))
+            begin[wrong] = len(flat) + np.cumsum(own) - own
+            flat = np.concatenate([flat, mended.astype(np.uint32)])
         total = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.starts[code] - total[:-1], lens) + np.arange(total[-1])]
+        ids = flat[np.repeat(begin - total[:-1], lens) + np.arange(total[-1])]
         cuts = total[np.searchsorted(starts, bounds)]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 

@@ -1,8 +1,11 @@
 """Vectorised words, lines and shingles of whole texts.
 
 A word is a run of ``[^\\x20\\x09-\\x0D]``.  Hashes are polynomial prefix sums over
-the UTF-8 bytes modulo 2**64, finished by a mixer, so a slice of many documents is
-hashed by a handful of numpy passes and never by a loop over words.
+the UTF-8 bytes, finished by a mixer, so a slice of many documents is hashed by a
+handful of numpy passes and never by a loop over words.  The polynomials are taken
+modulo two primes with random bases: unlike modulo 2**64 there are no texts that clash
+under every base (such as Thue-Morse words), and two different ranges of n bytes clash
+with a probability of at most (n / 2**31)**2 over the bases, 2**-62 on average.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+#: The primes below 2**31, and for each lane of hashes a base modulo either.
+_PRIMES = (2147483647, 2147483629)
+_BASES = ((1442695041, 1812433253), (1103515245, 1566083941))
+#: Bytes up to which sums of 8-bit by 31-bit products fit 64 bits.
+_FITS = 1 << 24
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers.get(name)
+def _power(base: int, prime: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo ``prime``."""
+    have = _powers.get((base, prime))
     if have is None or len(have) < n:
         size = max(n, SLICE_BYTES + 1)
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        out = np.cumprod(out, dtype=np.uint64)
+        out, done = np.ones(size, np.uint64), 1
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+            done += more
         if size > 4 * SLICE_BYTES:
             return out[:n]
-        _powers[name] = have = out
+        _powers[base, prime] = have = out
     return have[:n]
 
 
@@ -65,16 +74,25 @@ class Text:
         self.ends = np.flatnonzero(solid & ~after) + 1
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         self.counts = np.bincount(self.doc, minlength=self.n)
-        self._sums: np.ndarray | None = None
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte ranges."""
-        if self._sums is None:
-            sums = np.empty(len(self.buf) + 1, np.uint64)
+        self._sums: dict[tuple[int, int], np.ndarray] = {}
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+        """62-bit hashes of the byte ranges, mixed over 64 bits; those of either lane are independent of the other's."""
+        first, second = (self._residues(starts, ends, base, prime) for base, prime in zip(_BASES[lane], _PRIMES, strict=True))
+        return mix((first << np.uint64(31)) + second)
+
+    def _residues(self, starts: np.ndarray, ends: np.ndarray, base: int, prime: int) -> np.ndarray:
+        size, modulus = len(self.buf) + 1, np.uint64(prime)
+        if (base, prime) not in self._sums:
+            terms = _power(base, prime, size)[:-1] * (self.buf.astype(np.uint64) + np.uint64(1))
+            if size > _FITS:
+                terms %= modulus
+            sums = np.empty(size, np.uint64)
             sums[0] = 0
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * _power("up", _P, len(self.buf) + 1)[:-1], out=sums[1:])
-            self._sums = sums
-        return mix((self._sums[ends] - self._sums[starts]) * _power("down", _PINV, len(self.buf) + 1)[starts])
+            np.cumsum(terms, out=sums[1:])
+            self._sums[base, prime] = sums
+        sums = self._sums[base, prime]
+        return (sums[ends] - sums[starts]) % modulus * _power(pow(base, -1, prime), prime, size)[starts] % modulus
 
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
         """Bytes of each document at which ``mask`` holds."""
