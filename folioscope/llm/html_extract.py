@@ -1,19 +1,21 @@
 """Main text of web pages by deducing the template of each host.
 
 Pass 1 reads every page as tokens: elements by their path (tag and class or id of each
-level), and texts outside an article.  For every host, tokens that occur equally often
-in the same pages have one occurrence vector; tokens that share it form an equivalence
-class.  The vectors are compared by a commutative fingerprint (a sum of hashes of page
+level), texts outside an article, and the places of text inside one.  For every host,
+tokens that occur equally often in the same pages have one occurrence vector; tokens that
+share it form an equivalence class.  The vectors are compared by a commutative fingerprint (a sum of hashes of page
 and count), so no task gathers the pages of a host.  A class is valid if most pages of
 its host hold it; valid classes nest by path into the template.  Texts of valid classes
-are the template's own words.  The main slot is the article if the template has one
-that occurs once in each page, else the smallest element that holds all text that is
-neither the template's own nor dropped.
+are the template's own words; all other text stands in slots.  The main slot is the
+smallest element around all slots that are not dropped by their role.  Only where text of
+other slots stands beside an article, an ``article`` or ``main`` that the template has once
+in each page decides, if it holds ``MAIN_SHARE`` of the slots' text.
 
 Pass 2 walks each page with its host's template and extracts the slots that remain:
 those in the main slot, outside menus, headers, footers, side bars, notices, adverts,
-forms and reader comments.  A class or id names such a part only as a whole; what is
-named so is kept if all articles of the page are inside such parts and it holds one.  Each page is parsed whole, in one task, with no limits.
+forms and reader comments.  A class or id names such a part only as a whole word, and only of a block
+of its own, not of a phrase within one; what is named so is kept if all articles of the page
+are inside such parts and it holds one.  Each page is parsed whole, in one task, with no limits.
 
 Null and empty pages have empty text; pages without a host or of a host with one page
 are templates of their own; an element left open ends where its parent does; equal
@@ -36,6 +38,8 @@ from folioscope.llm.url_filter import host_of
 
 #: Share of a host's pages that hold a valid class; pages from which on texts count as the template's.
 SUPPORT, MIN_PAGES = 0.5, 4
+#: Share of a host's text in slots from which on an article among them is the main slot.
+MAIN_SHARE = 0.5
 #: Rows of the templates that are sent to every executor; more are joined by host.
 BROADCAST_HOSTS = 20_000
 
@@ -107,7 +111,7 @@ def parse(page: str) -> tuple[dict[str, list[int]], list[tuple[int, str, bool, s
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
         main = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
         dropped = dropped or tag in _DROPPED or "hidden" in attrs or attrs.get("role") in _ROLES
-        if not main and tag != "body" and any(map(_ROLE_WORDS.fullmatch, words)):
+        if not main and tag != "body" and tag not in _INLINE and any(map(_ROLE_WORDS.fullmatch, words)):
             n_named += 1
             names = (*names, n_named)
         if main and not dropped:
@@ -177,10 +181,14 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
                 elements, pieces = parse(page.as_py() or "")
                 found = [(path, n, size) for path, (n, size) in elements.items()]
                 texts: dict[str, int] = {}
+                total = 0
                 for _, path, dropped, article, text in pieces:
-                    if not dropped and not article and (text := text.strip()):
-                        texts[f"{path} {text}"] = texts.get(f"{path} {text}", 0) + 1
-                found += [(t, n, -1) for t, n in texts.items()]
+                    if not dropped and (text := text.strip()):
+                        total += len(text)
+                        token = f"{path} " if article else f"{path} {text}"
+                        texts[token] = texts.get(token, 0) + 1
+                found += [(t, n, 0) for t, n in texts.items()]
+                found.append(("", 1, total))  # the page itself
                 for token, n, size in found:
                     for column, value in zip(out, (host, key, token, n, size), strict=True):
                         column.append(value)
@@ -189,7 +197,7 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
 
     seen = rows.mapInArrow(tokens, "host string, page long, token string, n long, size long")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
-    counted = seen.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"))
+    counted = seen.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"), F.sum("size").alias("size"))
     counted = materialize(counted, "html-tokens")
     whole = rows.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     classes = counted.groupBy("host", "vector").agg(F.max("pages").alias("held"))
@@ -197,20 +205,25 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     # of hosts with few pages, texts on all of them are not dropped but may be outside the main slot
     tokens_ = counted.join(whole.filter("of >= 2"), "host").join(valid.select("host", "vector", F.lit(True).alias("valid")), ["host", "vector"], "left")
     element = ~F.col("token").contains(" ")
+    inside = F.col("token").endswith(" ")  # a place of text in an article
     once = element & F.col("valid") & (F.col("times") == F.col("pages"))
     last = F.element_at(F.split("token", "/"), -1)
     depth = F.size(F.split("token", "/"))
     article = last.rlike(r"^(article|main)(\.|$)")
-    best = F.when(once & article, F.struct(-depth, F.col("token")))
+    best = F.when(once & article, F.struct("size", -depth, F.col("token")))
     own = F.when(F.col("of") >= MIN_PAGES, F.coalesce("valid", F.lit(False))).otherwise(F.col("pages") == F.col("of"))
-    fixed = F.when(~element & F.col("valid") & (F.col("of") >= MIN_PAGES), F.col("token"))
-    varies = F.when(~element & ~own, F.concat(F.substring_index("token", " ", 1), F.lit("/")))
-    found = tokens_.groupBy("host").agg(F.max(best)["token"].alias("article"), F.min(varies).alias("low"), F.max(varies).alias("high"), F.array_sort(F.collect_set(fixed)).alias("fixed"))
+    fixed = F.when(~element & ~inside & F.col("valid") & (F.col("of") >= MIN_PAGES), F.col("token"))
+    varies = F.when(~element & (inside | ~own), F.concat(F.substring_index("token", " ", 1), F.lit("/")))
+    whole_text = F.max(F.when(F.col("token") == "", F.col("size"))).alias("text")
+    found = tokens_.groupBy("host").agg(F.max(best).alias("best"), whole_text, F.min(varies).alias("low"), F.max(varies).alias("high"), F.array_sort(F.collect_set(fixed)).alias("fixed"))
     # the common beginning of all paths is that of the least and the greatest
     steps = F.expr("filter(sequence(1, size(split(low, '/')) - 1), k -> substring_index(low, '/', k) = substring_index(high, '/', k))")
     common = F.when(F.col("low").isNotNull(), F.expr("substring_index(low, '/', n)"))
     found = found.withColumn("n", F.array_max(steps)).withColumn("common", F.when(common != "", common))
-    return found.select("host", F.coalesce("article", "common").alias("main"), "fixed")
+    chosen = F.col("best.token")
+    beside = ~F.startswith(F.concat("common", F.lit("/")), F.concat(chosen, F.lit("/")))
+    main = F.when((F.col("best.size") >= MAIN_SHARE * F.col("text")) & F.coalesce(beside, F.lit(True)), chosen).otherwise(F.col("common"))
+    return found.select("host", main.alias("main"), "fixed")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
