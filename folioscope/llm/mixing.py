@@ -10,7 +10,9 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share t
 budget; a target stops at ``max_repeats`` times its source's size and the excess is
 shared anew by weight until none is above.
 
-Scale: one pass over the texts gives a narrow table, written to the shared folder.
+Scale: one pass over the texts gives a narrow table, written to the shared folder, in
+which rows that are equal in all columns are counted and then numbered, so no id that
+repeats, or is null, fills a bucket.
 Running sums are two-level - within (source, hash bucket), then over the buckets of
 a source - so a source that holds a third of all rows is spread over its buckets.
 The cut is found by histograms of virtual time, each of bounded size, that narrow
@@ -18,8 +20,9 @@ the crossing bin down to a single value: no sort of everything in one task.
 The table of sources has one row for each name in the mix.
 
 Null and empty texts have size 0 and take no words; a source without words has
-target 0; a null source is a source; rows that repeat are separate documents (equal
-rows may swap their places).  Ties in virtual time at the cut are all taken.
+target 0; a null source is a source; rows that repeat are separate documents, also of one
+id or of none (rows equal in all columns may swap their places).  Ties in virtual time at
+the cut are all taken.  Further columns are carried unchanged, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.scratch import materialize, unused
+from folioscope.llm.scratch import materialize, numbered, row_key, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -75,30 +78,31 @@ def schedule(
     max_repeats: int = MAX_REPEATS,
     seed: int = 17,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, start (words of its source before it), copies.
+    """One row per document: doc_id, row (a key of all its columns), size, source_size, target, finish (words of its source up to and with it), copies.
 
     ``copies`` is how often the mix takes the document, ``taken`` = size * copies.
     """
-    spark = docs.sparkSession
     narrow = docs.select(
         docs[id_col].alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n")).alias("key"),
         docs[source_col].alias("source"),
         word_count(docs[text_col]).alias("size"),
-        F.xxhash64(F.lit(seed), docs[id_col]).alias("h"),
-    ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    narrow = materialize(narrow, "mix-sizes")
+        row_key(docs, text_col).alias("row"),
+    )
+    counted = materialize(narrow.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "key", "source", "size")], F.count(F.lit(1)).alias("same")), "mix-rows")
+    narrow = numbered(counted, "same", "copy").withColumn("h", F.xxhash64(F.lit(seed), "row", "copy")).drop("same")
+    narrow = materialize(narrow.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))), "mix-sizes")
     buckets = narrow.groupBy("key", "bucket").agg(F.sum("size").alias("n"), F.first("source", ignorenulls=True).alias("source"))
     sums = materialize(buckets, "mix-buckets")
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     goal = targets(sums.groupBy("key").agg(F.sum("n").alias("source_size"), F.first("source", ignorenulls=True).alias("source")), weights, max_repeats)
     base = base.join(goal, "key")
-    within = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("key", "bucket").orderBy("h", "row", "copy").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         narrow.withColumn("upto", F.sum("size").over(within))
         .join(base, ["key", "bucket"])
-        .select("doc_id", "key", "h", "size", "source_size", "target", (F.col("base") + F.col("upto")).alias("finish"))
+        .select("doc_id", "row", "key", "size", "source_size", "target", (F.col("base") + F.col("upto")).alias("finish"))
     )
     placed = materialize(placed, "mix-placed")
     cut = _cut(placed, max_repeats)
@@ -142,21 +146,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed sequence: rows of ``docs`` in order of virtual time, each as often as the mix takes it.
 
     The columns are those of ``docs``.  A document's copies carry its row unchanged.
-    Rows of one id, source and size are taken to be one document that repeats.
+    Turns meet their row by its key; the turns of a row that repeats very often are a
+    skewed key of an inner join, which adaptive execution splits.
     """
-    plan = schedule(docs, id_col, text_col, source_col, **options).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "key", "size", "source_size", "target").agg(F.collect_list(F.struct("finish", "copies")).alias("turns"))
-    plan = materialize(plan, "mix-turns")
-    at, n, k, i = (unused(c, docs.columns) for c in ("virtual_finish__", "size__", "key__", "id__"))
-    repeats = plan.filter(F.size("turns") > 1).limit(1).count() > 0
-    plan = plan.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("size").alias(n), *[F.col(c).alias(f"mix__{c}") for c in ("turns", "source_size", "target")])
-    rows = docs.withColumn(n, word_count(docs[text_col])).withColumn(k, F.coalesce(F.concat(F.lit("s"), docs[source_col].cast("string")), F.lit("n")))
-    if repeats:
-        rows = rows.dropDuplicates([id_col, n, k])
-    joined = rows.join(plan.hint("merge"), rows[id_col].eqNullSafe(plan[i]) & (rows[n] == plan[n]) & (rows[k] == plan[k]))
-    turn = F.explode("mix__turns")
-    joined = joined.select(*[rows[c] for c in docs.columns], "mix__source_size", "mix__target", turn.alias("mix__turn"))
-    joined = joined.withColumn("mix__copy", F.explode(F.sequence(F.lit(0), F.col("mix__turn.copies") - 1)))
-    when = (F.col("mix__turn.finish") + F.col("mix__copy") * F.col("mix__source_size")) / F.col("mix__target")
-    out = joined.withColumn(at, when)
+    plan = materialize(schedule(docs, id_col, text_col, source_col, **options).filter("copies > 0").select("row", "finish", "copies", "source_size", "target"), "mix-turns")
+    own, key, finish, copies, size, target, at, copy = (unused(c, docs.columns) for c in ("row__", "key__", "finish__", "copies__", "size__", "target__", "virtual__", "copy__"))
+    turns = plan.select(F.col("row").alias(key), F.col("finish").alias(finish), F.col("copies").alias(copies), F.col("source_size").alias(size), F.col("target").alias(target))
+    rows = docs.withColumn(own, row_key(docs, text_col))
+    if plan.groupBy("row").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([own])
+    joined = rows.join(turns.hint("merge"), rows[own] == turns[key])
+    joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    out = joined.withColumn(at, (F.col(finish) + F.col(copy) * F.col(size)) / F.col(target))
     return (out.repartitionByRange(partitions, at) if partitions else out.repartitionByRange(at)).sortWithinPartitions(at).select(*docs.columns)

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -46,3 +47,23 @@ def unused(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def row_key(df: DataFrame, text_col: str):
+    """Column of 16 bytes that stand for a whole row: equal for rows equal in all columns only."""
+    parts = []
+    for f in df.schema.fields:
+        if f.name != text_col and f.dataType.typeName() != "void":
+            plain = F.to_json(df[f.name]) if f.dataType.typeName() in ("map", "variant") else df[f.name]
+            parts += [plain, df[f.name].isNull()]  # a hash passes over nulls
+    rest = [F.hex(F.xxhash64(F.lit(seed), *parts)) for seed in (1, 2)]
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.md5(df[text_col].cast("binary")), F.lit("null")), *rest)))
+
+
+def numbered(counted: DataFrame, same: str, number: str, span: int = 1 << 16) -> DataFrame:
+    """Each row of a written table ``same`` times, numbered from 1; of rows that are very many, ``span`` a time in tasks of their own."""
+    if counted.filter(F.col(same) > span).limit(1).count():
+        first = F.sequence(F.lit(1).cast("long"), F.col(same), F.lit(span).cast("long"))
+        counted = counted.withColumn(number, F.explode(first)).repartition(*[c for c in counted.columns], number)
+        return counted.withColumn(number, F.explode(F.sequence(F.col(number), F.least(F.col(number) + span - 1, F.col(same)))))
+    return counted.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(same))))

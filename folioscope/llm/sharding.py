@@ -6,12 +6,14 @@ loads one bucket at a time, shuffles it by Fisher-Yates with a generator seeded
 likely as any other.  Shards are equal ranges of that sequence, so their row counts
 differ by one at most (law ``rows``).
 
-The scatter hashes (id, size, checksum, copy number): rows that repeat are counted
-first and numbered, so a key that holds a third of all rows fills no bucket beyond
-its share.  Only ids, sizes and checksums are shuffled to place the records.
+The scatter hashes a key of the whole row and a copy number: rows that are equal in all
+columns are counted first and numbered, so an id or a text that holds a third of all rows
+fills no bucket beyond its share.  Only ids, sizes, checksums and keys are shuffled to
+place the records.
 
 Null texts count no bytes and have a null checksum; null ids are placed as any
-value; equal rows are separate records; an empty table gives no rows.
+value; equal rows are separate records; an empty table gives no rows.  Further columns
+are written unchanged, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.scratch import materialize, unused
+from folioscope.llm.scratch import materialize, numbered, row_key, unused
 
 #: Bytes of records that pass 2 holds in memory at once, and rows, whichever is less.
 BUCKET_BYTES, BUCKET_ROWS = 64 << 20, 1 << 14
@@ -31,26 +33,26 @@ _SPAN = 4096
 
 
 def place(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 23) -> DataFrame:
-    """One row per record: doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+    """One row per record: doc_id, row (a key of all its columns), size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     body = docs[text_col].cast("binary")
-    narrow = docs.select(docs[id_col].alias("doc_id"), (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    counted = materialize(narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("same")), "shard-keys")
+    narrow = docs.select(docs[id_col].alias("doc_id"), (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), row_key(docs, text_col).alias("row"))
+    counted = materialize(narrow.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "size", "text_crc32")], F.count(F.lit(1)).alias("same")), "shard-keys")
     total = counted.agg(F.sum("same").alias("rows"), F.sum(F.col("same") * F.col("size")).alias("bytes")).first()
     rows, size = int(total["rows"] or 0), int(total["bytes"] or 0)
     buckets = max(shards, -(-size // BUCKET_BYTES), -(-rows // BUCKET_ROWS))
-    scattered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("same"))))
-    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "copy"), F.lit(buckets)))
+    scattered = numbered(counted, "same", "copy")
+    scattered = scattered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row", "copy"), F.lit(buckets)))
     kind = counted.schema["doc_id"].dataType.simpleString()
 
     def shuffle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         # the arrival order depends on the cluster, so a fixed order comes first
-        table = table.sort_by([(c, "ascending") for c in ("text_crc32", "size", "doc_id", "copy")])
+        table = table.sort_by([(c, "ascending") for c in ("row", "copy")])
         order = np.random.Generator(np.random.PCG64([seed, bucket])).permutation(len(table))
-        out = table.select(["doc_id", "size", "text_crc32", "bucket"]).take(pa.array(order))
+        out = table.select(["doc_id", "row", "size", "text_crc32", "bucket"]).take(pa.array(order))
         return out.append_column("at", pa.array(np.arange(len(table)), pa.int64()))
 
-    shuffled = scattered.select("doc_id", "size", "text_crc32", "copy", "bucket").groupBy("bucket").applyInArrow(shuffle, f"doc_id {kind}, size long, text_crc32 long, bucket long, at long")
+    shuffled = scattered.select("doc_id", "row", "size", "text_crc32", "copy", "bucket").groupBy("bucket").applyInArrow(shuffle, f"doc_id {kind}, row binary, size long, text_crc32 long, bucket long, at long")
     shuffled = materialize(shuffled, "shard-buckets")
     counts = shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("bucket") / _SPAN))
     spans = counts.groupBy("span").agg(F.sum("n").alias("m"))
@@ -61,21 +63,21 @@ def place(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     shard = F.expr(f"((base + at) * {shards}) div {max(rows, 1)}")
     first = F.expr(f"(shard * {max(rows, 1)} + {shards - 1}) div {shards}")
     out = shuffled.join(starts, "bucket").withColumn("shard", shard).withColumn("slot", F.expr("base + at") - first)
-    return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int"), F.col("slot").cast("long"))
+    return out.select("doc_id", "row", "size", "text_crc32", F.col("shard").cast("int"), F.col("slot").cast("long"))
 
 
 def write(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 23) -> None:
     """Write the records below ``path``/shard=N in the order of their slots.
 
-    Records of one id, size and checksum are taken to be one record that repeats.
+    Each record is written once with all its columns; the column of the shard is ``shard``,
+    or a longer name where the records have one called so.
     """
-    plan = place(docs, shards, id_col, text_col, seed)
-    n, crc, i = (unused(c, docs.columns) for c in ("size__", "crc__", "id__"))
-    plan = plan.select(F.col("doc_id").alias(i), F.col("size").alias(n), F.col("text_crc32").alias(crc), F.col("shard").alias("shard__"), F.col("slot").alias("slot__"))
-    rows = docs.withColumn("own_size__", F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + RECORD_BYTES).withColumn("own_crc__", F.crc32(docs[text_col].cast("binary")))
-    rows = rows.dropDuplicates([id_col, "own_size__", "own_crc__"])
-    joined = rows.join(plan, rows[id_col].eqNullSafe(plan[i]) & (F.col("own_size__") == plan[n]) & F.col("own_crc__").eqNullSafe(plan[crc]))
+    plan = materialize(place(docs, shards, id_col, text_col, seed).select("row", "shard", "slot"), "shard-plan")
+    own, key, slot = (unused(c, docs.columns) for c in ("row__", "key__", "slot__"))
     named = unused("shard", docs.columns)
-    out = joined.select(*[rows[c] for c in docs.columns], F.col("shard__").alias(named), "slot__")
-    out = out.repartition(named).sortWithinPartitions(named, "slot__").drop("slot__")
-    out.write.partitionBy(named).parquet(path)
+    rows = docs.withColumn(own, row_key(docs, text_col))
+    if plan.groupBy("row").count().filter("count > 1").limit(1).count():
+        rows = rows.dropDuplicates([own])
+    places = plan.select(F.col("row").alias(key), F.col("shard").alias(named), F.col("slot").alias(slot))
+    out = rows.join(places, rows[own] == places[key]).select(*docs.columns, named, slot)
+    out.repartition(named).sortWithinPartitions(named, slot).drop(slot).write.partitionBy(named).parquet(path)
