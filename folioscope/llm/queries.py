@@ -75,7 +75,7 @@ def op9_quality_cotrained(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import quality_classifier
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    scored = quality_classifier.score(docs.select("doc_id", "text", "lang", "source"), labels)
+    scored = quality_classifier.score(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels, ids_only=True)
     return scored.select("doc_id", F.col("quality_score__").alias("score"), F.col("kept__").alias("kept"))
 
 

@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, embed_dedup, html_extract, minhash, mixing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter, words
+from folioscope.llm import bpe, embed_dedup, html_extract, minhash, mixing, quality_classifier, quality_rules, scratch, sharding, substring_dedup, url_filter, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, size int, kept string, KEY string"
 
@@ -54,8 +55,8 @@ def test_mix(spark, corpus):
     assert sorted((str(r.doc_id), r.taken) for r in again) == sorted((str(r.doc_id), r.taken) for r in found)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    want = collections.Counter({str(r.doc_id): 0 for r in found})
-    for r in found:
+    want = collections.Counter({str(r.doc_id): 0 for r in mixing.schedule(docs).collect()})
+    for r in mixing.schedule(docs).collect():
         want[str(r.doc_id)] += r.copies
     assert collections.Counter(str(r.doc_id) for r in mixed.collect()) == +want
     assert mixing.schedule(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
@@ -80,6 +81,28 @@ def test_targets_against_a_loop(spark):
         assert [got[str(s)] for s, _ in sizes] == pytest.approx(want)
 
 
+def test_mix_null_and_hot_ids(spark):
+    """Documents of no id or one id are told apart and spread; further columns stay, whatever their names."""
+    rows = [(None, f"word {k} of {k % 7} many", "a", k, k) for k in range(400)] + [(5, "copy of it", "b", 1, 1)] * 300 + [(6, None, "c", 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row__ int, key__ int")
+    plan = mixing.schedule(docs.select("doc_id", "text", "source"))
+    assert plan.count() == len(rows)
+    got = collections.Counter(mixing.mix(docs).collect())
+    taken = {"a": 0, "b": 0}
+    for r, n in got.items():
+        assert tuple(r) in rows and r.text is not None
+        taken[r.source] += n * len(r.text.split())
+    goal = {r.target for r in plan.select("target").distinct().collect()}
+    assert all(min(abs(t - g) for g in goal) <= 10 for t in taken.values())
+
+
+def test_numbered(spark):
+    counted = spark.createDataFrame([("a", 10), ("b", 1), ("c", 4)], "k string, same long")
+    for span in (3, 1 << 16):
+        got = sorted((r.k, r.n) for r in scratch.numbered(counted, "same", "n", span).collect())
+        assert got == [("a", k) for k in range(1, 11)] + [("b", 1)] + [("c", k) for k in range(1, 5)]
+
+
 # 2
 
 
@@ -100,6 +123,11 @@ def test_shards(spark, corpus, tmp_path):
     assert key(sharding.place(docs.repartition(5), 7).collect()) == key(found)
     sharding.write(docs, str(tmp_path / "out"), 7)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(corpus)
+    odd = docs.withColumnsRenamed({"lang": "row__", "source": "shard"}).union(docs.limit(3))
+    sharding.write(odd, str(tmp_path / "odd"), 3)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert back.columns == [*odd.columns, "shard_"]
+    assert collections.Counter(map(str, back.drop("shard_").collect())) == collections.Counter(map(str, odd.collect()))
     assert sharding.place(docs.limit(0), 7).count() == 0
 
 
@@ -201,31 +229,65 @@ def test_urls(spark):
 # 5
 
 
-def test_vectors(spark):
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(30, 8))
-    x = [(v + rng.normal(size=8) * s).tolist() for v in base for s in (0, 0.05, 0.2, 0.4)]
-    x += [x[0]] * 50 + [(np.array(x[0]) * 3).tolist(), [0.0] * 8, None, [float("nan")] * 8, [1.0, 2.0], [1.0, 2.1], [float("inf")] * 8, [None] * 8]
-    df = spark.createDataFrame([(k, v, 7) for k, v in enumerate(x)], "vec_id long, embedding array<double>, n_links int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, block_rows=50).collect()}
+def links_by_a_loop(x):
+    """(links, component, kept) of each vector by all pairs."""
     ok = [v is not None and None not in v and bool(np.isfinite(v).all()) and any(v) for v in x]
     link = collections.defaultdict(set)
-    for a in range(len(x)):
-        for b in range(len(x)):
-            if a != b and ok[a] and ok[b] and len(x[a]) == len(x[b]):
-                u, v = np.array(x[a]), np.array(x[b])
-                if u @ v / np.sqrt(u @ u) / np.sqrt(v @ v) >= 0.9:
-                    link[a].add(b)
+    for size in {len(v) for v, o in zip(x, ok, strict=True) if o}:
+        at = [k for k in range(len(x)) if ok[k] and len(x[k]) == size]
+        u = np.array([x[k] for k in at], float)
+        u /= np.sqrt((u * u).sum(axis=1))[:, None]
+        for i, j in zip(*np.nonzero(u @ u.T >= 0.9), strict=True):
+            if i != j:
+                link[at[i]].add(at[j])
+    out = {}
     for a in range(len(x)):
         seen, todo = {a}, [a]
         while todo:
             for b in link[todo.pop()] - seen:
                 seen.add(b)
                 todo.append(b)
-        assert got[a] == (len(link[a]), min(seen), min(seen) == a)
+        out[a] = (len(link[a]), min(seen), min(seen) == a)
+    return out
+
+
+@pytest.mark.parametrize("centres", [4096, 25])
+@pytest.mark.parametrize("block_rows", [50, 4096])
+def test_vectors(spark, monkeypatch, centres, block_rows):
+    monkeypatch.setattr(embed_dedup, "CENTRES", centres)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(30, 8))
+    x = [(v + rng.normal(size=8) * s).tolist() for v in base for s in (0, 0.05, 0.2, 0.4)]
+    x += [x[0]] * 50 + [(np.array(x[0]) * 3).tolist(), [0.0] * 8, None, [float("nan")] * 8, [1.0, 2.0], [1.0, 2.1], [float("inf")] * 8, [None] * 8]
+    x += [(base[1] + rng.normal(size=8) * 0.02).tolist() for _ in range(160)]  # one dense group, larger than a block
+    x += [(base[k % 5] + rng.normal(size=8) * 0.3).tolist() for k in range(150)]
+    df = spark.createDataFrame([(k, v, 7) for k, v in enumerate(x)], "vec_id long, embedding array<double>, n_links int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, block_rows=block_rows).collect()}
+    assert got == links_by_a_loop(x)
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id(spark):
+    x = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (None, [0.0, 2.0]), (None, [-1.0, 0.0]), (1, [1.0, 0.0]), (1, None)]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(x, "vec_id long, embedding array<double>")).collect()
+    assert collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == collections.Counter(
+        [(1, 1, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (1, 0, 1, True)]
+    )
+
+
+def test_clusters_are_not_sent(spark):
+    """What the pairs of blocks read grows with the vectors where these lie in clusters."""
+    rng = np.random.default_rng(4)
+    sent = []
+    for n in (2000, 8000):
+        base = rng.normal(size=(n // 100, 32))
+        x = np.repeat(base, 100, axis=0) + rng.normal(size=(n, 32)) * 0.05
+        rows = spark.createDataFrame([(k, 1, v.tolist(), 32) for k, v in enumerate(x)], "key long, weight long, x array<double>, dim int")
+        held, cells = embed_dedup.cover(rows, {32: n}, np.sqrt(0.2), 256)
+        sent.append(embed_dedup.meet(embed_dedup.send(held, cells, np.sqrt(0.2), 0.9), 256).count() / n)
+    assert sent[1] < 1.3 * sent[0] < 3
+
+
 # 6
 
 PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script></head><body class="x"><nav><a href=x>Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>First  one<br><p>Two&nbsp;&lt;x&gt; <i>in</i>side</p><!-- no --><section class="comments"><p>reader</p></section><form>f</form></article><footer>&copy; x</footer>'
@@ -331,8 +393,38 @@ def test_classifier(spark):
     assert sum(r.kept__ == (r.doc_id % 4 > 0) for r in held) / len(held) > 0.97
     kept = quality_classifier.score(df, lab, only_kept=True)
     assert kept.columns == df.columns and kept.count() == sum(r.kept__ for r in out)
+    few = quality_classifier.score(df, lab, ids_only=True).collect()
+    assert collections.Counter((r.doc_id, round(r.quality_score__, 9), r.kept__) for r in few) == collections.Counter((r.doc_id, round(r.quality_score__, 9), r.kept__) for r in out)
     assert quality_classifier.score(df, lab.limit(0)).filter("kept__").count() == len(data)
     assert quality_classifier.score(df.limit(0), lab).count() == 0
+    odd = df.withColumnsRenamed({"size": "kept__", "KEY": "q", "kept": "id__"}).withColumn("quality_score__", F.lit("own"))
+    found = quality_classifier.score(odd, lab)
+    assert found.columns == [*odd.columns, "quality_score___", "kept___"] and found.filter("kept___").count() == kept.count()
+
+
+def test_cotraining_helps(spark):
+    """With few labels, what the views hand to each other makes up for words no label shows."""
+    rng = random.Random(5)
+    data, labels = [], []
+    known = [[prose(rng, 1) for _ in range(300)] for _ in range(2)]  # words of good and of bad documents; labels show few of them
+    for k in range(1500):
+        bad = rng.random() < 0.5
+        words_ = rng.sample(known[bad], 4) + [prose(rng, 1) for _ in range(16)]
+        rng.shuffle(words_)
+        data.append((k, " ".join(words_), "en", f"{'spam' if bad else 'site'}{rng.randrange(2)}", int(bad)))
+        if k < 60:
+            labels.append((k, int(not bad)))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, truth int").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    feats = scratch.materialize(quality_classifier.features(df, "doc_id", "text", ["lang", "source"]), "t")
+    rows = feats.orderBy("id").toArrow().to_batches()
+
+    def right(model):
+        p = np.concatenate([quality_classifier._probability(quality_classifier.odds(model, quality_classifier._batch_views(model, b), len(b))[0]) for b in rows])
+        return np.mean([(x >= 0.5) == (d[4] == 0) for x, d in zip(p[60:], data[60:], strict=True)])
+
+    alone, taught = (right(quality_classifier.fit(feats, lab, ["lang", "source"], rounds=n)) for n in (0, 3))
+    assert taught > alone + 0.1, (alone, taught)
 
 
 # 10
