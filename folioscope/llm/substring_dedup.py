@@ -3,18 +3,20 @@
 A gear hash rolls over the bytes of a text; a word whose preceding ``WINDOW`` bytes
 hash below ``CUT`` begins a new chunk.  As a cut depends on those bytes only, chunks
 line up again right after an insertion, and a passage is cut alike wherever it stands.
-Chunks are known by the digest of their words.  The first chunk of a digest - by doc_id,
-then place - stays; later ones are repeats.  Where a run of repeats has ``MIN_WORDS``
-words or more that follow each other in one earlier place too, it is removed.
+Chunks are known by digests of 94 bits of their words, and by how many these are.  The first chunk of a digest -
+by doc_id, then place - stays; later ones are repeats.  Where a run of repeats has
+``MIN_WORDS`` words or more that follow each other in one earlier place too, it is removed.
 
-Counting and finding first places is one pre-aggregated minimum over digests; the join
-back deals the chunks out by digest, where a chunk that a third of all documents hold
-is a skewed key of an inner join, which adaptive execution splits.  What returns to a
-document are its repeated chunks only.
+Chunks are shuffled once, by digest.  A slice of a megabyte of text sends one row for
+each digest it has, with the places it stands in, so a chunk that every document holds
+is one row a slice.  What returns to a document are its repeated chunks only.  Texts are
+shuffled once, to meet the chunks to remove; only texts that lose some go to Python.
 
 Texts are cut whole.  Null texts stay null; texts without words stay as they are; rows
-that repeat both id and text are one document and stay; documents of one id and
-different texts are told apart by a hash of the text.  An empty table gives no rows.
+that repeat both id and text are one document and stay; documents of one id, or of none,
+and different texts are told apart by a digest of 128 bits (which is left out where every
+row has an id of its own).  An empty table gives no rows.  Further columns stay as they
+are, whatever they are called; those of the report get longer names where they clash.
 """
 
 from __future__ import annotations
@@ -24,19 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from folioscope.llm.scratch import materialize, unused
 from folioscope.llm.words import Text, slices, text_of
 
 #: Bytes that decide about a cut, and the share of words that begin a chunk, of 2**16.
 WINDOW, CUT = 16, (1 << 16) // 5
-#: Words of repeated chunks in the order of one other place from which on they are removed.
-MIN_WORDS = 12
+#: Words of repeated chunks in the order of one other place from which on they are removed: of a passage
+#: of over 50 words, what surely is left without the chunks at its ends, which share words with what is around.
+MIN_WORDS = 25
 #: A chunk ends after so many words, as in a text that says one word over and over.
 MAX_WORDS = 32
+#: Bits that hold the words of a chunk less one.
+WORD_BITS = 5
+REPORT = ("removed_words__", "removed__", "firsts__")
 _GEAR = np.random.default_rng(29).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -51,10 +56,10 @@ def _roll(buf: np.ndarray) -> np.ndarray:
 
 
 def chunks(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first byte, words and digest of each chunk of a slice; the first chunk begins where the document does."""
+    """Document, first byte, words and digest (two rows of 62 bits) of each chunk of a slice; the first chunk begins where the document does."""
     if not len(text.starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, np.zeros((2, 0), np.int64)
     own = text.offsets[text.doc]
     h = _roll(text.buf)
     new = np.append(True, text.doc[1:] != text.doc[:-1])
@@ -64,58 +69,106 @@ def chunks(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     run = np.arange(len(cut)) - first[np.searchsorted(first, np.arange(len(cut)), "right") - 1]
     first = np.flatnonzero(new | cut | (run % MAX_WORDS == 0))
     after = np.append(first[1:], len(text.starts))
-    digest = text.hashes(text.starts[first], text.ends[after - 1]).view(np.int64)
+    digest = np.stack([text.hashes(text.starts[first], text.ends[after - 1], lane).view(np.int64) for lane in (0, 1)])
     begin = np.where(new[first], own[first], text.starts[first])
     return text.doc[first], begin, after - first, digest
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, at, words, digest) of every chunk."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def version(text: Column, versioned: bool) -> Column:
+    """What tells texts of one id apart; nothing where ids do."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))) if versioned else F.lit(b"")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, _, text in slices(batch.column(2)):
-                doc, _, words, digest = chunks(text)
-                first = np.searchsorted(doc, doc)
-                rows = pa.array(at + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((np.arange(len(doc)) - first).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(digest)],
-                    names=["doc_id", "version", "at", "words", "digest"],
-                )
 
-    rows = docs.select(docs[id_col].alias("doc_id"), version(docs[text_col]).alias("version"), docs[text_col].alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, version int, at int, words int, digest long")
+def _order(ids: pa.Array, versions: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each row by id, nulls first, then version; and whether a row is the first of its place."""
+    table = pa.table([ids, versions], names=["id", "version"])
+    order = pa.compute.sort_indices(table, sort_keys=[("id", "ascending"), ("version", "ascending")], null_placement="at_start").to_numpy()
+    table = table.take(order)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for column in table.columns:
+        column = column.combine_chunks()
+        left, right = column.slice(0, len(same)), column.slice(1)
+        equal = pa.compute.or_(pa.compute.fill_null(pa.compute.equal(left, right), False), pa.compute.and_(left.is_null(), right.is_null()))
+        same &= equal.to_numpy(zero_copy_only=False)
+    first = np.zeros(len(order), bool)
+    first[order[np.flatnonzero(np.append(True, ~same))[: len(order)]]] = True
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place, first
 
 
-def version(text):
-    return F.hash(text)
+def occurrences(docs: DataFrame, id_col: str, text_col: str, versioned: bool) -> DataFrame:
+    """(d1, d2, doc_id, version, at, more): for each slice and digest the first place in it, and the others; rows in order of place.
 
+    d2 holds 32 bits of the digest and, in its last ``WORD_BITS``, the words less one.  No version where ids tell texts apart.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    place_kind = f"struct<doc_id:{kind},version:binary,at:int>" if versioned else f"struct<doc_id:{kind},at:int>"
+    names = ["d1", "d2", "doc_id", *["version"] * versioned, "at", "more"]
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, versions = batch.column(0), batch.column(1)
+            place, once = _order(ids, versions)
+            for start, stop, text in slices(batch.column(2)):
+                doc, _, words, digest = chunks(text)
+                at = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                row = start + doc
+                second = (digest[1].view(np.uint64) >> np.uint64(32) << np.uint64(WORD_BITS)).astype(np.int64) + words - 1
+                digest = np.stack([digest[0], second])
+                if not once[start:stop].all():
+                    keep = once[row]
+                    row, at, digest = row[keep], at[keep], digest[:, keep]
+                order = np.lexsort((at, place[row], digest[1], digest[0]))
+                row, at, digest = row[order], at[order].astype(np.int32), digest[:, order]
+                first = np.flatnonzero(np.append(True, (digest[:, 1:] != digest[:, :-1]).any(axis=0))[: len(row)])
+                sizes = np.diff(np.append(first, len(row))) - 1
+                # in order of place neighbours have much in common, which compresses well
+                turn = np.lexsort((at[first], row[first]))
+                rest = np.repeat(first[turn] + 1, sizes[turn]) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes[turn]) - sizes[turn], sizes[turn])
+                first, sizes = first[turn], sizes[turn]
+
+                def held(which: np.ndarray, row=row, at=at) -> list[pa.Array]:
+                    own = pa.array(row[which])
+                    return [ids.take(own), *([versions.take(own)] if versioned else []), pa.array(at[which])]
+
+                others = pa.StructArray.from_arrays(held(rest), names=["doc_id", *["version"] * versioned, "at"])
+                more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), others, mask=pa.array(sizes == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(digest[0][first]), pa.array(digest[1][first]), *held(first), more], names=names)
+
+    rows = docs.select(docs[id_col].alias("doc_id"), version(docs[text_col], versioned).alias("version"), docs[text_col].alias("t"))
+    return rows.mapInArrow(run, f"d1 long, d2 long, doc_id {kind}, {'version binary, ' * versioned}at int, more array<{place_kind}>")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", versioned: bool = True) -> DataFrame:
     """(doc_id, version, chunks, firsts): per document the numbers of the chunks to remove, and ids of documents that hold them first."""
-    found = occurrences(docs, id_col, text_col)
-    place = F.struct("doc_id", "version", "at")
-    again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("digest", "first")
-    found = occurrences(docs, id_col, text_col)
-    later = found.join(again, "digest").filter("struct(doc_id, version, at) <> first")
-    later = later.select("doc_id", "version", "at", "words", F.col("first.doc_id").alias("origin"), F.col("first.at").alias("origin_at"))
-    lists = later.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("at", "words", "origin", "origin_at"))).alias("later"))
+    place = F.struct("doc_id", *["version"] * versioned, "at")
+    alike = Window.partitionBy("d1", "d2")
+    found = occurrences(docs, id_col, text_col, versioned)
+    found = found.withColumn("first", F.min(place).over(alike)).withColumn("n", F.count(F.lit(1)).over(alike)).filter("n > 1 OR more IS NOT NULL")
+    every = F.concat(F.array(place), F.coalesce("more", F.array().cast(found.schema["more"].dataType)))
+    words = (F.col("d2").bitwiseAND((1 << WORD_BITS) - 1) + 1).cast("int").alias("words")
+    later = found.select(words, "first", F.explode(every).alias("place")).filter("NOT place <=> first")
+    key, origin = ["doc_id", *["version"] * versioned], ["origin", *["origin_version"] * versioned]
+    later = later.select(*[f"place.{c}" for c in key], "place.at", "words", *[F.col(f"first.{c}").alias(o) for c, o in zip(key, origin, strict=True)], F.col("first.at").alias("origin_at"))
+    lists = later.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("at", "words", *origin, "origin_at"))).alias("later")).select(*key, "later")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(len(key))
             flat, cuts = column.flatten(), np.append(0, np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)))
             at, words = flat.field("at").to_numpy(), flat.field("words").to_numpy()
             own = np.repeat(np.arange(len(column)), np.diff(cuts))
-            left = np.flatnonzero(_aligned(own, at, words, flat.field("origin").dictionary_encode().indices.fill_null(-1).to_numpy(), flat.field("origin_at").to_numpy()))
+            code = lambda name: flat.field(name).dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+            place = np.unique(np.stack([code(c) for c in origin]), axis=1, return_inverse=True)[1].ravel()
+            left = np.flatnonzero(_aligned(own, at, words, place, flat.field("origin_at").to_numpy()))
             bounds = pa.array(np.searchsorted(left, cuts), pa.int32())
             lists = [pa.ListArray.from_arrays(bounds, flat.field(c).take(pa.array(left))) for c in ("at", "origin")]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "version", "chunks", "firsts"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(key)], *lists], names=[*key, "chunks", "firsts"])
             yield out.filter(pa.array(np.diff(np.searchsorted(left, cuts)) > 0))
 
-    found = lists.mapInArrow(run, f"doc_id {kind}, version int, chunks array<int>, firsts array<{kind}>")
+    found = lists.mapInArrow(run, f"doc_id {kind}, {'version binary, ' * versioned}chunks array<int>, firsts array<{kind}>")
     return found.withColumn("firsts", F.array_sort(F.array_distinct("firsts")))
 
 
@@ -146,37 +199,32 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     code point of each removed piece in the old text) and ``firsts__`` (ids that keep them).
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    found = materialize(repeats(docs, id_col, text_col), "sub-repeats")
-    found = found.select(F.col("doc_id").alias("id__"), F.col("version").alias("version__"), F.col("chunks").alias("chunks__"), F.col("firsts").alias("firsts__"))
-    own = unused("own_version__", docs.columns)
-    rows = docs.withColumn(own, version(docs[text_col]))
-    joined = rows.join(found, rows[id_col].eqNullSafe(found["id__"]) & (rows[own] == found["version__"]), "left")
-    joined = joined.select(*[rows[c] for c in docs.columns], "chunks__", "firsts__")
-    text_at, chars_at = docs.columns.index(text_col), next((k for k, c in enumerate(docs.columns) if c == "n_chars" and c != text_col), -1)
-    fields = list(docs.schema.fields) + (StructType.fromDDL(f"removed_words__ long, removed__ array<array<long>>, firsts__ array<{kind}>").fields if report else [])
-    schema, width = StructType(fields), len(docs.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(k) for k in range(width)]
-            drop = batch.column(width).to_pylist()
-            hit = [k for k, c in enumerate(drop) if c]
-            texts, words, spans = {}, {}, {}
-            for k in hit:
-                texts[k], words[k], spans[k] = without(columns[text_at][k].as_py(), drop[k])
-            if hit:
-                new = pa.array([texts.get(k, None) for k in range(len(drop))], columns[text_at].type)
-                columns[text_at] = pa.compute.if_else(pa.array([bool(c) for c in drop]), new, columns[text_at])
-                if chars_at >= 0:
-                    counts = pa.array([len(texts[k]) if k in texts else None for k in range(len(drop))], columns[chars_at].type)
-                    columns[chars_at] = pa.compute.if_else(pa.array([bool(c) for c in drop]), counts, columns[chars_at])
-            if report:
-                columns.append(pa.array([words.get(k, 0) for k in range(len(drop))], pa.int64()))
-                columns.append(pa.array([spans.get(k, []) for k in range(len(drop))], pa.list_(pa.list_(pa.int64()))))
-                columns.append(batch.column(width + 1))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-
-    return joined.mapInArrow(run, schema)
+    versioned = not docs.select(docs[id_col].alias("id")).groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty()
+    i, v, c, f, own, new = (unused(x, [*docs.columns, *REPORT]) for x in ("id__", "version__", "chunks__", "where__", "own__", "new__"))
+    found = materialize(repeats(docs, id_col, text_col, versioned), "sub-repeats")
+    found = found.select(F.col("doc_id").alias(i), *[F.col("version").alias(v)] * versioned, F.col("chunks").alias(c), F.col("firsts").alias(f))
+    rows = docs.withColumn(own, version(docs[text_col], versioned)) if versioned else docs
+    on = (rows[id_col].eqNullSafe(found[i]) & (rows[own] == found[v])) if versioned else rows[id_col] == found[i]
+    joined = rows.join(found.hint("merge"), on, "left").select(*[rows[x] for x in docs.columns], c, f)
+
+    @F.arrow_udf("struct<text:string,words:bigint,spans:array<array<bigint>>>")
+    def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
+        # texts that lose nothing come as nulls
+        done = [without(t.as_py(), d.as_py()) if d.is_valid else (None, None, None) for t, d in zip(texts, drops, strict=True)]
+        parts = [pa.array([x[k] for x in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.list_(pa.list_(pa.int64()))))]
+        return pa.StructArray.from_arrays(parts, names=["text", "words", "spans"])
+
+    hit = joined[c].isNotNull()
+    joined = joined.withColumn(new, cut(F.when(hit, joined[text_col]), joined[c]))
+    text = F.when(hit, joined[new]["text"]).otherwise(joined[text_col])
+    counted = next((x for x in docs.columns if x == "n_chars" and x != text_col), None)
+    kept = {text_col: text} | ({counted: F.when(hit, F.length(joined[new]["text"]).cast(docs.schema[counted].dataType)).otherwise(joined[counted])} if counted else {})
+    out = [kept[x].alias(x) if x in kept else joined[x] for x in docs.columns]
+    if report:
+        none = F.array()
+        values = (F.coalesce(joined[new]["words"], F.lit(0)).cast("long"), F.coalesce(joined[new]["spans"], none.cast("array<array<bigint>>")), F.coalesce(joined[f], none.cast(f"array<{kind}>")))
+        out += [value.alias(unused(name, docs.columns)) for name, value in zip(REPORT, values, strict=True)]
+    return joined.select(*out)
 
 
 def without(text: str, drop: list[int]) -> tuple[str, int, list[list[int]]]:
