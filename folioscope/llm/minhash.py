@@ -13,8 +13,8 @@ similarity; ``ROWS`` samples make a band, and texts that share a band are candid
 * In a band's bucket every node is first compared with the bucket's hub, the node whose
   bands are shared most: as many pairs as members.
 * Then every pair of a bucket's nodes that these links leave in different classes is
-  compared, block against block of ``BLOCK`` nodes: no pair that shares a band is left
-  out unless its two nodes are in one class already.  Nodes of a bucket's largest class
+  compared, block against block of nodes with ``BLOCK`` words: no pair that shares a band
+  is left out unless its two nodes are in one class already.  Nodes of a bucket's largest class
   meet the others only, so what is sent and compared grows with the others.  A bucket of
   several blocks first has each block compared within itself, which joins most.
 * Candidates are verified by their exact weighted Jaccard similarity over whole texts.
@@ -40,8 +40,8 @@ from folioscope.llm.words import SHINGLE, Text, distinct, mix, slices, text_of
 
 HASHES, ROWS = 36, 3
 SIMILARITY = 0.8
-#: Nodes of a bucket in a block, about; blocks are compared in tasks of their own.
-BLOCK = 128
+#: Words of a bucket's nodes in a block, about, as many as a task holds at ease; pairs of blocks are compared in tasks of their own.
+BLOCK = 1 << 18
 #: Slots of document frequencies, and pieces in which they are summed.
 SLOTS, PIECES = 1 << 18, 64
 #: How much more the rarest shingle weighs than one that all documents have.
@@ -150,7 +150,7 @@ def bands(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, bands): the digest of the text and its bands, empty without words."""
+    """(doc_id, key, size, bands): the digest of the text, its words, and its bands, empty without words."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -158,15 +158,17 @@ def signatures(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str)
         sampler = Sampler()
         for batch in batches:
             parts: list = []
+            sizes: list = []
             for _, _, text in slices(batch.column(2), 1 << 19):
                 doc, key, tf = shingles(text)
                 found = bands(sampler.sample(doc, key, tf * sent.value[slot(key)], text.n))
                 has = text.counts > 0
                 parts += [row if ok else [] for row, ok in zip(found.tolist(), has.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                sizes += text.counts.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "bands"])
 
     rows = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("key"), docs[text_col].alias("t"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key binary, size long, bands array<long>")
 
 
 def digest(text):
@@ -239,18 +241,18 @@ def block_links(comp: np.ndarray, side: np.ndarray, texts: list[bytes], weights:
 
 
 def _open(left: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
-    """(key, bucket, comp, main, others, most) of buckets with nodes in several components; of buckets with equal nodes, one.
+    """(key, size, bucket, comp, main, others, most) of buckets with nodes in several components; of buckets with equal nodes, one.
 
-    ``main`` is the largest component of the bucket with ``most`` nodes; ``others`` counts the rest.
+    ``main`` is the largest component of the bucket with ``most`` words; ``others`` counts those of the rest.
     """
-    held = left.select("key", "bucket").join(groups.select(F.col("node").alias("key"), "component"), "key", "left")
-    held = materialize(few(held.select("key", "bucket", F.coalesce("component", "key").alias("comp")), rows), "mh-held")
+    held = left.select("key", "size", "bucket").join(groups.select(F.col("node").alias("key"), "component"), "key", "left")
+    held = materialize(few(held.select("key", "size", "bucket", F.coalesce("component", "key").alias("comp")), rows), "mh-held")
     print_ = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"p{k}") for k in (1, 2)]
-    per = held.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), *print_)
+    per = held.groupBy("bucket", "comp").agg(F.sum("size").alias("n"), *print_)
     whole = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
     whole = few(whole, rows).filter("comps > 1").groupBy("p1", "p2", "all").agg(F.min(F.struct("bucket", "top")).alias("one"))
     whole = few(whole, rows).select("one.bucket", F.col("one.top.comp").alias("main"), (F.col("all") - F.col("one.top.n")).alias("others"), F.col("one.top.n").alias("most"))
-    return materialize(few(held.join(whole, "bucket"), rows).select("key", "bucket", "comp", "main", "others", "most"), "mh-open")
+    return materialize(few(held.join(whole, "bucket"), rows).select("key", "size", "bucket", "comp", "main", "others", "most"), "mh-open")
 
 
 def resolve(opened: DataFrame, texts: DataFrame, weights: np.ndarray, least: float, all_blocks: bool) -> DataFrame:
@@ -296,23 +298,23 @@ def resolve(opened: DataFrame, texts: DataFrame, weights: np.ndarray, least: flo
 
 
 def _crowded(held: DataFrame, rows: int) -> DataFrame:
-    """Members (key, bucket, weight) of buckets that hold two nodes or more; weight: by how much they are shared."""
+    """Members (key, size, bucket, weight) of buckets that hold two nodes or more; weight: by how much they are shared."""
     counts = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     inside = materialize(few(held.join(counts, "bucket"), rows), "mh-members")
     shared = few(inside.groupBy("key").agg(F.sum("n").alias("weight")), rows)
-    return materialize(few(inside.select("key", "bucket").join(shared, "key"), rows), "mh-weighed")
+    return materialize(few(inside.select("key", "size", "bucket").join(shared, "key"), rows), "mh-weighed")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, key (digest of its text), class_id, class_size, kept (doc_id = class_id)."""
     weights = slot_weights(*document_frequencies(docs, text_col))
     signed = materialize(signatures(docs, weights, id_col, text_col), "mh-signed")
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     size = signed.count()
     nodes = materialize(few(nodes, size), "mh-nodes")
     size = nodes.count()
     rows_ = size * (HASHES // ROWS)
-    members = _crowded(nodes.select("key", F.explode("bands").alias("bucket")), rows_)
+    members = _crowded(nodes.select("key", "size", F.explode("bands").alias("bucket")), rows_)
     wanted = members.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("key").alias("key__"), F.col("rep").alias("rep__"))
     rows = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("rep__")) & (rows["key"] == F.col("key__"))).select("key", "text")
