@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,18 +41,19 @@ def match_pages(a: Column, b: Column, max_distance: int) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) <= F.size(b)), mean)
 
 
-def bands(hash_: Column, max_distance: int) -> Column:
-    """Array of (band, bits): ``max_distance + 1`` disjoint parts of the 64 bits.
+def bands(hash_: Column, max_distance: int, spare: int = 1) -> Column:
+    """Array of (band, bits): all choices of ``spare + 1`` of ``max_distance + spare + 1`` disjoint parts of the 64 bits.
 
-    Two hashes within the distance agree on one part at least.
+    Two hashes within the distance agree on ``spare + 1`` parts at least, so on one choice.
+    More to spare makes choices wider, which fewer hashes share by chance, and more of them.
     """
-    count = max_distance + 1
-    if not 0 < count <= 64:
+    count = min(max_distance + spare + 1, 64)
+    if not 0 <= max_distance < count:
         raise ValueError("a distance below 64 is needed")
     cuts = [64 * k // count for k in range(count + 1)]
     parts = []
-    for k in range(count):
-        mask = ((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k]
+    for k, chosen in enumerate(combinations(range(count), count - max_distance)):
+        mask = sum(((1 << (cuts[j + 1] - cuts[j])) - 1) << cuts[j] for j in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
         parts.append(F.struct(F.lit(k).alias("band"), hash_.bitwiseAND(F.lit(signed)).alias("bits")))
     return F.array(*parts)

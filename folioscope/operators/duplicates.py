@@ -1,8 +1,9 @@
 """Duplicates of documents: exact, near and contained.
 
-Candidates of the near tier share a band of the first page's hash; by the pigeonhole
-principle no pair within the distance is missed, and the join is an equi-join instead
-of a nested loop.  The greedy page assignment then decides (T2).
+As every page of a document must find a partner in the other, its rarest page alone tells
+the candidates.  Hashes within the distance of it share a band, a choice of parts of their
+bits; by the pigeonhole principle none is missed, and the join is an equi-join of distinct
+hashes instead of a nested loop over documents.  The greedy page assignment then decides (T2).
 """
 
 from __future__ import annotations
@@ -38,12 +39,17 @@ def page_arrays(page_hash: DataFrame, algo: str = "phash8") -> DataFrame:
     return rows.groupBy("document_id").agg(F.transform(ordered, lambda x: x["h"]).alias("pages")).withColumn("n_pages", F.size("pages"))
 
 
-def _candidates(arrays: DataFrame, max_distance: int) -> DataFrame:
-    """(a, b): documents of which b has a page that shares a band with the first page of a."""
-    first = arrays.select(F.col("document_id").alias("a"), F.explode(phash.bands(F.col("pages")[0], max_distance)).alias("band"))
-    pages = arrays.select(F.col("document_id").alias("b"), F.explode("pages").alias("page")).distinct()
-    every = pages.select("b", F.explode(phash.bands(F.col("page"), max_distance)).alias("band")).distinct()
-    return first.join(every, "band").filter("a <> b").select("a", "b").distinct()
+def _candidates(arrays: DataFrame, max_distance: int, wanted: Column) -> DataFrame:
+    """(a, b): documents of which b has a page within the distance of a's rarest one.  ``wanted``: a test of a, b, n_a and n_b."""
+    pages = arrays.select("document_id", "n_pages", F.explode(F.array_distinct("pages")).alias("page"))
+    seen = pages.groupBy("page").agg(F.count(F.lit(1)).alias("seen"))
+    probes = pages.join(seen, "page").groupBy("document_id", "n_pages").agg(F.min(F.struct("seen", "page"))["page"].alias("page"))
+    probe = probes.select("page").distinct().select(F.col("page").alias("p"), F.explode(phash.bands(F.col("page"), max_distance)).alias("band"))
+    every = seen.select(F.col("page").alias("q"), F.explode(phash.bands(F.col("page"), max_distance)).alias("band"))
+    near = probe.join(every, "band").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= max_distance).select("p", "q").distinct()
+    a = probes.select(F.col("document_id").alias("a"), F.col("n_pages").alias("n_a"), F.col("page").alias("p"))
+    b = pages.select(F.col("document_id").alias("b"), F.col("n_pages").alias("n_b"), F.col("page").alias("q"))
+    return a.join(near, "p").join(b, "q").filter(wanted).select("a", "b").distinct()
 
 
 def _with_pages(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -58,8 +64,7 @@ def near_matches(arrays: DataFrame, max_distance: int = MAX_DISTANCE, max_pairs:
     The lower id is a.  score: 1 - mean distance / 64.  Documents of one sha256, where
     that column is there, are the exact tier's.  ``max_pairs`` bounds the candidates (W7).
     """
-    pairs = _candidates(arrays, max_distance).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rows = _with_pages(pairs, arrays).filter("n_a = n_b")
+    rows = _with_pages(_candidates(arrays, max_distance, F.expr("a < b AND n_a = n_b")), arrays)
     if "sha256" in arrays.columns:
         rows = rows.filter("sha256_a <> sha256_b")
     rows = budget(rows, max_pairs, "a", "b")
@@ -68,7 +73,7 @@ def near_matches(arrays: DataFrame, max_distance: int = MAX_DISTANCE, max_pairs:
 
 def subset_matches(arrays: DataFrame, max_distance: int = MAX_DISTANCE, max_pairs: int | None = None) -> DataFrame:
     """J9. (document_a, document_b, score): all pages of a pair up with pages of the longer b; score: share of b."""
-    rows = _with_pages(_candidates(arrays, max_distance), arrays).filter("n_a < n_b")
+    rows = _with_pages(_candidates(arrays, max_distance, F.expr("a <> b AND n_a < n_b")), arrays)
     rows = budget(rows, max_pairs, "a", "b")
     mean = phash.match_pages(F.col("pages_a"), F.col("pages_b"), max_distance)
     return rows.filter(mean.isNotNull()).select(F.col("a").alias("document_a"), F.col("b").alias("document_b"), (F.col("n_a") / F.col("n_b")).alias("score"))
@@ -98,10 +103,11 @@ def shared_hash_pairs(page_hash: DataFrame) -> DataFrame:
 
 
 def pending_hash(documents: DataFrame, occurrences: DataFrame, page_hash: DataFrame, limit: int | None = None) -> DataFrame:
-    """J1, J2, W6. Live documents without page hashes, with their least path, by id."""
+    """J1, J2, W6. Live documents without page hashes, with their least path, by id; of known page count, where ``documents`` has one."""
     live = occurrences.filter(F.col("missing_since").isNull()) if "missing_since" in occurrences.columns else occurrences
     paths = live.groupBy("document_id").agg(F.min("rel_path").alias("rel_path"))
-    out = documents.select("document_id").join(paths, "document_id").join(page_hash.select("document_id").distinct(), "document_id", "left_anti")
+    known = documents.filter(F.col("page_count").isNotNull()) if "page_count" in documents.columns else documents
+    out = known.select("document_id").join(paths, "document_id").join(page_hash.select("document_id").distinct(), "document_id", "left_anti")
     return out.orderBy("document_id").limit(limit) if limit else out
 
 

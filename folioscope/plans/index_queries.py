@@ -113,18 +113,16 @@ def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance 0, at which greedy matching is equality of page multisets."""
-    return duplicates.near_matches(_arrays(spark, sf_dir), max_distance=0)
+    return duplicates.near_matches(_arrays(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
 def near_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with pairs of equal digests."""
-    return duplicates.near_matches(duplicates.page_arrays(ad.page_hash(spark, sf_dir)), max_distance=0)
+    return duplicates.near_matches(duplicates.page_arrays(ad.page_hash(spark, sf_dir))).withColumn("score", F.round("score", 9))
 
 
 def subset_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance 0, at which greedy matching is containment of page multisets."""
-    return duplicates.subset_matches(_arrays(spark, sf_dir), max_distance=0).withColumn("score", F.round("score", 6))
+    return duplicates.subset_matches(_arrays(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def shared_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +208,13 @@ QUERIES = {f.__name__: f for f in (
 
 _GROUPS = f"WITH {ad.OCC}, g AS (SELECT document_id, string_agg(rel_path, '|' ORDER BY rel_path) AS paths, count(*) AS n FROM occ GROUP BY 1 HAVING count(*) > 1)"
 _STATES = "states AS (SELECT n.rel_path, CASE WHEN o.rel_path IS NULL THEN 'new' WHEN o.missing_since IS NULL AND o.mtime = n.mtime AND o.size_bytes = n.size_bytes THEN 'unchanged' ELSE 'changed' END AS state FROM seen n LEFT JOIN stored o USING (rel_path))"
-_NEAR = f"WITH {ad.PAGES}, a AS (SELECT document_id, sha256, list(phash ORDER BY phash) AS pages FROM page_hash GROUP BY 1, 2)"
+# page by page, the nearest page that is still free, the earliest on ties
+_NEAR = f"""WITH RECURSIVE {ad.PAGES}, d AS (SELECT document_id, sha256, list(h ORDER BY page_no) AS pages FROM page_hash GROUP BY 1, 2),
+    cand AS (SELECT x.document_id AS a, y.document_id AS b, x.sha256 = y.sha256 AS same, x.pages AS pa, y.pages AS pb FROM d x JOIN d y ON x.document_id <> y.document_id AND len(x.pages) <= len(y.pages) AND (len(x.pages) < len(y.pages) OR x.document_id < y.document_id)
+      AND list_min(list_transform(y.pages, lambda q: bit_count(xor(x.pages[1], q)))) <= 6),
+    walk AS (SELECT a, b, 1 AS i, []::BIGINT[] AS used, 0 AS total FROM cand UNION ALL SELECT a, b, i + 1, list_append(used, best.j), total + best.d FROM (
+      SELECT w.*, list_aggregate(list_filter(list_transform(range(1, len(pb) + 1), lambda j: {{d: bit_count(xor(pa[i], pb[j]))::INT, j: j}}), lambda s: NOT list_contains(used, s.j)), 'min') AS best FROM walk w JOIN cand USING (a, b) WHERE i <= len(pa)) WHERE best.d <= 6),
+    m AS (SELECT a, b, same, len(pa) AS na, len(pb) AS nb, total FROM walk JOIN cand USING (a, b) WHERE i = len(pa) + 1)"""
 _TEXT = r"length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0"
 
 ORACLES = {
@@ -236,15 +240,12 @@ ORACLES = {
     "hamming_pairs": """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
         h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda i: (s[i + 1]::UBIGINT) << (63 - i)))::UBIGINT AS h FROM b)
         SELECT a.vec_id AS document_a, c.vec_id AS document_b, bit_count(xor(a.h, c.h))::INT AS distance FROM h a JOIN h c ON a.vec_id < c.vec_id WHERE bit_count(xor(a.h, c.h)) <= 16""",
-    "near_duplicates": f"{_NEAR} SELECT x.document_id AS document_a, y.document_id AS document_b, 1.0::DOUBLE AS score FROM a x JOIN a y ON x.pages = y.pages AND x.document_id < y.document_id AND x.sha256 <> y.sha256",
-    "near_pairs_all": f"{_NEAR} SELECT x.document_id AS document_a, y.document_id AS document_b, 1.0::DOUBLE AS score FROM a x JOIN a y ON x.pages = y.pages AND x.document_id < y.document_id",
-    "subset_matches": f"""WITH {ad.PAGES}, n AS (SELECT document_id, count(*) AS n FROM page_hash GROUP BY 1), k AS (SELECT document_id, phash, count(*) AS c FROM page_hash GROUP BY 1, 2),
-        need AS (SELECT document_id, count(*) AS kinds FROM k GROUP BY 1),
-        hit AS (SELECT x.document_id AS a, y.document_id AS b, count(*) AS kinds FROM k x JOIN k y ON x.phash = y.phash AND x.document_id <> y.document_id AND x.c <= y.c GROUP BY 1, 2)
-        SELECT a AS document_a, b AS document_b, round(na.n / nb.n, 6) AS score FROM hit JOIN need ON need.document_id = a AND need.kinds = hit.kinds JOIN n na ON na.document_id = a JOIN n nb ON nb.document_id = b WHERE na.n < nb.n""",
+    "near_duplicates": f"{_NEAR} SELECT a AS document_a, b AS document_b, round(1 - total / na / 64, 9) AS score FROM m WHERE na = nb AND NOT same",
+    "near_pairs_all": f"{_NEAR} SELECT a AS document_a, b AS document_b, round(1 - total / na / 64, 9) AS score FROM m WHERE na = nb",
+    "subset_matches": f"{_NEAR} SELECT a AS document_a, b AS document_b, round(na / nb, 6) AS score FROM m WHERE na < nb",
     "shared_hash_pairs": f"WITH {ad.PAGES}, p AS (SELECT DISTINCT document_id, phash FROM page_hash) SELECT DISTINCT a.document_id AS document_a, b.document_id AS document_b FROM p a JOIN p b ON a.phash = b.phash AND a.document_id < b.document_id",
     "page_rollup": f"""WITH {ad.PAGE_OCR}, t AS (SELECT *, {_TEXT} AS ok FROM page_ocr) SELECT document_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER (ok) AS ocr_text,
-        CASE max(CASE ocr_source WHEN 'local_text' THEN 1 WHEN 'drive' THEN 2 ELSE 3 END) FILTER (ok) WHEN 1 THEN 'local' WHEN 2 THEN 'drive' WHEN 3 THEN 'vision' END AS ocr_source FROM t GROUP BY 1""",
+        CASE max(CASE ocr_source WHEN 'local_text' THEN 1 WHEN 'drive' THEN 2 ELSE 3 END) WHEN 1 THEN 'local' WHEN 2 THEN 'drive' WHEN 3 THEN 'vision' END AS ocr_source FROM t GROUP BY 1""",
     "ocr_status_hist": f"""WITH {ad.PAGE_OCR} SELECT count(DISTINCT document_id) AS documents, count(*) AS pages, count_if(status = 'ok')::BIGINT AS ok, count_if(status = 'pending_vision')::BIGINT AS pending_vision, count_if(status = 'pending_drive')::BIGINT AS pending_drive,
         count_if(status = 'skipped')::BIGINT AS skipped, count_if(status = 'exhausted')::BIGINT AS exhausted, count_if(note IN ('tesseract_missing', 'drive_offline'))::BIGINT AS degraded FROM page_ocr""",
     "coarse_source": f"WITH {ad.PAGE_OCR} SELECT document_id, page_number::INT AS page_number, CASE ocr_source WHEN 'local_text' THEN 'local' ELSE ocr_source END AS coarse FROM page_ocr",
