@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import secrets
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import text
 from folioscope.operators import classify, duplicates, moves, plan, reading, search
 from folioscope.operators.rules import Taxonomy
-from folioscope.sources import listing
+from folioscope.schema import TABLES
+from folioscope.scratch import rounds
+from folioscope.sources import listing, pages, remote
+from folioscope.sources.pages import Tools
 from folioscope.store import Store, rotate
 from folioscope.streaming import ingest as scans
 
@@ -29,53 +34,139 @@ class Cabinet:
         there = self.store.exists()
         return {"migrated": there, "documents": self.store.read("document").count() if there else 0}
 
-    def ingest(self, **options) -> DataFrame:
-        """Scan the folder: only new and changed files are hashed; the states of all."""
+    def ingest(self, tools: Tools = Tools(), **options) -> DataFrame:
+        """Scan the folder: only new and changed files are hashed and probed; the states of all."""
         files = listing.listing(self.spark, self.root, **options)
         scan = 1 + (self.store.read("scan").agg(F.max("scan_id").alias("n")).first()["n"] or 0)
         known = scans.ingest.classify(files, self.store.read("occurrence"))
-        fresh = listing.hashed(known.filter("state <> 'unchanged'").select(*files.columns), self.root).filter("sha256 IS NOT NULL")
-        old = known.filter("state = 'unchanged'").select(*files.columns, F.lit(None).cast("string").alias("sha256"))
-        states = scans.absorb(self.store, fresh.select(*files.columns, "sha256").unionByName(old), scan, full=True)
+        with rounds(self.spark) as keep:
+            fresh = listing.hashed(known.filter("state <> 'unchanged'").select(*files.columns), self.root).filter("sha256 IS NOT NULL")
+            fresh = keep(pages.counted(fresh, self.root, tools.count))
+            old = known.filter("state = 'unchanged'").select(*files.columns).withColumns({"sha256": F.lit(None).cast("string"), "mime": F.lit(None).cast("string"), "page_count": F.lit(None).cast("int")})
+            states = keep(scans.absorb(self.store, fresh.unionByName(old), scan, full=True))
         before = self.store.read("scan")
         self.store.commit({"scan": before.unionByName(self.spark.createDataFrame([(scan, datetime.now(timezone.utc))], before.schema))})
         return states
 
-    def dupes(self, max_distance: int = duplicates.MAX_DISTANCE) -> dict:
-        """All tiers; near and contained pairs are queued for review."""
+    def hash_pages(self, tools: Tools, limit: int | None = None) -> tuple[int, int]:
+        """J2. Page hashes of live documents of known page count that have none; (documents, pages) hashed."""
+        if tools.hashes is None:
+            return 0, 0
+        stored = self.store.read("page_hash")
+        pending = duplicates.pending_hash(self.store.read("document"), self.store.read("occurrence"), stored, limit)
+        with rounds(self.spark) as keep:
+            new = keep(pages.hashes(pending, self.root, tools.hashes).withColumn("computed_at", F.current_timestamp()))
+        self.store.commit({"page_hash": stored.unionByName(new.select(*stored.columns))})
+        row = new.agg(F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("pages")).first()
+        return row["documents"], row["pages"]
+
+    def dupes(self, max_distance: int = duplicates.MAX_DISTANCE, tools: Tools = Tools()) -> dict:
+        """All tiers, after a backfill of page hashes; near and contained pairs are queued for review."""
+        hashed, n_pages = self.hash_pages(tools)
         arrays = duplicates.page_arrays(self.store.read("page_hash"))
         near = duplicates.near_matches(arrays, max_distance).select(F.lit("near").alias("kind"), "document_a", "document_b", "score", F.lit(None).cast("string").alias("detail"))
         subset = duplicates.subset_matches(arrays, max_distance).select(F.lit("subset").alias("kind"), "document_a", "document_b", "score", F.lit(None).cast("string").alias("detail"))
         merged, new = duplicates.queue(self.store.read("dupe_review"), near.unionByName(subset), F.current_timestamp())
         exact = duplicates.exact_totals(duplicates.exact_groups(self.store.read("occurrence"))).first().asDict()
-        counts = exact | {"near": near.count(), "subset": subset.count(), "queued": new.count()}
+        counts = exact | {"near": near.count(), "subset": subset.count(), "queued": new.count(), "hashed_documents": hashed, "hashed_pages": n_pages}
         self.store.commit({"dupe_review": merged})
         return counts
 
     def label(self, kind: str, a: int, b: int, verdict: str, source: str = "human") -> None:
+        if kind not in duplicates.LABEL_KINDS:
+            raise ValueError(f"unknown kind {kind}")
         said = self.spark.createDataFrame([(kind, a, b, verdict, source)], "kind string, document_a long, document_b long, verdict string, source string")
         labels, reviews = duplicates.label(self.store.read("dupe_label"), self.store.read("dupe_review"), said, F.current_timestamp())
         self.store.commit({"dupe_label": labels, "dupe_review": reviews})
 
-    def submit(self, document_id: int, rung: str, text: str, page: int | None = None) -> None:
-        """I8. An agent's text of a page, at full confidence; the document's text is rolled up anew."""
+    def labels(self) -> DataFrame:
+        """W9. Labels in the order in which they were given."""
+        return self.store.read("dupe_label").orderBy("labelled_at", *duplicates.REVIEW_KEY)
+
+    def pending(self, limit: int | None = None) -> DataFrame:
+        """W8."""
+        found = duplicates.pending(self.store.read("dupe_review"))
+        return found.limit(limit) if limit else found
+
+    def ocr(self, tools: Tools, connect=None, ladder: tuple[str, ...] = reading.LADDER, least: float = reading.MIN_CONFIDENCE, limit: int | None = None, top: tuple[str, ...] = ()) -> dict[str, int]:
+        """I3-I7. Walk the ladder over every page of live documents that is neither done nor spent; counters of this run."""
+        documents, occurrences, stored = self.store.read("document"), self.store.read("occurrence"), self.store.read("page_ocr")
+        if tools.layers is None:
+            return {"documents": 0, "skipped": documents.count()}
+        live = occurrences.filter(F.col("missing_since").isNull())
+        paths = documents.select("document_id").join(duplicates.first_path_min(live), "document_id")
+        paths = paths.orderBy("document_id").limit(limit) if limit else paths
+        stamp = datetime.now(timezone.utc)
+        with rounds(self.spark) as keep:
+            read = keep(pages.layers(paths, self.root, tools.layers))
+            known = stored.select("document_id", "page_number", *[F.col(c).alias(f"old_{c}") for c in ("confidence", "rung", "status", "note")])
+            rows = read.filter("page_number IS NOT NULL").join(known, ["document_id", "page_number"], "left")
+            start = reading.resume_index(F.col("old_rung"), F.col("old_status"), F.col("old_note"), ladder)
+            rows = rows.withColumn("start", start).filter(~reading.is_done(F.col("old_confidence"), least) & (F.col("start") < len(ladder)))
+            rows = rows.withColumn("layer_confidence", text.confidence_of(F.col("layer_text")))
+            at = {name: ladder.index(name) if name in ladder else len(ladder) for name in reading.LADDER}
+            rows = keep(pages.recognised(rows.withColumn("wanted", (F.col("start") <= at["local"]) & (F.col("layer_confidence") < least) & F.lit("local" in ladder)), self.root, tools.recognise))
+            read_here = reading.local_result(F.col("layer_text"), F.col("layer_confidence"), F.col("ocr_text"), F.col("ocr_confidence"), F.lit(tools.recognise is not None), F.col("rendered"), least)
+            sure = (F.col("start") <= at["local"]) & (F.col("local.confidence") >= least)
+            rows = rows.withColumn("local", read_here).withColumn("asks", F.lit("drive" in ladder) & (F.col("start") <= at["drive"]) & ~F.coalesce(sure, F.lit(False)))
+            places = F.array_sort(F.collect_list(F.struct("rel_path", "size_bytes")))
+            asked = live.join(rows.filter("asks").select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(places.alias("places"))
+            rows = rows.join(remote.texts(asked, connect, top), "document_id", "left")
+            first = F.col("page_number") == F.min(F.when(F.col("asks"), F.col("page_number"))).over(Window.partitionBy("document_id"))
+            rungs = {"local": F.col("local"), "drive": reading.drive_result(F.col("answer"), F.col("answer_note"), first), "vision": reading.vision_result()}
+            results = F.array(*[rungs.get(name, reading.unknown_result(name)) for name in ladder])
+            seed = F.when(F.startswith("old_note", F.lit("drive_")), F.col("old_note"))
+            rows = rows.withColumn("out", reading.walk(F.slice(results, F.col("start") + 1, F.lit(len(ladder))), least, seed))
+            new = rows.select("document_id", "page_number", *[F.col(f"out.{c}").alias(c) for c in ("text", "confidence", "rung", "ocr_source", "status", "note")], F.lit(stamp).alias("updated_at"))
+            seen = read.agg(F.count_distinct(F.when(F.col("page_number").isNotNull(), F.col("document_id"))).alias("documents"), F.count_if(F.col("page_number").isNull()).alias("errors")).first().asDict()
+            new = keep(reading.keep_earlier(new, stored))
+        self._read(reading.upsert_pages(stored, new), new.select("document_id").distinct())
+        return reading.summary(new).first().asDict() | seen
+
+    def _read(self, page_ocr: DataFrame, touched: DataFrame) -> None:
+        """Commit pages, the texts rolled up of the touched documents, and the index of those that changed."""
         docs = self.store.read("document")
-        row = docs.filter(F.col("document_id") == document_id).first()
+        rolled = reading.roll_up(page_ocr.join(touched, "document_id", "left_semi")).select("document_id", F.col("ocr_text").alias("t__"), F.col("ocr_source").alias("s__"), F.lit(True).alias("hit__"))
+        joined = docs.join(rolled, "document_id", "left")
+        joined = joined.withColumns({"ocr_text": F.when(F.col("hit__"), F.col("t__")).otherwise(F.col("ocr_text")), "ocr_source": F.when(F.col("hit__"), F.col("s__")).otherwise(F.col("ocr_source"))})
+        joined = joined.withColumn("updated_at", F.when(F.col("hit__"), F.current_timestamp()).otherwise(F.col("updated_at")))
+        self.store.commit({"page_ocr": page_ocr, "document": joined.select(*docs.columns)})
+        posts, lens = search.update(docs, self.store.read("document"), self.store.read("posting"), self.store.read("doc_length"))
+        self.store.commit({"posting": posts, "doc_length": lens})
+
+    def submit(self, document_id: int, rung: str, body: str, page: int | None = None) -> dict:
+        """I7, I8, S12. An agent's text: of a page at vision, or of a document at drive, which lands on its lowest waiting page."""
+        row = self.store.read("document").filter(F.col("document_id") == document_id).first()
         if row is None:
             raise ValueError("no such document")
-        if (why := reading.submit_error(row.page_count, page, rung, text)) is not None:
+        empty = rung == "drive" and page is None and not body.strip()
+        if not empty and (why := reading.submit_error(row.page_count, page, rung, body)) is not None:
             raise ValueError(why)
-        stored = self.store.read("page_ocr")
-        new = self.spark.createDataFrame([(document_id, page or 1, text, 1.0, rung, rung, "ok", None, datetime.now(timezone.utc))], stored.schema)
-        pages = reading.upsert_pages(stored, new)
-        rolled = reading.roll_up(pages).select("document_id", F.col("ocr_text").alias("t__"), F.col("ocr_source").alias("s__"))
-        joined = docs.join(rolled, "document_id", "left").withColumns({"ocr_text": F.coalesce("t__", "ocr_text"), "ocr_source": F.coalesce("s__", "ocr_source")})
-        self.store.commit({"page_ocr": pages, "document": joined.select(*docs.columns)})
+        stored, stamp = self.store.read("page_ocr"), datetime.now(timezone.utc)
+        touched = self.spark.createDataFrame([(document_id,)], "document_id long")
+        if rung == "vision":
+            new = self.spark.createDataFrame([(document_id, page, body, 1.0, rung, rung, "ok", None, stamp)], stored.schema)
+            self._read(reading.upsert_pages(stored, new), touched)
+            return {"document_id": document_id, "page": page, "chars": len(body)}
+        waiting = stored.filter((F.col("document_id") == document_id) & F.col("status").isin("pending_drive", "pending_vision"))
+        n = waiting.count()
+        if n:
+            first = F.col("page_number") == F.min("page_number").over(Window.partitionBy("document_id"))
+            out = reading.drive_result(F.lit(body), F.lit(None), first)
+            new = waiting.withColumn("out", out).select("document_id", "page_number", *[F.col(f"out.{c}").alias(c) for c in ("text", "confidence", "rung", "ocr_source", "status", "note")], F.lit(stamp).alias("updated_at"))
+            with rounds(self.spark) as keep:
+                new = keep(reading.keep_earlier(new, stored))
+            self._read(reading.upsert_pages(stored, new), touched)
+        return {"document_id": document_id, "pages_marked": n, "empty": empty, "chars": len(body)}
 
     def find(self, query: str, limit: int = search.DEFAULT_LIMIT) -> DataFrame:
+        """J7, W5. The best documents from the stored index, with what is shown of each."""
         docs = self.store.read("document")
-        found = search.find(query, search.postings(docs), search.lengths(docs), limit)
-        return search.hits(found, docs.select("document_id", "sha256", "mime", "page_count"), self.store.read("occurrence"))
+        found = search.find(query, self.store.read("posting"), self.store.read("doc_length"), limit)
+        words = sorted({w for leaf in search.leaves(search.parse(search.escape(query))) for p in (leaf.parts or (leaf,)) for w in p.words})
+        shown = docs.join(F.broadcast(found.select("document_id")), "document_id", "left_semi") if limit and limit <= 10_000 else docs
+        shown = shown.select("document_id", "sha256", "mime", "page_count", (search.snippet(F.col("ocr_text"), words) if words else F.lit("")).alias("snippet"))
+        return search.hits(found, shown, self.store.read("occurrence"))
 
     def classify(self, document_id: int, **verdict) -> None:
         stored = self.store.read("classification")
@@ -103,11 +194,40 @@ class Cabinet:
         return plan_id
 
     def apply(self, plan_path: str, log: str, dry_run: bool = False) -> dict[str, int]:
-        done = moves.apply(moves.read_plan(plan_path), self.root, moves.Log(log), datetime.now(timezone.utc), dry_run)
+        """The moves of a plan; the index follows: paths of moved files, the plan's fields, and the log."""
+        planned = moves.read_plan(plan_path)
+        done = moves.apply(planned, self.root, moves.Log(log), datetime.now(timezone.utc), dry_run)
+        if not dry_run:
+            self._follow([o for o in done if o.status == "moved"], log, {e["document_id"]: e for e in planned["entries"]})
         return moves.histogram(done)
 
     def undo(self, plan_id: str, log: str) -> dict[str, int]:
-        return moves.histogram(moves.undo(plan_id, self.root, moves.Log(log), datetime.now(timezone.utc)))
+        done = moves.undo(plan_id, self.root, moves.Log(log), datetime.now(timezone.utc))
+        self._follow([o for o in done if o.status == "reversed"], log, {})
+        return moves.histogram(done)
+
+    def _follow(self, moved: list[moves.Outcome], log: str, entries: dict[int, dict]) -> None:
+        """K13. Point occurrences at where files are now; a path that is indexed already is left to the next scan."""
+        if not moved:
+            return
+        rows = []
+        for o in moved:
+            stat = os.stat(os.path.join(self.root, o.to_path))
+            fields = entries.get(o.document_id)
+            rows.append((o.document_id, o.from_path, o.to_path, stat.st_mtime, stat.st_size, fields is not None, *[(fields or {}).get(c) for c in ("doc_date", "party", "doc_type", "detail")]))
+        kinds = "document_id long, from_path string, to_path string, new_mtime double, new_size long, told boolean, doc_date string, party string, doc_type string, detail string"
+        landed = self.spark.createDataFrame(rows, kinds)
+        occurrences, documents = self.store.read("occurrence"), self.store.read("document")
+        taken = occurrences.select(F.col("rel_path").alias("to_path"))
+        go = landed.join(taken, "to_path", "left_anti").select(F.col("document_id").alias("d__"), "from_path", "to_path", "new_mtime", "new_size")
+        joined = occurrences.join(go, (F.col("document_id") == F.col("d__")) & (F.col("rel_path") == F.col("from_path")), "left")
+        at = {"rel_path": "to_path", "mtime": "new_mtime", "size_bytes": "new_size"}
+        occurrences = joined.select(*[F.coalesce(at[c], c).alias(c) if c in at else F.col(c) for c in occurrences.columns])
+        told = landed.filter("told").select(F.col("document_id").alias("d__"), "told", *[text.clean_field(F.col(c)).alias(f"new_{c}") for c in ("party", "doc_type", "detail")], text.iso_gate(F.col("doc_date")).alias("new_doc_date"))
+        joined = documents.join(told, F.col("document_id") == F.col("d__"), "left")
+        new = {c: F.when(F.col("told"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("doc_date", "party", "doc_type", "detail")} | {"updated_at": F.when(F.col("told"), F.current_timestamp()).otherwise(F.col("updated_at"))}
+        documents = joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
+        self.store.commit({"occurrence": occurrences, "document": documents, "move_log": self.spark.createDataFrame(moves.Log(log).rows(), TABLES["move_log"])})
 
     def snapshot(self, folder: str) -> dict:
         now = datetime.now(timezone.utc).replace(tzinfo=None)

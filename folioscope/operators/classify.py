@@ -17,9 +17,16 @@ class SelectorError(ValueError):
 
 
 def upsert(stored: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
-    """K7, T25. One verdict for each document: a new one replaces all but the time of the first."""
-    clean = {c: clean_field(F.col(c)) for c in FIELDS if c in verdicts.columns} | {"doc_date": iso_gate(F.col("doc_date"))}
-    new = verdicts.withColumns(clean)
+    """K7, T25. One verdict for each document: a new one replaces all but the time of the first; what it does not name is null.
+
+    Of several new ones for a document the last by ``seq`` counts, where that column is there, else the greatest.
+    """
+    missing = [f for f in stored.schema.fields if f.name not in verdicts.columns and f.name not in ("created_at", "updated_at")]
+    new = verdicts.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+    new = new.withColumns({c: clean_field(F.col(c)) for c in FIELDS} | {"doc_date": iso_gate(F.col("doc_date"))})
+    own = [c for c in stored.columns if c not in ("document_id", "created_at", "updated_at")]
+    order = ["seq"] if "seq" in verdicts.columns else []
+    new = new.groupBy("document_id").agg(F.max(F.struct(*order, *own)).alias("v")).select("document_id", *[F.col(f"v.{c}").alias(c) for c in own])
     before = stored.select(F.col("document_id"), F.col("created_at").alias("first__"))
     new = new.join(before, "document_id", "left").withColumn("created_at", F.coalesce("first__", now)).withColumn("updated_at", now)
     return stored.join(new.select("document_id"), "document_id", "left_anti").unionByName(new.select(*stored.columns))
@@ -79,13 +86,12 @@ def select_document(documents: DataFrame, occurrences: DataFrame, document_id: i
 
 
 def blocked(path: Column, names: list[str], folders: list[str], suffixes: list[str], allow: str | None = None) -> Column:
-    """P12. Whether a file is barred by its name, folder or suffix and not let through."""
-    name = F.substring_index(path, "/", -1)
-    hit = name.isin(*names) if names else F.lit(False)
+    """P12. Whether a file is barred by its whole path, folder or suffix and not let through."""
+    hit = path.isin(*names) if names else F.lit(False)
     for f in folders:
         hit = hit | path.startswith(f.rstrip("/") + "/")
     for s in suffixes:
-        hit = hit | F.lower(name).endswith(s.lower())
+        hit = hit | F.lower(path).endswith(s.lower())
     return hit & ~path.rlike(allow) if allow else hit
 
 

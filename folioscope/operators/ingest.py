@@ -45,10 +45,20 @@ def merge_documents(documents: DataFrame, hashed: DataFrame, now: Column) -> Dat
         F.when(touched, now).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
     top = documents.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("top")).first()["top"]
-    fresh = merged.filter("document_id IS NULL").withColumn("document_id", (F.lit(top) + F.row_number().over(Window.orderBy("sha256"))).cast("bigint"))
+    fresh = numbered(merged.filter("document_id IS NULL"), F.substring("sha256", 1, 3), "sha256", "document_id", top)
     return merged.filter("document_id IS NOT NULL").unionByName(fresh)
 
 
+def numbered(rows: DataFrame, head: Column, key: str, number: str, top: int) -> DataFrame:
+    """``number`` from ``top`` + 1 in order of ``head`` and a distinct key: places among rows of one head, after the rows of the heads before."""
+    head = F.coalesce(head, F.lit(""))
+    before = Window.orderBy("head__").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(head.alias("head__")).agg(F.count(F.lit(1)).alias("n__")).select("head__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("base__"))
+    placed = rows.withColumn("in__", head).withColumn("place__", F.row_number().over(Window.partitionBy("in__").orderBy(key)))
+    joined = placed.join(heads, F.col("in__") == F.col("head__"))
+    return joined.withColumn(number, (F.lit(top) + F.col("base__") + F.col("place__")).cast("bigint")).select(*rows.columns)
+
+
 def merge_occurrences(occurrences: DataFrame, seen: DataFrame, scan_id: int, now: Column) -> DataFrame:
     """K2, K3. Paths after a scan.  ``seen``: rel_path, size_bytes, mtime, state, document_id (null where unchanged), conflict_kind."""
     o, n = occurrences.alias("o"), seen.alias("n")
@@ -69,7 +79,7 @@ def merge_occurrences(occurrences: DataFrame, seen: DataFrame, scan_id: int, now
         F.when(here, F.lit(scan_id).cast("bigint")).otherwise(F.col("o.last_scan_id")).alias("last_scan_id"),
     )
     top = occurrences.agg(F.coalesce(F.max("occurrence_id"), F.lit(0)).alias("top")).first()["top"]
-    fresh = merged.filter("occurrence_id IS NULL").withColumn("occurrence_id", (F.lit(top) + F.row_number().over(Window.orderBy("rel_path"))).cast("bigint"))
+    fresh = numbered(merged.filter("occurrence_id IS NULL"), F.regexp_extract("rel_path", "(?s)^(.*)/", 1), "rel_path", "occurrence_id", top)
     return merged.filter("occurrence_id IS NOT NULL").unionByName(fresh)
 
 

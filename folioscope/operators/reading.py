@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import strip
+from folioscope.functions.text import strip, strip_trailer
 
 LADDER = ("local", "drive", "vision")
 MIN_CONFIDENCE = 0.75
@@ -31,11 +31,11 @@ def coarse_source(source: Column) -> Column:
 
 
 def roll_up(pages: DataFrame) -> DataFrame:
-    """A4. (document_id, ocr_text, ocr_source): texts that are there, in page order, by a blank line; the highest source."""
+    """A4. (document_id, ocr_text, ocr_source): texts that are there, in page order, by a blank line; the highest source of any page."""
     there = pages.withColumn("here__", has_text(F.col("text")))
     parts = F.array_sort(F.collect_list(F.when(F.col("here__"), F.struct("page_number", "text"))))
     body = F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n"))
-    rank = F.max(F.when(F.col("here__"), coarse_rank(F.col("ocr_source"))))
+    rank = F.max(coarse_rank(F.col("ocr_source")))
     return there.groupBy("document_id").agg(body.alias("ocr_text"), F.when(rank.isNotNull(), F.element_at(F.array(*map(F.lit, LADDER)), rank)).alias("ocr_source"))
 
 
@@ -87,6 +87,24 @@ def local_result(layer_text: Column, layer_confidence: Column, ocr_text: Column,
     )
 
 
+def drive_result(answer: Column, note: Column, first: Column, most: int = 1_000_000) -> Column:
+    """The drive rung: a document's answer on the ``first`` of its pages that ask, an empty one on the rest; or why there is none."""
+    clean = strip_trailer(answer)
+    why = F.when(answer.isNull(), F.coalesce(note, F.lit("drive_convert_failed"))).when(F.length(answer) > most, "drive_too_long").when(~has_text(clean), "drive_empty")
+    drive, none = F.lit("drive"), F.lit(None)
+    fine = _answer(F.when(first, clean), F.lit(1.0), drive, drive, F.lit("ok"), none)
+    return F.when(why.isNull(), fine).otherwise(_answer(none, F.lit(0.0), drive, none, F.lit("skipped"), why))
+
+
+def vision_result() -> Column:
+    """The vision rung: a page that waits for an agent."""
+    return _answer(F.lit(None), F.lit(0.0), F.lit("vision"), F.lit(None), F.lit("pending_vision"), F.lit(None))
+
+
+def unknown_result(rung: str) -> Column:
+    return _answer(F.lit(None), F.lit(0.0), F.lit(rung), F.lit(None), F.lit("skipped"), F.lit(f"rung_unavailable:{rung}"))
+
+
 def walk(results: Column, least: float = MIN_CONFIDENCE, seed_note: Column | None = None) -> Column:
     """I4. The outcome of a ladder whose rungs gave ``results`` (array of text, confidence, rung, ocr_source, status, note), in order.
 

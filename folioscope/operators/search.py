@@ -1,6 +1,7 @@
 """Text search: query language, postings, BM25, snippets.
 
-Postings are a table (document_id, term, tf, positions).  A leaf of a query - a word, a
+Postings are a table (term, document_id, tf, positions), stored in order of term, so that
+a query reads the row groups of its own terms; only changed documents are indexed anew.  A leaf of a query - a word, a
 phrase, a prefix, or NEAR - reads only its own terms' postings, checks positions within
 a document's row, and counts as one term with its own frequency; leaves are combined by
 flags in one grouped pass; the best k come from a top-k, not from a sort of everything.
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +30,8 @@ class QueryError(ValueError):
 
 
 def postings(docs: DataFrame, id_col: str = "document_id", text_col: str = "ocr_text", ascii_only: bool = False) -> DataFrame:
-    """(document_id, term, tf, positions)."""
-    words = docs.select(F.col(id_col).alias("document_id"), F.posexplode(tx.tokens(F.col(text_col), ascii_only)).alias("at", "term"))
+    """(document_id, term, tf, positions).  Texts are dealt by document, so the many more tokens are not shuffled."""
+    words = docs.repartition(F.col(id_col)).select(F.col(id_col).alias("document_id"), F.posexplode(tx.tokens(F.col(text_col), ascii_only)).alias("at", "term"))
     return words.groupBy("document_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
 
 
@@ -43,6 +46,15 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(before, "document_id", "left").filter(~F.col("ocr_text").eqNullSafe(F.col("old__"))).drop("old__")
 
 
+def update(old: DataFrame, new: DataFrame, posts: DataFrame, lens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K8. Stored postings and lengths after the documents went from ``old`` to ``new``: those of changed and gone ones are replaced."""
+    fresh = changed(old, new)
+    ids = fresh.select("document_id").union(old.select("document_id").join(new.select("document_id"), "document_id", "left_anti"))
+    posts = posts.join(ids, "document_id", "left_anti").unionByName(postings(fresh).select(*posts.columns))
+    lens = lens.join(ids, "document_id", "left_anti").unionByName(lengths(fresh).select(*lens.columns))
+    return posts.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id"), lens
+
+
 @dataclass(frozen=True)
 class Leaf:
     """Words in order; ``prefix``: the last one may go on; ``near``: any order within so many words."""
@@ -201,9 +213,24 @@ def _followed(first: Column, later: Column, by: int) -> Column:
     return F.filter(first, lambda p: F.array_contains(later, p + by))
 
 
-def _close(first: Column, other: Column, width: int, other_width: int, near: int) -> Column:
-    """Places of ``first`` from whose phrase to one of ``other`` lie at most ``near`` words, in any order."""
-    return F.filter(first, lambda p: F.exists(other, lambda q: F.greatest(q - (p + width), p - (q + other_width)) <= near))
+def _close(starts: list[Column], widths: list[int], near: int) -> Column:
+    """Places of the first phrase that lie in a span with one place of every other, in any order, of at most ``near`` words that are no phrase's.
+
+    A span that holds all begins where some phrase does; from each such beginning, the
+    nearest place of every phrase at or after it makes the shortest span.
+    """
+    every = F.array_sort(F.array_distinct(F.concat(*starts)))
+    free = near + sum(widths)
+
+    def picked(at: Column) -> list[Column]:
+        return [F.array_min(F.filter(s, lambda p: p >= at)) for s in starts]
+
+    def span(at: Column) -> Column:
+        places = picked(at)
+        end = F.greatest(*[p + w for p, w in zip(places, widths, strict=True)]) if len(places) > 1 else places[0] + widths[0]
+        return F.when(reduce(and_, [p.isNotNull() for p in places]) & (end - at <= free), places[0])
+
+    return F.array_distinct(F.filter(F.transform(every, span), lambda p: p.isNotNull()))
 
 
 def _hits(posts: DataFrame, leaf: Leaf) -> DataFrame:
@@ -225,10 +252,7 @@ def _hits(posts: DataFrame, leaf: Leaf) -> DataFrame:
     terms = {w: F.col(names[w]) for w in words}
     starts = [_starts(p, terms, F.col(names[("*", p.words[-1])]) if p.prefix else None) for p in phrases]
     if leaf.near is not None:
-        first, width = starts[0], [len(p.words) for p in phrases]
-        for k in range(1, len(phrases)):
-            first = _close(first, starts[k], width[0], width[k], leaf.near)
-        starts = [first]
+        starts = [_close(starts, [len(p.words) for p in phrases], leaf.near)]
     out = grouped.select("document_id", starts[0].alias("starts"))
     return out.select("document_id", F.size("starts").cast("long").alias("tf"), "starts").filter("tf > 0")
 

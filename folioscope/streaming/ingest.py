@@ -15,7 +15,7 @@ from folioscope.store import Store
 
 
 def absorb(store: Store, listing: DataFrame, scan_id: int, full: bool = False) -> DataFrame:
-    """One scan: listing (rel_path, size_bytes, mtime, sha256) into the store; the states of its paths.
+    """One scan: listing (rel_path, size_bytes, mtime, sha256, and mime and page_count if known) into the store; the states of its paths.
 
     full: what the listing lacks is missing.
     """
@@ -23,7 +23,8 @@ def absorb(store: Store, listing: DataFrame, scan_id: int, full: bool = False) -
     documents, occurrences = store.read("document"), store.read("occurrence")
     listing = listing.dropDuplicates(["rel_path"])
     states = ingest.classify(listing, occurrences)
-    fresh = states.filter("state <> 'unchanged'").select("sha256", "size_bytes", F.lit(None).cast("string").alias("mime"), F.lit(None).cast("int").alias("page_count"))
+    told = {"mime": "string", "page_count": "int"}
+    fresh = states.filter("state <> 'unchanged'").select("sha256", "size_bytes", *[(F.col(c) if c in states.columns else F.lit(None)).cast(kind).alias(c) for c, kind in told.items()])
     store.commit({"document": _whole(ingest.merge_documents(documents, fresh, now), documents)})
     ids = store.read("document").select("sha256", "document_id")
     seen = states.join(ids, "sha256", "left").withColumn("conflict_kind", ingest.conflict_kind(F.substring_index("rel_path", "/", -1)))

@@ -65,7 +65,7 @@ def test_store_ingest_snapshot(spark, tmp_path):
 
     st = store.Store(spark, str(tmp_path / "index"))
     assert not st.exists()
-    assert len(st.migrate()) == 9 and st.migrate() == []
+    assert len(st.migrate()) == 11 and st.migrate() == []
     rows = lambda *x: spark.createDataFrame(list(x), "rel_path string, size_bytes long, mtime double, sha256 string")
     absorb(st, rows(("a.pdf", 1, 1.0, "aa"), ("b (1).pdf", 1, 1.0, "aa"), ("c.pdf", 2, 1.0, "bb")), 1, full=True)
     assert st.read("document").count() == 2 and st.read("occurrence").count() == 3
@@ -181,6 +181,7 @@ def test_search(spark):
     assert ids("cafe") == [5] and ids("north*") == [5] and ids('"northern lights"') == [5]
     assert ids("invoice NOT more") == [2, 3] and ids("invoice OR cafe") and set(ids("invoice AND more")) == {1}
     assert ids("NEAR(plain invoiced, 2)") == [6] and ids("NEAR(plain invoiced, 1)") == []
+    assert ids("NEAR(here words plain, 0)") == [6] and ids("NEAR(plain here invoiced, 0)") == [] and ids("NEAR(plain here invoiced, 1)") == [6]
     assert ids('"((("') == []
     for bad in ("  ", 'unclosed "quote AND', "a AND", "two-words AND x"):
         with pytest.raises(search.QueryError):
@@ -206,9 +207,10 @@ def test_retention(spark):
 
 
 def test_workflow(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1), (4, 4)], "src int, dst int")
-    assert sorted(r.path for r in workflow.cycles(edges).collect()) == ["1>2", "1>2>3", "4"]
-    pointers = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "doc string, by string")
-    assert sorted((r.doc, r.terminal) for r in workflow.terminal_superseders(pointers).collect()) == [("a", "c"), ("b", "c")]
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 1), (4, 4), (7, 1), (3, 8)] + [(20 + k, 20 + (k + 1) % 6) for k in range(6)], "src int, dst int")
+    assert sorted(r.path for r in workflow.cycles(edges).collect()) == ["1>2", "1>2>3", "20>21>22>23>24>25", "4"]
+    pointers = [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("y", "z"), ("l", "l")] + [(f"k{k:02}", f"k{k + 1:02}") for k in range(40)]
+    found = {(r.doc, r.terminal) for r in workflow.terminal_superseders(spark.createDataFrame(pointers, "doc string, by string")).collect()}
+    assert found == {("a", "c"), ("b", "c"), ("x", "z"), ("y", "z")} | {(f"k{k:02}", "k40") for k in range(40)}
     refs = spark.createDataFrame([("see #12, a#34 &#56 (#78) #1",)], "t string").select(workflow.issue_refs(F.col("t")).alias("r")).first().r
     assert refs == ["12", "78"]
