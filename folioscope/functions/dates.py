@@ -78,13 +78,26 @@ def _hits(text: Column, kind: int, order: str, current_year: int) -> Column:
     return F.filter(F.transform(offsets(text, CLASSES[kind]), read), lambda h: h["iso"].isNotNull())
 
 
+def _first(text: Column, kind: int, order: str, current_year: int) -> Column:
+    """(at, kind, iso) of the first date of a class: of its first match, if the calendar has that, else of the first of all."""
+    pattern = CLASSES[kind]
+
+    def read(match: Column) -> Column:
+        iso_ = _parts(kind, match, order, current_year)
+        at = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
+        return F.when(match != "", F.coalesce(F.when(iso_.isNotNull(), F.struct(at.alias("at"), F.lit(kind).alias("kind"), iso_.alias("iso"))), F.array_min(_hits(text, kind, order, current_year))))
+
+    return F.get(F.transform(F.array(F.regexp_extract(text, pattern, 0)), read), F.lit(0))
+
+
 def extract_date(text: Column, order: str = "dmy", select: str = "first", current_year: int = 2026) -> Column:
     """T10, W3. The first or the last date by position."""
-    hits = scan(text, order, current_year)
-    if select == "last":
-        last = F.array_max(F.transform(hits, lambda h: F.struct(h["at"], -h["kind"], h["iso"].alias("iso"))))
-        return last["iso"]
-    return F.array_min(hits)["iso"]
+    if select != "last":
+        # every class has a year of two digits at least
+        first = F.array_min(F.array_compact(F.array(*[_first(text, kind, order, current_year) for kind in range(len(CLASSES))])))
+        return F.when(text.rlike("[0-9]{2}"), first["iso"])
+    last = F.array_max(F.transform(scan(text, order, current_year), lambda h: F.struct(h["at"], -h["kind"], h["iso"].alias("iso"))))
+    return last["iso"]
 
 
 def date_for_rule(text: Column, date_regex: str | None = None, select: str | None = None, order: str = "dmy", current_year: int = 2026) -> Column:

@@ -112,6 +112,24 @@ def first_pass(planned: DataFrame) -> DataFrame:
 
 
 def claims(planned: DataFrame) -> DataFrame:
+    """H3. status, final_path and claimed_by of every document, in order of id.
+
+    Windows over equal targets decide, except in folders where a suffixed target is there
+    already, on disk or as another document's plain or suffixed target: only these are
+    folded, document by document.
+    """
+    passed = first_pass(planned).withColumn("folder__", F.lower("place"))
+    suffixed = passed.filter("claimed_by IS NOT NULL AND suffix6 IS NOT NULL AND target_path <> rel_path AND suffixed_path <> rel_path")
+    suffixed = suffixed.select("folder__", F.lower("suffixed_path").alias("key__"), F.coalesce("suffixed_on_disk", F.lit(False)).alias("there__"))
+    twice = suffixed.groupBy("folder__", "key__").agg(F.count(F.lit(1)).alias("n__"), F.max("there__").alias("there__"))
+    plain = planned.select(F.lower("place").alias("folder__"), F.col("target_key").alias("key__")).distinct().withColumn("plain__", F.lit(True))
+    odd = twice.join(plain, ["folder__", "key__"], "left").filter("n__ > 1 OR there__ OR plain__").select("folder__").distinct()
+    kept = [*planned.columns, "status", "final_path", "claimed_by"]
+    easy = passed.join(odd, "folder__", "left_anti").select(*kept)
+    return easy.unionByName(fold(planned.withColumn("folder__", F.lower("place")).join(odd, "folder__", "left_semi").drop("folder__")).select(*kept))
+
+
+def fold(planned: DataFrame) -> DataFrame:
     """H3. The exact order of claims: a fold over each folder's documents by id.
 
     All targets of a document share its folder, so folders are independent.  Adds
@@ -120,7 +138,7 @@ def claims(planned: DataFrame) -> DataFrame:
     names = [f.name for f in planned.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in planned.schema.fields) + ", folder_key string, status string, final_path string, claimed_by long"
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         taken: dict[str, int] = {}
         out: list[tuple] = []
         rows = rows.sort_values("document_id")
@@ -152,7 +170,7 @@ def claims(planned: DataFrame) -> DataFrame:
         return pd.concat([rows.rename(columns={"name_": "name"}), found], axis=1)[[*names, "folder_key", "status", "final_path", "claimed_by"]]
 
     keyed = planned.withColumn("folder_key", F.lower("place")).withColumnRenamed("name", "name_")
-    return keyed.groupBy("folder_key").applyInPandas(fold, schema).drop("folder_key")
+    return keyed.groupBy("folder_key").applyInPandas(run, schema).drop("folder_key")
 
 
 def summary(entries: DataFrame) -> DataFrame:

@@ -138,7 +138,6 @@ def _first(taxonomy: Taxonomy, haystack: Column, value) -> Column:
 
 def match_rule(taxonomy: Taxonomy, body: Column, ascii_only: bool = False) -> Column:
     """J12, W2. Struct of the first rule that matches: rule_id, party (display name), doc_type, detail, folder, tags; or null."""
-    haystack = text.normalize_text(body, ascii_only)
 
     def value(rule: Rule) -> Column:
         party = taxonomy.parties.get(rule.party, rule.party) if rule.party else None
@@ -146,7 +145,8 @@ def match_rule(taxonomy: Taxonomy, body: Column, ascii_only: bool = False) -> Co
         tags = F.array(*map(F.lit, rule.tags)).cast("array<string>")
         return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in plain.items()], tags.alias("tags"))
 
-    return _first(taxonomy, haystack, value)
+    # normalised once, whatever the number of tests
+    return F.get(F.transform(F.array(text.normalize_text(body, ascii_only)), lambda haystack: _first(taxonomy, haystack, value)), F.lit(0))
 
 
 def date_by_rule(taxonomy: Taxonomy, rule_id: Column, body: Column, current_year: int, ascii_only: bool = False) -> Column:

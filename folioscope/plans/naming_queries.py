@@ -104,6 +104,11 @@ def plan_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact fold; the same as the window here, as no suffixed name is a plain one."""
+    return plan.fold(_targets(spark, sf_dir)).select("document_id", "status", "final_path", "claimed_by")
+
+
+def plan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows, and the fold only where suffixed names meet others."""
     return plan.claims(_targets(spark, sf_dir)).select("document_id", "status", "final_path", "claimed_by")
 
 
@@ -113,7 +118,7 @@ def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     extract_first_date, extract_last_date, numeric_dates, iso_dates, year_pivot, rule_match, rule_priority, rule_detail, rule_date, sanitize, render_name,
-    plan_targets, plan_collisions, plan_fold, plan_summary,
+    plan_targets, plan_collisions, plan_fold, plan_claims, plan_summary,
 )}
 
 _RULE = r"""m AS (SELECT doc_id, text, CASE WHEN h LIKE '%rights%' AND h LIKE '%reserved%' THEN 'license' WHEN h LIKE '%idiot%' OR h LIKE '%stupid%' OR h LIKE '%trash%' THEN 'rude'
@@ -143,5 +148,6 @@ ORACLES = {
     "plan_targets": f"WITH {ad.PLAN_IN}, {_TARGETS} SELECT document_id, stem || '.pdf' AS target_path, suffix6 FROM t",
     "plan_collisions": f"{_CLAIMED} SELECT document_id, 'move' AS status, stem || CASE WHEN claimed_by IS NULL THEN '' ELSE '_' || suffix6 END || '.pdf' AS final_path, claimed_by FROM c",
     "plan_fold": f"{_CLAIMED} SELECT document_id, 'move' AS status, stem || CASE WHEN claimed_by IS NULL THEN '' ELSE '_' || suffix6 END || '.pdf' AS final_path, claimed_by FROM c",
+    "plan_claims": f"{_CLAIMED} SELECT document_id, 'move' AS status, stem || CASE WHEN claimed_by IS NULL THEN '' ELSE '_' || suffix6 END || '.pdf' AS final_path, claimed_by FROM c",
     "plan_summary": f"""{_CLAIMED} SELECT count(*) AS documents, count(*) AS "move", 0::BIGINT AS noop, 0::BIGINT AS unclassified, 0::BIGINT AS collision, 0::BIGINT AS error, 0::BIGINT AS by_agent, count(*) AS by_rule FROM c""",
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import index_queries, naming_queries, search_queries, workflow_queries
+from folioscope.plans import index_queries, naming_queries, search_queries, table_queries, workflow_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (index_queries, naming_queries, search_queries, workflow_queries):
+for _module in (index_queries, naming_queries, search_queries, table_queries, workflow_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

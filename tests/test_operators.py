@@ -130,7 +130,13 @@ def test_claims_fold_and_window(spark):
     rows[7] = (7, None, "f/a.pdf", "f", "a", True, False)
     df = spark.createDataFrame(rows, "document_id long, sha256 string, rel_path string, folder string, party string, on_disk boolean, suffixed_on_disk boolean")
     targets = plan.targets(df.withColumns({c: F.lit(None).cast("string") for c in ("doc_date", "doc_type", "detail")}), "{party}")
-    fold = sorted((r.document_id, r.status, r.final_path, r.claimed_by) for r in plan.claims(targets).collect())
+    said = lambda df: sorted((r.document_id, r.status, r.final_path, r.claimed_by) for r in df.collect())
+    fold = said(plan.fold(targets))
+    assert said(plan.claims(targets)) == fold
+    # a plain name that is a suffixed one of the same folder, before and after it
+    met = rows + [(100, rows[9][1], "in/100.pdf", "g", f"{places[20][1]}_{rows[20][1][:6]}", False, False), (5, "e" * 64, "in/5b.pdf", "g", f"{places[30][1]}_{rows[30][1][:6]}", False, False)]
+    odd = plan.targets(spark.createDataFrame(met, df.schema).withColumns({c: F.lit(None).cast("string") for c in ("doc_date", "doc_type", "detail")}), "{party}")
+    assert said(plan.claims(odd)) == said(plan.fold(odd))
     window = sorted((r.document_id, r.status, r.final_path, r.claimed_by) for r in plan.first_pass(targets).collect())
     assert [(a, b, c) for a, b, c, _ in fold] == [(a, b, c) for a, b, c, _ in window]
     paths = [p for _, s, p, _ in fold if p]
@@ -167,7 +173,7 @@ def test_tsv_and_rollup(spark):
     row = spark.createDataFrame([(tsv,)], "t string").select(reading.tsv_words(F.col("t")).alias("r")).first().r
     assert (row.text, row.confidence) == ("Invoice 2026", 0.905)
     pages = spark.createDataFrame([(1, 2, "two", "drive"), (1, 1, "one", "local_text"), (1, 3, " \n", "vision"), (2, 1, None, "vision")], "document_id long, page_number int, text string, ocr_source string")
-    assert sorted((r.document_id, r.ocr_text, r.ocr_source) for r in reading.roll_up(pages).collect()) == [(1, "one\n\ntwo", "drive"), (2, None, None)]
+    assert sorted((r.document_id, r.ocr_text, r.ocr_source) for r in reading.roll_up(pages).collect()) == [(1, "one\n\ntwo", "vision"), (2, None, "vision")]
 
 
 DOCS = [(1, "invoice and more"), (2, "invoice invoice invoice"), (3, "an invoice, invoice"), (4, None), (5, "café northern lights"), (6, "plain words here invoiced")]
