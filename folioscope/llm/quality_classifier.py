@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from folioscope.llm.scratch import materialize, unused
-from folioscope.llm.words import Text, slices
+from folioscope.llm.words import Text, distinct, slices
 
 #: Labelled documents that training takes at most, and documents of either kind that a view hands over in a round.
 LABELLED, HANDED = 6000, 300
@@ -61,7 +61,12 @@ def content(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     half = np.uint64(64 - (CONTENT // 2).bit_length() + 1)
     feature = np.concatenate([(words >> half).astype(np.int64), (shape >> half).astype(np.int64) + CONTENT // 2])
     key = np.tile(text.doc, 2) * CONTENT + feature
-    keys, counts = np.unique(key, return_counts=True)
+    if text.n <= 64:  # a table of all cells is quicker than sorting
+        table = np.bincount(key, minlength=text.n * CONTENT)
+        keys = np.flatnonzero(table)
+        counts = table[keys]
+    else:
+        keys, counts = np.unique(key, return_counts=True)
     doc, value = keys // CONTENT, np.log1p(counts)
     length = np.sqrt(np.bincount(doc, weights=value * value, minlength=text.n))
     return doc, keys % CONTENT, value / length[doc]
@@ -72,8 +77,7 @@ def layout(text: Text) -> np.ndarray:
     words, chars = text.counts, text.word_chars()
     buf = text.buf
     per = [text.per_doc(m) for m in (buf == 0x0A, (buf >= 0x41) & (buf <= 0x5A), (buf >= 0x61) & (buf <= 0x7A), (buf >= 0x30) & (buf <= 0x39), (buf == 0x2E) | (buf == 0x2C), (buf == 0x21) | (buf == 0x3F))]
-    keys = np.unique(np.stack([text.doc.astype(np.uint64), text.word_hashes()]), axis=1)[0].astype(np.int64) if len(text.doc) else np.zeros(0, np.int64)
-    kinds = np.bincount(keys, minlength=text.n)
+    kinds = np.bincount(distinct(text.doc, text.word_hashes())[0], minlength=text.n)
     w, c = np.maximum(words, 1), np.maximum(chars, 1)
     out = [np.log1p(words), np.log1p(chars), chars / w, per[0] / w, per[1] / c, per[2] / c, per[3] / c, per[4] / w, per[5] / w, text.symbols() / w, kinds / w, np.log1p(per[0])]
     return np.stack(out, axis=1)
@@ -227,13 +231,20 @@ def _batch_views(model: dict, batch: pa.RecordBatch) -> list[tuple]:
     return _views(cols, vals, _dense(form, "<f8", n), _dense(slots, "<i8", n), model["centre"], model["spread"])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose features fit in little memory."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _sure(feats: DataFrame, known: DataFrame, model: dict, turn: int) -> list:
     """(view, good, cols, vals, form, slots) of unlabelled documents that a view is sure of, HANDED of either kind and view at most."""
     sent = feats.sparkSession.sparkContext.broadcast(model)
     kind = feats.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             first, second = (_probability(x) for x in odds(sent.value, _batch_views(sent.value, batch), len(batch)))
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first), pa.array(second)], names=["id", "h", "p0", "p1"])
             yield out.filter(pa.array((np.minimum(first, second) <= 1 - SURE) | (np.maximum(first, second) >= SURE)))
@@ -320,7 +331,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at, named = docs.columns.index(text_col), [docs.columns.index(c) for c in names]
 
     def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             p = _combined(sent.value, _batch_views(sent.value, batch), len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= CUTOFF)], names=schema.names)
 

@@ -7,7 +7,7 @@ Chunks are known by digests of 94 bits of their words, and by how many these are
 by doc_id, then place - stays; later ones are repeats.  Where a run of repeats has
 ``MIN_WORDS`` words or more that follow each other in one earlier place too, it is removed.
 
-Chunks are shuffled once, by digest.  A slice of a megabyte of text sends one row for
+Chunks are shuffled once, by digest.  A slice of half a megabyte of text sends one row for
 each digest it has, with the places it stands in, so a chunk that every document holds
 is one row a slice.  What returns to a document are its repeated chunks only.  Texts are
 shuffled once, to meet the chunks to remove; only texts that lose some go to Python.
@@ -39,6 +39,8 @@ WINDOW, CUT = 16, (1 << 16) // 5
 MIN_WORDS = 25
 #: A chunk ends after so many words, as in a text that says one word over and over.
 MAX_WORDS = 32
+#: Bytes of text whose chunks are sent together, one row for each digest.
+DIGEST_BYTES = 1 << 19
 #: Bits that hold the words of a chunk less one.
 WORD_BITS = 5
 REPORT = ("removed_words__", "removed__", "firsts__")
@@ -110,7 +112,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, versioned: bool) ->
         for batch in batches:
             ids, versions = batch.column(0), batch.column(1)
             place, once = _order(ids, versions)
-            for start, stop, text in slices(batch.column(2)):
+            for start, stop, text in slices(batch.column(2), DIGEST_BYTES):
                 doc, _, words, digest = chunks(text)
                 at = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 row = start + doc

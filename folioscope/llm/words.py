@@ -17,7 +17,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text hashed at once; one longer document is hashed alone, still whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -141,10 +141,12 @@ def text_of(strings: list[bytes]) -> Text:
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Text]]:
     """Consecutive slices of a string column of at most ``most`` bytes or one row; null is ''."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
@@ -152,6 +154,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, to, Text(buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
