@@ -111,6 +111,22 @@ def upper_bound(rejected: int, n: int, level: float) -> float:
     return hi
 
 
+def holds(rejected: int, n: int, level: float, risk: float) -> bool:
+    """Whether ``upper_bound`` is at most ``risk``: whether so few rejections have probability ``level`` at most at that rate.
+
+    The sum runs from its largest term down and ends where terms no longer count.
+    """
+    if n == 0 or rejected >= risk * n:
+        return False
+    k, term, total = rejected, 1.0, 0.0
+    while k >= 0 and term > 1e-18 * total:
+        total += term
+        term *= k / (n - k + 1) * (1 - risk) / risk
+        k -= 1
+    first = math.lgamma(n + 1) - math.lgamma(rejected + 1) - math.lgamma(n - rejected + 1) + rejected * math.log(risk) + (n - rejected) * math.log1p(-risk)
+    return first + math.log(total) <= math.log(level)
+
+
 def _rejects(statistic: str, side: str, cutoff: float):
     return F.expr(f"n_words > 0 AND try_divide(1.0D * ({statistic.split('/')[0]}), n_words) {side} {cutoff}D")
 
@@ -163,7 +179,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float
         counts.setdefault(row["stratum"], {"bad": [], "path": [], "test": []})[row["part"]].append((*row[2:-1], row[-1]))
     counts = {s: x for s, x in counts.items() if x["path"] or x["test"]}
     level = delta / max(1, len(counts))
-    few = [s for s, x in counts.items() if upper_bound(0, sum(c[-1] for c in x["test"]), level) > risk]
+    few = [s for s, x in counts.items() if not holds(0, sum(c[-1] for c in x["test"]), level, risk)]
     out: dict[str | None, list[float | None]] = {}
     for names in [[s] for s in counts if s not in few] + ([few] if few else []):
         part_ = {k: [c for s in names for c in counts[s][k]] for k in ("bad", "path", "test")}
@@ -172,7 +188,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float
         (bad, n_bad), (good, n_good), (test, n_test) = ((np.array([c[:-1] for c in part_[k]], np.int64).reshape(-1, len(RULES)), np.array([c[-1] for c in part_[k]], np.int64)) for k in ("bad", "path", "test"))
         chosen = np.zeros(len(RULES), np.int64)
         for steps in path(good, n_good, bad, n_bad):
-            if upper_bound(int(n_test[_rejected(test, steps)].sum()), int(n_test.sum()), level) > risk:
+            if not holds(int(n_test[_rejected(test, steps)].sum()), int(n_test.sum()), level, risk):
                 break
             chosen = steps
         out |= {s: cutoffs(chosen) for s in names}

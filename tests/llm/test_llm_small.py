@@ -334,6 +334,11 @@ def test_bound():
     assert quality_rules.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100))
     assert quality_rules.upper_bound(3, 50, 0.05) == pytest.approx(0.1478, abs=2e-3)
     assert quality_rules.upper_bound(5, 5, 0.05) == 1 and quality_rules.upper_bound(0, 0, 0.05) == 1
+    for n in (0, 1, 149, 150, 300, 4000):
+        for rejected in range(0, min(n, 90) + 1, 3):
+            for level in (0.0125, 0.05):
+                assert quality_rules.holds(rejected, n, level, 0.02) == (quality_rules.upper_bound(rejected, n, level) <= 0.02), (rejected, n)
+    assert quality_rules.holds(190_000, 10**7, 0.01, 0.02) and not quality_rules.holds(200_000, 10**7, 0.01, 0.02)
 
 
 # 8
@@ -367,8 +372,8 @@ def test_passages(spark, corpus):
 def test_chunks_resist_shifts():
     rng = random.Random(5)
     body = prose(rng, 300)
-    a = substring_dedup.chunks(words.text_of([body.encode()]))[3]
-    b = substring_dedup.chunks(words.text_of([("some new words " + body).encode()]))[3]
+    a = substring_dedup.chunks(words.text_of([body.encode()]))[3][0]
+    b = substring_dedup.chunks(words.text_of([("some new words " + body).encode()]))[3][0]
     assert len(set(a.tolist()) & set(b.tolist())) >= len(a) - 2
 
 
