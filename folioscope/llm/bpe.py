@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from folioscope.llm.scratch import unused
+from folioscope.llm.scratch import bound_batches, unused
 from folioscope.llm.words import mix
 
 #: Fixed value: the byte-level pre-tokeniser's pattern.
@@ -432,6 +432,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dig
     of these names in any letter case is replaced.  A map over the rows: no shuffle.
     The vocabulary is read on the driver (its size is that of the file) and sent along.
     """
+    bound_batches(docs.sparkSession)
     path = path or default_path()
     spec = docs.sparkSession.sparkContext.broadcast(load(path))
     key = hash(path)

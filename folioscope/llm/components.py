@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.scratch import few, materialize
+from folioscope.llm.scratch import few, materialize, release
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,8 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = few(large.groupBy("u").agg(F.min("v").alias("m")), n)
         moved = large.join(least, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v")
-        links = materialize(few(few(small, n).distinct(), n), "cc")
+        before, links = links, materialize(few(few(small, n).distinct(), n), "cc")
         now = _state(links)
+        release(before, large)
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = now

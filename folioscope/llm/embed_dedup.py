@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.scratch import few, materialize
+from folioscope.llm.scratch import few, materialize, release
 
 #: Distinct vectors of a block.
 BLOCK_ROWS = 4096
@@ -336,7 +336,8 @@ def cover(distinct: DataFrame, counts: dict[int, int], tau: float, block_rows: i
                         at[rows[some][hit]], away[rows[some][hit]] = first + near[hit], d[hit]
                 yield batch.set_column(batch.schema.get_field_index("cell"), "cell", pa.array(at, pa.int32())).set_column(batch.schema.get_field_index("away"), "away", pa.array(away))
 
-        held = materialize(held.mapInArrow(assign, held.schema), "vec-cells")
+        before, held = held, materialize(held.mapInArrow(assign, held.schema), "vec-cells")
+        release(before)
         covered = {d: len(x) for d, (_, x) in new.items()}
         left = {r["dim"]: r["n"] for r in held.filter("cell < 0").groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
         # go on where much is left and the round took its share, beside the centres themselves
@@ -426,6 +427,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     held, cells = cover(distinct.select("key", "weight", "x", "dim"), counts, tau, block_rows)
     sent = materialize(send(held, cells, tau, least), "vec-sent")
+    release(held)
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -460,6 +462,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     own = sent.filter("clique").join(centres, ["dim", "cell"]).select("key", F.col("heft").alias("links"), F.col("centre").alias("to"))
     members = sent.filter("block >= 0").select("key", "dim", "cell").join(F.broadcast(back), ["dim", "cell"]).select("key", "links", "to")
     found = materialize(found.unionByName(told).unionByName(own).unionByName(members), "vec-links")
+    release(sent)
     linked = found.groupBy("key").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")))
     placed = distinct.select("v", "key", "least").join(groups, F.col("key") == F.col("node"), "left").join(linked.withColumnRenamed("key", "linked"), F.col("key") == F.col("linked"), "left")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.components import components
-from folioscope.llm.scratch import few, materialize, unused
+from folioscope.llm.scratch import few, materialize, release, unused
 from folioscope.llm.words import SHINGLE, Text, distinct, mix, slices, text_of
 
 HASHES, ROWS = 36, 3
@@ -252,7 +252,9 @@ def _open(left: DataFrame, groups: DataFrame, rows: int) -> DataFrame:
     whole = per.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"))
     whole = few(whole, rows).filter("comps > 1").groupBy("p1", "p2", "all").agg(F.min(F.struct("bucket", "top")).alias("one"))
     whole = few(whole, rows).select("one.bucket", F.col("one.top.comp").alias("main"), (F.col("all") - F.col("one.top.n")).alias("others"), F.col("one.top.n").alias("most"))
-    return materialize(few(held.join(whole, "bucket"), rows).select("key", "size", "bucket", "comp", "main", "others", "most"), "mh-open")
+    found = materialize(few(held.join(whole, "bucket"), rows).select("key", "size", "bucket", "comp", "main", "others", "most"), "mh-open")
+    release(held)
+    return found
 
 
 def resolve(opened: DataFrame, texts: DataFrame, weights: np.ndarray, least: float, all_blocks: bool) -> DataFrame:
@@ -302,7 +304,9 @@ def _crowded(held: DataFrame, rows: int) -> DataFrame:
     counts = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     inside = materialize(few(held.join(counts, "bucket"), rows), "mh-members")
     shared = few(inside.groupBy("key").agg(F.sum("n").alias("weight")), rows)
-    return materialize(few(inside.select("key", "size", "bucket").join(shared, "key"), rows), "mh-weighed")
+    found = materialize(few(inside.select("key", "size", "bucket").join(shared, "key"), rows), "mh-weighed")
+    release(inside)
+    return found
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -325,7 +329,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     star = materialize(few(members.join(few(hubs, rows_), "bucket").filter("key <> hub"), rows_), "mh-star")
     ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
     pairs = materialize(few(star.select(*ends).distinct(), rows_), "mh-pairs")
-    edges = materialize(verify(pairs, texts, weights, least), "mh-verified").filter("like").select("a", "b")
+    verified = materialize(verify(pairs, texts, weights, least), "mh-verified")
+    edges = verified.filter("like").select("a", "b")
     groups = components(edges)
     # a hub has met all of its bucket; all others go on where their bucket is not in one component
     opened = _open(star, groups, rows_)
@@ -335,6 +340,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         opened = _open(opened, groups, rows_)
     if not opened.isEmpty():
         groups = components(edges.union(resolve(opened, texts, weights, least, all_blocks=True)))
+    release(members, star, pairs, verified, texts, opened)
     groups = groups.withColumnRenamed("node", "node__")
     rooted = nodes.join(groups, nodes["key"] == F.col("node__"), "left").select("key", "rep", "copies", F.coalesce("component", "key").alias("root"))
     rooted = few(rooted, size)

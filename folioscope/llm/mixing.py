@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.scratch import materialize, numbered, row_key, unused
+from folioscope.llm.scratch import materialize, numbered, release, row_key, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -92,6 +92,7 @@ def schedule(
     counted = materialize(narrow.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "key", "source", "size")], F.count(F.lit(1)).alias("same")), "mix-rows")
     narrow = numbered(counted, "same", "copy").withColumn("h", F.xxhash64(F.lit(seed), "row", "copy")).drop("same")
     narrow = materialize(narrow.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))), "mix-sizes")
+    release(counted)
     buckets = narrow.groupBy("key", "bucket").agg(F.sum("size").alias("n"), F.first("source", ignorenulls=True).alias("source"))
     sums = materialize(buckets, "mix-buckets")
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,6 +106,7 @@ def schedule(
         .select("doc_id", "row", "key", "size", "source_size", "target", (F.col("base") + F.col("upto")).alias("finish"))
     )
     placed = materialize(placed, "mix-placed")
+    release(narrow, sums)
     cut = _cut(placed, max_repeats)
     times = [(F.col("finish") + k * F.col("source_size")) / F.col("target") for k in range(max_repeats)]
     copies = sum((F.when((F.col("target") > 0) & (t <= F.lit(cut)), 1).otherwise(0) for t in times), F.lit(0)) if cut is not None else F.lit(0)

@@ -8,13 +8,18 @@ which is the case in tests only.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows in Arrow format.
+BATCH_BYTES = 8 << 20
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,12 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of rows that go to Python hold ``BATCH_BYTES`` at most, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if now is not None and int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of what was written."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/folioscope/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def few(df: DataFrame, rows: int, per: int = 1_000_000, least: int = 8) -> DataFrame:
