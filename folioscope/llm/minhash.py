@@ -22,7 +22,9 @@ similarity; ``ROWS`` samples make a band, and texts that share a band are candid
 Classes are the connected components of the links; a class's id is its smallest
 doc_id, and that document is kept.  A text of one to four words is one shingle of all
 its words; texts without words, and null texts, are only like equal texts (null like
-null).  Rows that repeat are in one class.  An empty table gives no rows.
+null).  Rows that repeat are in one class.  A pair at the very threshold is alike.  Further
+columns are left out of the classes, and kept by ``deduplicate``, whatever they are called.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
