@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscope.llm.components import components
 from folioscope.llm.scratch import few, materialize, release
@@ -388,12 +389,19 @@ def send(held: DataFrame, cells: dict[int, Cells], tau: float, least: float) ->
     return held.mapInArrow(run, "key long, weight long, x array<double>, dim int, cell int, block long, clique boolean, to array<long>, whole array<long>")
 
 
-def meet(sent: DataFrame, block_rows: int) -> DataFrame:
-    """(key, weight, x, dim, task, side): the vectors of each pair of blocks to be compared; side 0 alone is compared with itself.
+def meet(sent: DataFrame, block_rows: int, least: float) -> DataFrame:
+    """(key, weight, x, dim, task, side, labels, first): the vectors of each pair of blocks to be compared; side 0 alone is compared with itself.
 
     Blocks that are larger than ``block_rows``, of one great cell or of vectors sent or without
-    a cell, are split by hash, so a task has two sides of about that size at most.
+    a cell, are split by hash, so a task has two sides of about that size at most.  A block's
+    tree is built once, down to radius ``least``, and goes along; vectors sent come without one.
     """
+
+    def plant(table: pa.Table) -> pa.Table:
+        labels, first = build(_matrix(table.column("x"), len(table)), least)
+        table = table.append_column("labels", pa.FixedSizeListArray.from_arrays(pa.array(labels.ravel()), labels.shape[1]).cast(pa.list_(pa.int64())))
+        return table.append_column("first", pa.array(first))
+
     split = lambda n: F.greatest(F.ceil(F.col(n) / block_rows), F.lit(1))
     part = lambda of: F.pmod(F.xxhash64(F.lit(5), "x"), F.col(of))
     hosts = sent.select("key", "weight", "x", "dim", F.col("block").alias("b"), "clique", F.lit(False).alias("guest"))
@@ -404,12 +412,15 @@ def meet(sent: DataFrame, block_rows: int) -> DataFrame:
     sizes = materialize(few(sizes, 0), "vec-blocks")
     every = every.join(F.broadcast(sizes), ["dim", "b"])  # a row for each block
     host = every.filter("NOT guest").withColumn("i", part("own"))
+    planted = StructType(host.schema.fields + StructType.fromDDL("labels array<long>, first long").fields)
+    host = materialize(host.groupBy("dim", "b", "i").applyInArrow(plant, planted), "vec-trees")
     host = host.withColumn("j", F.explode(F.expr("concat(if(clique, array(), sequence(0L, own - 1)), transform(if(guests > 0, sequence(0L, guests - 1), array()), g -> -1 - g))")))
     host = host.withColumn("side", F.expr("if(j >= 0 AND i > j, 1, 0)"))
     host = host.withColumn("task", F.expr("concat_ws(':', b, if(j >= 0, least(i, j), i), if(j >= 0, greatest(i, j), j))"))
     guest = every.filter("guest").withColumn("i", F.explode(F.expr("sequence(0L, own - 1)"))).withColumn("side", F.lit(1))
     guest = guest.withColumn("task", F.concat_ws(":", "b", "i", -1 - part("guests")))
-    columns = ["key", "weight", "x", "dim", "task", "side"]
+    guest = guest.withColumn("labels", F.lit(None).cast("array<long>")).withColumn("first", F.lit(None).cast("long"))
+    columns = ["key", "weight", "x", "dim", "task", "side", "labels", "first"]
     return host.select(*columns).unionByName(guest.select(*columns))
 
 
@@ -435,8 +446,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for s in (0, 1):
             part = table.filter(pa.array(side == s))
             if len(part):
-                x = _matrix(part.column("x"), len(part))
-                sides.append((Tree(x, part.column("weight").to_numpy(), *build(x, tau / 2)), part.column("key").to_numpy()))
+                x, labels = _matrix(part.column("x"), len(part)), part.column("labels").combine_chunks()
+                tree = build(x, tau / 2) if labels.null_count else (labels.flatten().to_numpy().reshape(len(part), -1), part.column("first").to_numpy())
+                sides.append((Tree(x, part.column("weight").to_numpy(), *tree), part.column("key").to_numpy()))
         lonely = len(sides) == 1
         i, j = table.column("task")[0].as_py().split(":")[1:]
         if lonely and i != j:
@@ -452,7 +464,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         hit = counted > 0
         return pa.table({"key": keys[hit], "links": counted[hit], "to": keys[root][hit]})
 
-    found = meet(sent, block_rows).groupBy("dim", "task").applyInArrow(compare, "key long, links long, to long")
+    found = meet(sent, block_rows, tau / 2).groupBy("dim", "task").applyInArrow(compare, "key long, links long, to long")
     # cells linked whole: the vector counts the cell, each vector of the cell counts it, and all are one component
     table = [(d, k, int(c.weight[k]), int(c.keys[k])) for d, c in cells.items() for k in np.flatnonzero(c.size > 0).tolist()]
     centres = F.broadcast(sent.sparkSession.createDataFrame(table, "dim int, cell int, heft long, centre long"))  # a row for each centre

@@ -284,7 +284,7 @@ def test_clusters_are_not_sent(spark):
         x = np.repeat(base, 100, axis=0) + rng.normal(size=(n, 32)) * 0.05
         rows = spark.createDataFrame([(k, 1, v.tolist(), 32) for k, v in enumerate(x)], "key long, weight long, x array<double>, dim int")
         held, cells = embed_dedup.cover(rows, {32: n}, np.sqrt(0.2), 256)
-        sent.append(embed_dedup.meet(embed_dedup.send(held, cells, np.sqrt(0.2), 0.9), 256).count() / n)
+        sent.append(embed_dedup.meet(embed_dedup.send(held, cells, np.sqrt(0.2), 0.9), 256, np.sqrt(0.2) / 2).count() / n)
     assert sent[1] < 1.3 * sent[0] < 3
 
 
