@@ -85,6 +85,18 @@ def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    columns = {c: docs[c] for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    lowered = columns | {"text": F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")}
+    hit = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 5 == 0
+    leaf = merkle.leaf(list(columns.values()))
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(hit, merkle.leaf(list(lowered.values()))).otherwise(leaf).alias("claimed"))
+    return merkle.manifest(rows, claimed_col="claimed").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_weighted_fair": op1_mix_weighted_fair,
     "op2_shard_two_pass": op2_shard_two_pass,
@@ -96,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_gear_chunks": op8_substring_gear_chunks,
     "op9_quality_cotrained": op9_quality_cotrained,
     "op10_bpe_speculate_verify": op10_bpe_speculate_verify,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Twins of those queries that SQL can express.
