@@ -85,6 +85,18 @@ def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digests_only=True)
 
 
+def op11_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_ranked_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioscope.llm import lexical
+
+    return lexical.rank(table(spark, sf_dir, "benchmark").select("item_id", "text"), table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.llm import merkle
 
@@ -108,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_gear_chunks": op8_substring_gear_chunks,
     "op9_quality_cotrained": op9_quality_cotrained,
     "op10_bpe_speculate_verify": op10_bpe_speculate_verify,
+    "op11_pack_best_fit": op11_pack_best_fit,
+    "op12_ranked_lexical": op12_ranked_lexical,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -128,4 +142,23 @@ ruled AS (
   FROM parts)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op12_ranked_lexical": r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+totals AS (SELECT count(*)::BIGINT AS nd, sum(len(terms))::BIGINT AS nt FROM words WHERE len(terms) > 0),
+postings AS (SELECT doc_id, k, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, k, len(terms)::BIGINT AS n, unnest(terms) AS term FROM words) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM postings, totals GROUP BY term),
+impacts AS (
+  SELECT doc_id, k, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))) AS impact
+  FROM postings JOIN weights USING (term), totals),
+asked AS (
+  SELECT item_id, text, term, count(*)::BIGINT AS times
+  FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY ALL),
+scores AS (SELECT item_id, text, doc_id, k, sum(impact * times)::BIGINT AS score FROM impacts JOIN asked USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 20""",
 }
