@@ -13,9 +13,10 @@ each round:
    them.  Which part serves which follows from a row of counts for each part, as brackets
    are matched; pieces that want the same gaps go by their rank among those in want, as
    many to a gap as surely fit.
-4. Gaps shrink by what they took.  Pieces that no gap holds open new sequences - the
-   longest ones, and only as many as all such pieces' tokens need - so no sequence is
-   opened that could be spared now; the others look again in the next round.
+4. Gaps shrink by what they took.  The longest of the pieces that are left open new
+   sequences, as many as are needed anyhow: for the tokens that all gaps together cannot
+   take, or for those of pieces longer than every gap, whichever is more.  The others look
+   again in the next round; one of them is placed there, as long as a gap holds it.
 
 Rounds end when no piece is open.  Every round ends in written tables of narrow rows; the
 texts are read once, and token ids do not move.  A length that a third of all pieces have
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe
-from folioscope.llm.scratch import bound_batches, materialize, release
+from folioscope.llm.scratch import bound_batches, materialize
 
 CAPACITY = 2048
 #: Open pieces and gaps that one task sweeps.
@@ -172,9 +173,9 @@ def _round(spark: SparkSession, open_: DataFrame, gaps: DataFrame, parts: int, u
         placed.append(went.select("uid", "gap"))
         took = went.groupBy("gap").agg(F.sum("size").alias("took"))
         there = there.join(took, "gap", "left").select("gap", (F.col("size") - F.coalesce("took", F.lit(0))).alias("size"))
-    there = there.select("gap", "size")
+    there = materialize(there.select("gap", "size").filter("size > 0"), "pack-gaps")
     if not want:
-        return open_.limit(0), there.filter("size > 0"), placed, used
+        return open_.limit(0), there, placed, used
     number, base = [], 0
     count = {r["part"]: r["pieces"] for r in rows}
     for part, first in want:
@@ -183,12 +184,15 @@ def _round(spark: SparkSession, open_: DataFrame, gaps: DataFrame, parts: int, u
     ranks = spark.createDataFrame(number, "in int, first long, base long")
     homeless = left.join(ranks, (F.col("part") == F.col("in")) & (F.col("rank") >= F.col("first"))).select("uid", "size", (F.col("base") + F.col("rank") - F.col("first")).alias("place"))
     homeless = materialize(homeless, "pack-homeless")
-    tokens = homeless.agg(F.sum("size").alias("n")).first()["n"]
-    new = -(-tokens // capacity)
+    least, tokens = homeless.agg(F.min("size"), F.sum("size")).first()
+    room, widest = there.filter(F.col("size") >= least).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    beyond = homeless.agg(F.coalesce(F.sum(F.when(F.col("size") > widest, F.col("size"))), F.lit(0))).first()[0]
+    new = max(0, -(-(tokens - room) // capacity), -(-beyond // capacity))
     opened = homeless.filter(F.col("place") < new).select("uid", "size", (F.lit(used) + F.col("place")).alias("gap"))
-    placed.append(opened.select("uid", "gap"))
-    there = there.unionByName(opened.select("gap", (F.lit(capacity) - F.col("size")).alias("size")))
-    return homeless.filter(F.col("place") >= new).select("uid", "size"), there.filter("size > 0"), placed, used + new
+    if new:
+        placed.append(opened.select("uid", "gap"))
+        there = there.unionByName(opened.select("gap", (F.lit(capacity) - F.col("size")).alias("size")).filter("size > 0"))
+    return homeless.filter(F.col("place") >= new).select("uid", "size"), there, placed, used + new
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
@@ -204,11 +208,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
             break
         gaps = gaps.filter(F.col("size") >= todo["least"])
         rows = todo["n"] + gaps.count()
-        left, kept, new, used = _round(spark, open_, gaps, -(-rows // part_rows), used, capacity)
+        open_, gaps, new, used = _round(spark, open_, gaps, -(-rows // part_rows), used, capacity)
         placed += new
-        old, open_ = open_, materialize(left, "pack-open")
-        was, gaps = gaps, materialize(kept, "pack-gaps")
-        release(old, was)
     if not placed:
         return cut.select("uid", F.lit(0).cast("long").alias("gap"))
     out = placed[0]
