@@ -18,7 +18,9 @@ each round:
    take, or for those of pieces longer than every gap, whichever is more.  The others look
    again in the next round; one of them is placed there, as long as a gap holds it.
 
-Rounds end when no piece is open.  Every round ends in written tables of narrow rows; the
+Rounds end when no piece is open.  Once the open pieces and the gaps that hold one are no
+more than a part, they are swept together, and what finds no gap opens a sequence there
+and then, so the last rounds are one.  Every round ends in written tables of narrow rows; the
 texts are read once, and token ids do not move.  A length that a third of all pieces have
 is spread over parts like any other run of the order, as ids break ties.
 
@@ -75,10 +77,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def sweep(size: list[int], is_piece: list[bool], name: list[int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+def sweep(size: list[int], is_piece: list[bool], name: list[int], used: int | None = None, capacity: int = 0) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
     """Best fit over rows of falling size, gaps before pieces of their size: (piece, size, gap) placed, (piece, size) not, (gap, size) left.
 
     Gaps wait on a stack, the smallest on top; what is left of a gap waits until the sweep has come down to it.
+    With ``used``, the number of sequences so far, pieces without a gap open new ones.
     """
     stack: list[tuple[int, int]] = []
     rest: list[tuple[int, int]] = []
@@ -89,8 +92,11 @@ def sweep(size: list[int], is_piece: list[bool], name: list[int]) -> tuple[list[
             stack.append((-least, gap))
         if not piece:
             stack.append((s, k))
-        elif stack:
-            room, gap = stack.pop()
+        elif stack or used is not None:
+            if stack:
+                room, gap = stack.pop()
+            else:
+                room, gap, used = capacity, used, used + 1
             placed.append((k, s, gap))
             if room > s:
                 heapq.heappush(rest, (s - room, gap))
@@ -99,13 +105,33 @@ def sweep(size: list[int], is_piece: list[bool], name: list[int]) -> tuple[list[
     return placed, open_, [(gap, room) for room, gap in stack] + [(gap, -least) for least, gap in rest]
 
 
+def _together(open_: DataFrame, gaps: DataFrame) -> DataFrame:
+    return open_.select("size", F.lit(True).alias("piece"), F.col("uid").alias("name")).unionByName(gaps.select("size", F.lit(False).alias("piece"), F.col("gap").alias("name")))
+
+
+def _order() -> list:
+    """Longest first; at one size gaps, then pieces."""
+    return [F.col("size").desc(), F.col("piece"), F.col("name")]
+
+
+def _finished(open_: DataFrame, gaps: DataFrame, used: int, capacity: int) -> DataFrame:
+    """(uid, gap) of all open pieces, which with the gaps are no more than one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            table = pa.Table.from_batches(held)
+            placed, _, _ = sweep(*(table.column(c).to_pylist() for c in ("size", "piece", "name")), used, capacity)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in placed], pa.int64()) for k in (0, 2)], names=["uid", "gap"])
+
+    return _together(open_, gaps).coalesce(1).sortWithinPartitions(*_order()).mapInArrow(run, "uid long, gap long")
+
+
 def _swept(open_: DataFrame, gaps: DataFrame, parts: int) -> DataFrame:
     """(part, rank, kind, name, size, gap): the outcome of a sweep of every part.
 
     ``rank``: of open pieces from the longest, of gaps from the smallest that holds whatever stands in later parts.
     """
-    rows = open_.select("size", F.lit(True).alias("piece"), F.col("uid").alias("name")).unionByName(gaps.select("size", F.lit(False).alias("piece"), F.col("gap").alias("name")))
-    order = [F.col("size").desc(), F.col("piece"), F.col("name")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -124,7 +150,7 @@ def _swept(open_: DataFrame, gaps: DataFrame, parts: int) -> DataFrame:
             part = pa.array(np.full(len(rows), TaskContext.get().partitionId()), pa.int32())
             yield pa.RecordBatch.from_arrays([part, *columns], names=["part", "rank", "kind", "name", "size", "gap"])
 
-    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "part int, rank long, kind int, name long, size long, gap long")
+    return _together(open_, gaps).repartitionByRange(parts, *_order()).sortWithinPartitions(*_order()).mapInArrow(run, "part int, rank long, kind int, name long, size long, gap long")
 
 
 def served(counts: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int]]]:
@@ -169,11 +195,10 @@ def _round(spark: SparkSession, open_: DataFrame, gaps: DataFrame, parts: int, u
         ways = spark.createDataFrame(found, "to int, first long, upto long, from int, start long, fit long")
         go = left.join(ways, (F.col("part") == F.col("to")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("upto")))
         go = go.select("uid", "size", F.col("from").alias("part"), F.expr("start + (rank - first) div fit").alias("rank"))
-        went = materialize(go.join(there.select("part", "rank", "gap"), ["part", "rank"]).select("uid", "size", "gap"), "pack-served")
-        placed.append(went.select("uid", "gap"))
-        took = went.groupBy("gap").agg(F.sum("size").alias("took"))
-        there = there.join(took, "gap", "left").select("gap", (F.col("size") - F.coalesce("took", F.lit(0))).alias("size"))
-    there = materialize(there.select("gap", "size").filter("size > 0"), "pack-gaps")
+        took = go.groupBy("part", "rank").agg(F.sum("size").alias("took"), F.collect_list("uid").alias("uids"))  # as many as fit
+        there = materialize(there.join(took, ["part", "rank"], "left").select("gap", (F.col("size") - F.coalesce("took", F.lit(0))).alias("size"), "uids"), "pack-gaps")
+        placed.append(there.select(F.explode("uids").alias("uid"), "gap"))
+    there = there.select("gap", "size").filter("size > 0")
     if not want:
         return open_.limit(0), there, placed, used
     number, base = [], 0
@@ -208,6 +233,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS)
             break
         gaps = gaps.filter(F.col("size") >= todo["least"])
         rows = todo["n"] + gaps.count()
+        if rows <= part_rows:
+            placed.append(_finished(open_, gaps, used, capacity))
+            break
         open_, gaps, new, used = _round(spark, open_, gaps, -(-rows // part_rows), used, capacity)
         placed += new
     if not placed:
