@@ -54,6 +54,8 @@ _ROLE_WORDS = re.compile(r"(?i)(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|n
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu dialog alert".split())
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+#: A path is cut at slashes, so those of names are written otherwise.
+_NAMES = str.maketrans({"/": "%2F", "%": "%25"})
 _ATTR = re.compile(r"""(?i)(?:^|\s)(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -104,7 +106,7 @@ def parse(page: str) -> tuple[dict[str, list[int]], list[tuple[int, str, bool, s
         attrs = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m[3] or m[6] or "")}
         _, path, dropped, names, article = stack[-1]
         name = ".".join([tag, *sorted(f"{attrs.get('class', '')} {attrs.get('id', '')}".split())])
-        path = f"{path}/{name}"
+        path = f"{path}/{name.translate(_NAMES)}"
         elements.setdefault(path, [0, 0])[0] += 1
         if tag in _VOID:
             continue

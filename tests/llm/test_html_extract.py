@@ -93,3 +93,18 @@ def test_neutral_names_and_no_article(spark):
 def test_slots_beside_an_article(spark):
     make = lambda k: f"<body><div class=q1>Teaser {k}</div><article><p>{f'Long text {k}. ' * 9}<span class=share>kept</span></p><section class=related-work>Prior {k}</section></article></body>"
     assert texts(spark, [("a.example", make(k)) for k in range(5)]) == [" ".join([f"Long text {k}."] * 9) + f" kept\nPrior {k}" for k in range(5)]
+
+
+def test_names_with_slashes_and_odd_attributes(spark):
+    page_ = lambda k: f"<body><div class='w-1/2 a%2Fb'>Site</div><div id='/x//y' class=\"md:w-2/3\"><p class=/>Text {k}</p></div></body>"
+    assert texts(spark, [("a.example", page_(k)) for k in range(5)]) == [f"Text {k}" for k in range(5)]
+
+
+def test_parse_takes_any_page():
+    import random
+
+    rng = random.Random(8)
+    bits = list("<>/\"'= %.&;-!\n\x00\xa0 é") + ["<div", "<p ", "</div>", "class=", "id='", "<article", "</", "<script>", "<!--", "-->", "text", "w-1/2", "<li>", "<br/>", "&amp;", "<td", "<a href=/x/y"]
+    for _ in range(4000):
+        elements, pieces = html_extract.parse("".join(rng.choices(bits, k=rng.randint(0, 40))))
+        assert all(path in elements or not path for _, path, _, _, _ in pieces)
