@@ -428,8 +428,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dig
     """``docs`` without its text, with the ids and the decoded text, or with their digests.
 
     Adds ``n_tokens long`` and either ``ids array<int>``, ``decoded string`` or
-    ``ids_sha256 string``, ``decoded_sha256 string``.  A column of ``docs`` that has one
-    of these names in any letter case is replaced.  A map over the rows: no shuffle.
+    ``ids_sha256 string``, ``decoded_sha256 string``; the names get longer where ``docs``
+    has such columns in any letter case.  A map over the rows: no shuffle.
     The vocabulary is read on the driver (its size is that of the file) and sent along.
     """
     bound_batches(docs.sparkSession)
@@ -437,10 +437,11 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, dig
     spec = docs.sparkSession.sparkContext.broadcast(load(path))
     key = hash(path)
     own = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests_only else ["n_tokens", "ids", "decoded"]
-    kept = [c for c in docs.columns if c.lower() not in own and c != text_col]
+    kept = [c for c in docs.columns if c != text_col]
+    own = [unused(c, kept) for c in own]
     held = unused("text__", kept)
     rows = docs.select(*[docs[c] for c in kept], docs[text_col].alias(held))
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests_only else "n_tokens long, ids array<int>, decoded string"
+    kinds = ", ".join(f"`{c}` {t}" for c, t in zip(own, ("long", "string" if digests_only else "array<int>", "string"), strict=True))
     from pyspark.sql.types import StructType
 
     schema = StructType(rows.drop(held).schema.fields + StructType.fromDDL(kinds).fields)

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch of rows in Arrow format.
@@ -74,13 +74,20 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def _hashable(column: Column, kind: str) -> list[Column]:
+    """Columns whose hashes tell two values apart: nulls within arrays and structs, which a hash passes over, are spelt out."""
+    if kind not in ("array", "struct", "map", "variant"):
+        return [column]
+    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return [F.to_json(column, {"ignoreNullFields": "false", "timestampFormat": stamp + "XXX", "timestampNTZFormat": stamp})]
+
+
 def row_key(df: DataFrame, text_col: str):
     """Column of 16 bytes that stand for a whole row: equal for rows equal in all columns only."""
     parts = []
     for f in df.schema.fields:
         if f.name != text_col and f.dataType.typeName() != "void":
-            plain = F.to_json(df[f.name]) if f.dataType.typeName() in ("map", "variant") else df[f.name]
-            parts += [plain, df[f.name].isNull()]  # a hash passes over nulls
+            parts += [*_hashable(df[f.name], f.dataType.typeName()), df[f.name].isNull()]  # a hash passes over nulls
     rest = [F.hex(F.xxhash64(F.lit(seed), *parts)) for seed in (1, 2)]
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.md5(df[text_col].cast("binary")), F.lit("null")), *rest)))
 

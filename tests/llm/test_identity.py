@@ -1,5 +1,6 @@
 """Texts that clash under weak hashes, and passages removed against a plain model."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -109,3 +110,25 @@ def test_passages_with_clashing_names(spark):
     found = substring_dedup.deduplicate(df, report=True)
     assert found.columns[:11] == df.columns and found.columns[11:] == ["removed_words___", "removed___", "firsts___"]
     assert all(r.id__ == r.removed_words__ == r.doc_id and r.n_chars == len(r.text) or r.doc_id == 0 for r in found.collect())
+
+
+def test_rows_are_told_apart_by_nested_nulls(spark, tmp_path):
+    from folioscope.llm import mixing, sharding
+
+    kinds = "doc_id long, text string, source string, x array<int>, y struct<a: int, b: int>, z array<struct<t: timestamp, m: map<string, int>>>, ids_sha256 string"
+    stamps = [datetime.datetime(2020, 1, 1, 0, 0, 0, k) for k in (1, 2)]
+    rows = [(1, "one text of words", "s", x, y, [(t, m)], None) for x in ([1, None], [1], [None, 1]) for y in ((1, None), (None, 1)) for t in stamps for m in ({"a": 1}, {"a": None}, None)]
+    docs = spark.createDataFrame(rows, kinds)
+    spell = lambda table: sorted(str(r) for r in table.select(*docs.columns).collect())
+    wanted = spell(docs)
+    assert len(set(wanted)) == len(rows)
+    assert spell(mixing.mix(docs, weights=(1,), max_repeats=1)) == wanted
+    sharding.write(docs, str(tmp_path / "out"), shards=3)
+    assert spell(spark.read.schema(docs.schema).parquet(str(tmp_path / "out"))) == wanted
+
+
+def test_encoding_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", 7)], "doc_id long, text string, ids_sha256 string, N_TOKENS int")
+    got = bpe.encode(docs, digests_only=True)
+    assert got.columns == ["doc_id", "ids_sha256", "N_TOKENS", "n_tokens_", "ids_sha256_", "decoded_sha256"]
+    assert got.first().ids_sha256 == "mine" and got.first().N_TOKENS == 7 and got.first().n_tokens_ == 2
