@@ -20,7 +20,8 @@ similarity; ``ROWS`` samples make a band, and texts that share a band are candid
 * Candidates are verified by their exact weighted Jaccard similarity over whole texts.
 
 Classes are the connected components of the links; a class's id is its smallest
-doc_id, and that document is kept.  A text of one to four words is one shingle of all
+doc_id, and that document is kept; of several texts of that id, or of a class without
+ids, that of the least digest.  A text of one to four words is one shingle of all
 its words; texts without words, and null texts, are only like equal texts (null like
 null).  Rows that repeat are in one class.  A pair at the very threshold is alike.  Further
 columns are left out of the classes, and kept by ``deduplicate``, whatever they are called.
@@ -324,6 +325,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     wanted = members.select("key").distinct().join(nodes.select("key", "rep"), "key").select(F.col("key").alias("key__"), F.col("rep").alias("rep__"))
     rows = docs.select(docs[id_col].alias("doc_id"), digest(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("rep__")) & (rows["key"] == F.col("key__"))).select("key", "text")
+    if not signed.groupBy("key", "doc_id").count().filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["key"])  # rows that repeat have one text
     texts = materialize(few(texts, size, *_PAIRS), "mh-texts")
     # Spark limits the rows of each bucket before the shuffle, so a crowded one sends a few from each task
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("key")))
@@ -346,10 +349,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     groups = groups.withColumnRenamed("node", "node__")
     rooted = nodes.join(groups, nodes["key"] == F.col("node__"), "left").select("key", "rep", "copies", F.coalesce("component", "key").alias("root"))
     rooted = few(rooted, size)
-    named = few(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size")), size)
-    by_key = few(rooted.join(named, "root"), size).select(F.col("key").alias("key__"), "class_id", "class_size")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key")).alias("first")
+    named = few(rooted.groupBy("root").agg(first, F.sum("copies").alias("class_size")), size)
+    by_key = few(rooted.join(named, "root"), size).select(F.col("key").alias("key__"), F.col("first.rep").alias("class_id"), F.col("first.key").alias("first__"), "class_size")
     out = signed.select("doc_id", "key").join(by_key, F.col("key") == F.col("key__"))
-    return out.select("doc_id", "key", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first__"))
+    return out.select("doc_id", "key", "class_id", "class_size", kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -357,7 +362,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(classes(docs, id_col, text_col, least).filter("kept").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "mh-kept")
     i, k = unused("id__", docs.columns), unused("key__", docs.columns)
     kept = found.select(F.col("doc_id").alias(i), F.col("key").alias(k))
-    # a class of null ids, or an id that several texts share, has kept rows of more than one text
     own = unused("own__", docs.columns)
     rows = docs.withColumn(own, digest(docs[text_col]))
     out = rows.join(kept, rows[id_col].eqNullSafe(kept[i]) & (rows[own] == kept[k]), "left_semi")

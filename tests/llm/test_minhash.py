@@ -43,3 +43,22 @@ def test_every_banded_pair_counts(spark, monkeypatch, groups, copies, block):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == wanted_classes(texts)
+
+
+def test_rows_that_repeat_have_one_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(900)}" for _ in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"])]
+    docs = spark.createDataFrame([(k % 2, texts[k % 2]) for k in range(6000)] + [(7, "something else altogether in five words")], "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.class_size, r.kept) for r in minhash.classes(docs).collect()}
+    assert got == {(0, 0, 6000, True), (1, 0, 6000, False), (7, 7, 1, True)}
+    assert sorted(r.doc_id for r in minhash.deduplicate(docs).collect()) == [0, 7]
+
+
+def test_classes_without_ids_keep_one(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(900)}" for _ in range(200)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (3, 50, 120)]
+    docs = spark.createDataFrame([(None, t) for t in near + near[:1]] + [(4, t[::-1]) for t in near], "doc_id long, text string")
+    kept = [r.text for r in minhash.deduplicate(docs).collect()]
+    assert len(kept) == 2 and kept[0] != kept[1][::-1]
