@@ -11,15 +11,19 @@ per stratum (language) on labelled documents that pass the base rule:
   (Clopper-Pearson) binomial bound at level ``delta`` over strata; the first step that
   does not hold ends the path.  The path does not depend on the documents that test it,
   so its steps need no further correction (fixed-sequence testing).
+* Equal texts of a stratum are one trial, bad if any of them is: copies are not
+  independent, and would make a bound look surer than it is.
 * Strata with too few labels for any step are tested together, with one path.  If they
   are too few even so, nothing is rejected there; likewise where no good label is.
 
-With probability 1 - ``delta`` all the bounds hold together: in every stratum, and in
-the strata tested together as a whole, at most ``risk`` of good documents are rejected.
+With probability 1 - ``delta`` all the bounds hold together: in every stratum that is
+``guaranteed``, and in the strata tested together as a whole, at most ``risk`` of good
+documents are rejected.  No single one of the latter has that guarantee, which the
+column ``guaranteed`` tells.
 
 A map over whole texts computes the statistics (hashes of words and lines by numpy);
 counts for the thresholds are one aggregate over all labelled documents, of no more
-values than strata and combinations of grid steps.
+values than strata that have labels and combinations of grid steps.
 
 Null and empty texts have no words and fail the base rule; a null language is a
 stratum; documents without a label are judged, not used; conflicting labels of a
@@ -77,10 +81,11 @@ def statistics(text: Text) -> list[np.ndarray]:
     return [text.counts, text.word_chars(), text.symbols(), dup_lines, repeat]
 
 
-def measure(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and the five counts."""
+def measure(docs: DataFrame, text_col: str, keep: list[str], digest: str | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs``, the text's digest under the name ``digest`` where asked, and the five counts."""
     held = unused("text__", keep)
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias(held))
+    rows = docs.select(*[docs[c] for c in keep], *([F.md5(docs[text_col].cast("binary")).alias(digest)] if digest else []), docs[text_col].alias(held))
+    keep = rows.columns[:-1]
     schema = StructType(rows.drop(held).schema.fields + StructType.fromDDL(COUNTS).fields)
     names = [f.name for f in schema.fields]
 
@@ -164,16 +169,19 @@ def cutoffs(steps: np.ndarray) -> list[float | None]:
     return [sorted(grid, reverse=side == ">")[k - 1] if k else None for (_, _, side, grid), k in zip(RULES, steps, strict=True)]
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> dict[str | None, list[float | None]]:
-    """Cutoff of every rule, or None, for each stratum; all labelled documents that pass the base rule count.
+def chosen(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA, trial: str = "doc_id") -> tuple[dict[str | None, list[float | None]], set[str | None]]:
+    """Cutoff of every rule, or None, for each stratum, and the strata whose own bound holds; all labelled documents that pass the base rule count.
 
-    ``labels`` has (doc_id, quality); collected are counts for each stratum and combination of levels.
+    ``labels`` has (doc_id, quality); documents of one ``trial`` and stratum count once.
+    Collected are counts for each stratum with labels and combination of levels.
     """
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).select(F.col("doc_id").alias("known__"), F.when(F.col("q") == 1, 1).otherwise(0).alias("good__"))
     held = measured.join(known, F.col("doc_id") == F.col("known__")).filter(~base_failed())
     levels = [sum((_rejects(s, side, c).cast("int") for c in grid), F.lit(0)).alias(f"l{i}") for i, (_, s, side, grid) in enumerate(RULES)]
-    part = F.when(F.col("good__") == 0, "bad").when(F.pmod(F.xxhash64("doc_id"), F.lit(PATH_PART)) == 0, "path").otherwise("test").alias("part")
-    rows = held.select(F.col(stratum).alias("stratum"), part, *levels).groupBy("stratum", "part", *(f"l{i}" for i in range(len(RULES)))).count().collect()
+    names = [f"l{i}" for i in range(len(RULES))]
+    trials = held.select(F.col(stratum).alias("stratum"), F.col(trial).alias("trial"), "good__", *levels).groupBy("stratum", "trial", *names).agg(F.min("good__").alias("good__"))
+    part = F.when(F.col("good__") == 0, "bad").when(F.pmod(F.xxhash64("trial"), F.lit(PATH_PART)) == 0, "path").otherwise("test").alias("part")
+    rows = trials.select("stratum", part, *names).groupBy("stratum", "part", *names).count().collect()
     counts: dict[str | None, dict[str, list[tuple]]] = {}
     for row in rows:
         counts.setdefault(row["stratum"], {"bad": [], "path": [], "test": []})[row["part"]].append((*row[2:-1], row[-1]))
@@ -186,13 +194,18 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float
         # without bad documents of its own, a stratum takes its path by those of all
         part_["bad"] = part_["bad"] or [(*row[2:-1], row[-1]) for row in rows if row["part"] == "bad"]
         (bad, n_bad), (good, n_good), (test, n_test) = ((np.array([c[:-1] for c in part_[k]], np.int64).reshape(-1, len(RULES)), np.array([c[-1] for c in part_[k]], np.int64)) for k in ("bad", "path", "test"))
-        chosen = np.zeros(len(RULES), np.int64)
+        last = np.zeros(len(RULES), np.int64)
         for steps in path(good, n_good, bad, n_bad):
             if not holds(int(n_test[_rejected(test, steps)].sum()), int(n_test.sum()), level, risk):
                 break
-            chosen = steps
-        out |= {s: cutoffs(chosen) for s in names}
-    return out
+            last = steps
+        out |= {s: cutoffs(last) for s in names}
+    return out, set(counts) - set(few)
+
+
+def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA, trial: str = "doc_id") -> dict[str | None, list[float | None]]:
+    """The cutoffs of ``chosen``."""
+    return chosen(measured, labels, stratum, risk, delta, trial)[0]
 
 
 def base_failed():
@@ -200,9 +213,9 @@ def base_failed():
 
 
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """doc_id, the stratum, the five counts, base_failed, rule (first that rejects, or null), kept."""
-    measured = materialize(measure(docs, text_col, ["doc_id", stratum]), "quality-counts")
-    cut = thresholds(measured, labels, stratum, risk, delta)
+    """doc_id, the stratum, the five counts, base_failed, rule (first that rejects, or null), kept, guaranteed (whether the stratum's own bound holds)."""
+    measured = materialize(measure(docs, text_col, ["doc_id", stratum], "digest__"), "quality-counts")
+    cut, sure = chosen(measured, labels, stratum, risk, delta, "digest__")
     rule = F.lit(None).cast("string")
     for i in reversed(range(len(RULES))):
         name, statistic, side, grid = RULES[i]
@@ -211,5 +224,7 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: s
             inside = F.col(stratum).isin([s for s in names if s is not None]) & F.col(stratum).isNotNull()
             inside = inside | F.col(stratum).isNull() if None in names else inside
             rule = F.when(inside & _rejects(statistic, side, c), F.lit(name)).otherwise(rule)
-    out = measured.withColumn("base_failed", base_failed()).withColumn("rule", rule)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    out = measured.drop("digest__").withColumn("base_failed", base_failed()).withColumn("rule", rule)
+    named = F.col(stratum).isin([s for s in sure if s is not None]) & F.col(stratum).isNotNull()
+    named = named | F.col(stratum).isNull() if None in sure else named
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).withColumn("guaranteed", named)
