@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.scratch import rounds
+from folioscope.operators import graph
 
 # Words that say nothing about a title.
 STOPWORDS = "a an and or of to in on for is it with by as at be this that from into over per the when via not no so if but are was has can".split()
@@ -223,52 +223,17 @@ def blocking_edges(issues: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """G3. (path, length) of all simple cycles of (src, dst), each from its lowest member, of any length.
 
-    Nodes that nothing leads to or from lie on no cycle and are peeled off first, so a
-    table without cycles costs as many rounds as its longest chain.  Then walks grow by a
-    node a round, through nodes above their start only, so each cycle is found once;
-    rounds end when no walk is left.
+    Walks are looked for inside strongly connected components only, and between places
+    where ways part or meet; see ``folioscope.operators.graph``.
     """
-    spark = edges.sparkSession
-    with rounds(spark) as keep:
-        left = keep(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).distinct())
-        n = left.count()
-        while n:
-            inner = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            left = keep(inner.select("src", "dst"))
-            n, before = left.count(), n
-            if n == before:
-                break
-        steps = left.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-        walks = left.filter("dst >= src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src").alias("path"))
-        found = walks.filter("node = start").select("path")
-        walks = keep(walks.filter("node <> start"))
-        while not walks.isEmpty():
-            grown = walks.join(steps, "node").filter("next >= start AND NOT array_contains(array_append(path, node), next) OR next = start")
-            grown = keep(grown.select("start", F.col("next").alias("node"), F.array_append("path", F.col("node")).alias("path")))
-            found = found.unionByName(grown.filter("node = start").select("path"))
-            walks = keep(grown.filter("node <> start"))
-        return keep(found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.size("path").alias("length")))
+    found = graph.simple_cycles(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")))
+    return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.size("path").alias("length"))
 
 
 def terminal_superseders(pointers: DataFrame) -> DataFrame:
-    """G4. (doc, terminal): the ends of all chains of (doc, by); chains may fork, join and circle.
-
-    Chains double in length each round: what a document reaches within 2**k steps is joined
-    with what the ends of its walks of 2**k steps reach.  So rounds grow with the logarithm
-    of the longest chain, and end after as many documents at the latest.
-    """
-    spark = pointers.sparkSession
-    with rounds(spark) as keep:
-        steps = keep(pointers.filter("doc IS NOT NULL AND by IS NOT NULL").select("doc", "by").distinct())
-        on = steps.select(F.col("doc").alias("by")).distinct()
-        ends, going = keep(steps.join(on, "by", "left_anti").select("doc", F.col("by").alias("terminal"))), keep(steps.join(on, "by", "left_semi").select("doc", "by"))
-        longest, reach = on.count(), 1
-        while reach < longest and not going.isEmpty():
-            later = going.join(ends.select(F.col("doc").alias("by"), "terminal"), "by").select("doc", "terminal")
-            further = going.join(going.select(F.col("doc").alias("by"), F.col("by").alias("then")), "by").select("doc", F.col("then").alias("by"))
-            ends, going, reach = keep(ends.unionByName(later).distinct()), keep(further.distinct()), 2 * reach
-        later = going.join(ends.select(F.col("doc").alias("by"), "terminal"), "by").select("doc", "terminal")
-        return keep(ends.unionByName(later).distinct())
+    """G4. (doc, terminal): the ends of all chains of (doc, by); chains may fork, join and circle."""
+    steps = pointers.filter("doc IS NOT NULL AND by IS NOT NULL").select(F.col("doc").alias("src"), F.col("by").alias("dst"))
+    return graph.ends(steps).select(F.col("node").alias("doc"), F.col("end").alias("terminal"))
 
 
 def citation_violations(citations: DataFrame, terminals: DataFrame) -> DataFrame:

@@ -28,11 +28,19 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def rounds(spark: SparkSession):
-    """A function that writes a table and reads it back; all but the last table are deleted at the end."""
+def rounds(spark: SparkSession, small: int = 0):
+    """A function that writes a table and reads it back; all but the last table are deleted at the end.
+
+    A table of at most ``small`` rows is held in the plan instead of being written, which
+    spares an iterative operator the files of its many small rounds.
+    """
     made: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
+        if small:
+            rows = df.limit(small + 1).collect()  # a bounded number
+            if len(rows) <= small:
+                return spark.createDataFrame(rows, df.schema)
         made.append(f"{shared_dir(spark)}/folioscope/round-{uuid.uuid4().hex}")
         df.write.parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
