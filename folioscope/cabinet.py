@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import secrets
+from collections import Counter
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
-from folioscope.operators import classify, duplicates, moves, plan, reading, search
+from folioscope.operators import classify, duplicates, index, moves, plan, reading, search
 from folioscope.operators.rules import Taxonomy
 from folioscope.schema import TABLES
 from folioscope.scratch import rounds
@@ -20,6 +23,10 @@ from folioscope.store import Store, rotate
 from folioscope.streaming import ingest as scans
 
 
+#: Documents that are read and committed at once, about.
+UNIT = 10_000
+
+
 class Cabinet:
     """Documents below ``root`` and their index below ``path``."""
 
@@ -44,8 +51,9 @@ class Cabinet:
             fresh = keep(pages.counted(fresh, self.root, tools.count))
             old = known.filter("state = 'unchanged'").select(*files.columns).withColumns({"sha256": F.lit(None).cast("string"), "mime": F.lit(None).cast("string"), "page_count": F.lit(None).cast("int")})
             states = keep(scans.absorb(self.store, fresh.unionByName(old), scan, full=True))
-        before = self.store.read("scan")
-        self.store.commit({"scan": before.unionByName(self.spark.createDataFrame([(scan, datetime.now(timezone.utc))], before.schema))})
+        change = self.store.change()
+        change.append("scan", self.spark.createDataFrame([(scan, datetime.now(timezone.utc))], self.store.schema("scan")))
+        change.commit()
         return states
 
     def hash_pages(self, tools: Tools, limit: int | None = None) -> tuple[int, int]:
@@ -56,7 +64,9 @@ class Cabinet:
         pending = duplicates.pending_hash(self.store.read("document"), self.store.read("occurrence"), stored, limit)
         with rounds(self.spark) as keep:
             new = keep(pages.hashes(pending, self.root, tools.hashes).withColumn("computed_at", F.current_timestamp()))
-        self.store.commit({"page_hash": stored.unionByName(new.select(*stored.columns))})
+        change = self.store.change()
+        change.append("page_hash", new.select(*stored.columns))
+        change.commit()
         row = new.agg(F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("pages")).first()
         return row["documents"], row["pages"]
 
@@ -88,15 +98,44 @@ class Cabinet:
         found = duplicates.pending(self.store.read("dupe_review"))
         return found.limit(limit) if limit else found
 
-    def ocr(self, tools: Tools, connect=None, ladder: tuple[str, ...] = reading.LADDER, least: float = reading.MIN_CONFIDENCE, limit: int | None = None, top: tuple[str, ...] = ()) -> dict[str, int]:
-        """I3-I7. Walk the ladder over every page of live documents that is neither done nor spent; counters of this run."""
-        documents, occurrences, stored = self.store.read("document"), self.store.read("occurrence"), self.store.read("page_ocr")
+    def ocr(self, tools: Tools, connect=None, ladder: tuple[str, ...] = reading.LADDER, least: float = reading.MIN_CONFIDENCE, limit: int | None = None, top: tuple[str, ...] = (), unit: int = UNIT) -> dict[str, int]:
+        """I2-I7. Walk the ladder over every page of live documents that is neither done nor spent; counters of this run.
+
+        The documents are dealt into units of about ``unit``.  Each is committed as it ends,
+        and then marked as done with its counters, so a run that breaks off loses no page
+        of a unit that was done.  The same call, over the same documents, takes the run up
+        where it broke off: units that are marked are not read again, and count.
+        """
+        documents, occurrences = self.store.read("document"), self.store.read("occurrence")
         if tools.layers is None:
             return {"documents": 0, "skipped": documents.count()}
         live = occurrences.filter(F.col("missing_since").isNull())
         paths = documents.select("document_id").join(duplicates.first_path_min(live), "document_id")
         paths = paths.orderBy("document_id").limit(limit) if limit else paths
+        with rounds(self.spark) as keep:
+            paths = keep(paths)
+            own = F.xxhash64("document_id", "rel_path").cast("decimal(38,0)")
+            n, print_ = paths.agg(F.count(F.lit(1)), F.coalesce(F.sum(own), F.lit(0)).cast("string")).first()
+            units = max(1, -(-n // unit))
+            named = hashlib.sha256(json.dumps([ladder, least, limit, top, units, print_]).encode()).hexdigest()[:16]
+            folder, total = f"{self.store.path}/reading/{named}", Counter()
+            done = {x for x in self.store.files.names(folder) if x.endswith(".json")}
+            for k in range(units):
+                mark = f"{folder}/{k}.json"
+                if f"{k}.json" in done:
+                    total.update(json.loads(self.store.files.read(mark)))
+                    continue
+                mine = paths.filter(F.pmod(F.xxhash64("document_id"), F.lit(units)) == k) if units > 1 else paths
+                counts = self._read_unit(mine, live, tools, connect, ladder, least, top)
+                self.store.files.write(mark, json.dumps(counts))
+                total.update(counts)
+            self.store.files.delete(folder)
+            return dict(total)
+
+    def _read_unit(self, paths: DataFrame, live: DataFrame, tools: Tools, connect, ladder: tuple[str, ...], least: float, top: tuple[str, ...]) -> dict[str, int]:
+        """Read some documents (document_id, rel_path) and commit what was read; the counters."""
         stamp = datetime.now(timezone.utc)
+        _, stored = self.store.change().hold("page_ocr", paths, ["document_id"])
         with rounds(self.spark) as keep:
             read = keep(pages.layers(paths, self.root, tools.layers))
             known = stored.select("document_id", "page_number", *[F.col(c).alias(f"old_{c}") for c in ("confidence", "rung", "status", "note")])
@@ -120,19 +159,25 @@ class Cabinet:
             new = rows.select("document_id", "page_number", *[F.col(f"out.{c}").alias(c) for c in ("text", "confidence", "rung", "ocr_source", "status", "note")], F.lit(stamp).alias("updated_at"))
             seen = read.agg(F.count_distinct(F.when(F.col("page_number").isNotNull(), F.col("document_id"))).alias("documents"), F.count_if(F.col("page_number").isNull()).alias("errors")).first().asDict()
             new = keep(reading.keep_earlier(new, stored))
-        self._read(reading.upsert_pages(stored, new), new.select("document_id").distinct())
-        return reading.summary(new).first().asDict() | seen
+            self._read(new)
+            return reading.summary(new).first().asDict() | seen
 
-    def _read(self, page_ocr: DataFrame, touched: DataFrame) -> None:
-        """Commit pages, the texts rolled up of the touched documents, and the index of those that changed."""
-        docs = self.store.read("document")
-        rolled = reading.roll_up(page_ocr.join(touched, "document_id", "left_semi")).select("document_id", F.col("ocr_text").alias("t__"), F.col("ocr_source").alias("s__"), F.lit(True).alias("hit__"))
+    def _read(self, new: DataFrame) -> None:
+        """Commit pages that were read, the texts rolled up of their documents, and the index of those that changed; files of others stay."""
+        change = self.store.change()
+        new = change.keep(new)
+        touched = change.keep(new.select("document_id").distinct())
+        held, pages = change.hold("page_ocr", touched, ["document_id"])
+        rolled = reading.roll_up(reading.upsert_pages(pages, new)).select("document_id", F.col("ocr_text").alias("t__"), F.col("ocr_source").alias("s__"), F.lit(True).alias("hit__"))
+        files, docs = change.hold("document", touched, ["document_id"])
         joined = docs.join(rolled, "document_id", "left")
         joined = joined.withColumns({"ocr_text": F.when(F.col("hit__"), F.col("t__")).otherwise(F.col("ocr_text")), "ocr_source": F.when(F.col("hit__"), F.col("s__")).otherwise(F.col("ocr_source"))})
         joined = joined.withColumn("updated_at", F.when(F.col("hit__"), F.current_timestamp()).otherwise(F.col("updated_at")))
-        self.store.commit({"page_ocr": page_ocr, "document": joined.select(*docs.columns)})
-        posts, lens = search.update(docs, self.store.read("document"), self.store.read("posting"), self.store.read("doc_length"))
-        self.store.commit({"posting": posts, "doc_length": lens})
+        joined = change.keep(joined.select(*docs.columns))
+        index.update(change, docs, joined)
+        change.merge("page_ocr", ["document_id", "page_number"], new.select(*pages.columns), held=held)
+        change.merge("document", ["document_id"], joined, held=files)
+        change.commit()
 
     def submit(self, document_id: int, rung: str, body: str, page: int | None = None) -> dict:
         """I7, I8, S12. An agent's text: of a page at vision, or of a document at drive, which lands on its lowest waiting page."""
@@ -142,11 +187,10 @@ class Cabinet:
         empty = rung == "drive" and page is None and not body.strip()
         if not empty and (why := reading.submit_error(row.page_count, page, rung, body)) is not None:
             raise ValueError(why)
-        stored, stamp = self.store.read("page_ocr"), datetime.now(timezone.utc)
-        touched = self.spark.createDataFrame([(document_id,)], "document_id long")
+        stamp = datetime.now(timezone.utc)
+        _, stored = self.store.change().hold("page_ocr", self.spark.createDataFrame([(document_id,)], "document_id long"), ["document_id"])
         if rung == "vision":
-            new = self.spark.createDataFrame([(document_id, page, body, 1.0, rung, rung, "ok", None, stamp)], stored.schema)
-            self._read(reading.upsert_pages(stored, new), touched)
+            self._read(self.spark.createDataFrame([(document_id, page, body, 1.0, rung, rung, "ok", None, stamp)], stored.schema))
             return {"document_id": document_id, "page": page, "chars": len(body)}
         waiting = stored.filter((F.col("document_id") == document_id) & F.col("status").isin("pending_drive", "pending_vision"))
         n = waiting.count()
@@ -155,24 +199,30 @@ class Cabinet:
             out = reading.drive_result(F.lit(body), F.lit(None), first)
             new = waiting.withColumn("out", out).select("document_id", "page_number", *[F.col(f"out.{c}").alias(c) for c in ("text", "confidence", "rung", "ocr_source", "status", "note")], F.lit(stamp).alias("updated_at"))
             with rounds(self.spark) as keep:
-                new = keep(reading.keep_earlier(new, stored))
-            self._read(reading.upsert_pages(stored, new), touched)
+                self._read(keep(reading.keep_earlier(new, stored)))
         return {"document_id": document_id, "pages_marked": n, "empty": empty, "chars": len(body)}
 
     def find(self, query: str, limit: int = search.DEFAULT_LIMIT) -> DataFrame:
         """J7, W5. The best documents from the stored index, with what is shown of each."""
-        docs = self.store.read("document")
-        found = search.find(query, self.store.read("posting"), self.store.read("doc_length"), limit)
-        words = sorted({w for leaf in search.leaves(search.parse(search.escape(query))) for p in (leaf.parts or (leaf,)) for w in p.words})
+        state = self.store.state()
+        docs, rows, lens = (self.store.read(t, state) for t in ("document", "posting", "doc_length"))
+        tree = search.parse(search.escape(query))
+        if limit and index.of_words(tree):
+            found = index.best(query, rows, lens, limit, index.totals(self.store.entries("doc_length", state))).rows
+        else:
+            found = search.find(query, index.flat(rows, lens), lens, limit)
+        words = sorted({w for leaf in search.leaves(tree) for p in (leaf.parts or (leaf,)) for w in p.words})
         shown = docs.join(F.broadcast(found.select("document_id")), "document_id", "left_semi") if limit and limit <= 10_000 else docs
         shown = shown.select("document_id", "sha256", "mime", "page_count", (search.snippet(F.col("ocr_text"), words) if words else F.lit("")).alias("snippet"))
-        return search.hits(found, shown, self.store.read("occurrence"))
+        return search.hits(found, shown, self.store.read("occurrence", state))
 
     def classify(self, document_id: int, **verdict) -> None:
-        stored = self.store.read("classification")
-        row = {f.name: None for f in stored.schema} | verdict | {"document_id": document_id, "provenance": "agent"}
-        new = self.spark.createDataFrame([tuple(row[f.name] for f in stored.schema)], stored.schema)
-        self.store.commit({"classification": classify.upsert(stored, new, F.current_timestamp())})
+        schema, change = self.store.schema("classification"), self.store.change()
+        row = {f.name: None for f in schema} | verdict | {"document_id": document_id, "provenance": "agent"}
+        new = self.spark.createDataFrame([tuple(row[f.name] for f in schema)], schema)
+        held, stored = change.hold("classification", new, ["document_id"])
+        change.merge("classification", ["document_id"], change.keep(classify.upsert(stored, new, F.current_timestamp())), held=held)
+        change.commit()
 
     def propose(self, taxonomy: Taxonomy, template: str = plan.DEFAULT_TEMPLATE, current_year: int | None = None) -> DataFrame:
         """Entries of a plan: every live document with its verdict, name and status."""
@@ -217,21 +267,29 @@ class Cabinet:
             rows.append((o.document_id, o.from_path, o.to_path, stat.st_mtime, stat.st_size, fields is not None, *[(fields or {}).get(c) for c in ("doc_date", "party", "doc_type", "detail")]))
         kinds = "document_id long, from_path string, to_path string, new_mtime double, new_size long, told boolean, doc_date string, party string, doc_type string, detail string"
         landed = self.spark.createDataFrame(rows, kinds)
-        occurrences, documents = self.store.read("occurrence"), self.store.read("document")
-        taken = occurrences.select(F.col("rel_path").alias("to_path"))
-        go = landed.join(taken, "to_path", "left_anti").select(F.col("document_id").alias("d__"), "from_path", "to_path", "new_mtime", "new_size")
-        joined = occurrences.join(go, (F.col("document_id") == F.col("d__")) & (F.col("rel_path") == F.col("from_path")), "left")
+        change = self.store.change()
+        _, taken = change.hold("occurrence", landed.select(F.col("to_path").alias("rel_path")), ["rel_path"])
+        held, occurrences = change.hold("occurrence", landed.select(F.col("from_path").alias("rel_path")), ["rel_path"])
+        files, documents = change.hold("document", landed, ["document_id"])
+        go = landed.join(taken.select(F.col("rel_path").alias("to_path")), "to_path", "left_anti").select(F.col("document_id").alias("d__"), "from_path", "to_path", "new_mtime", "new_size")
+        joined = occurrences.join(go, (F.col("document_id") == F.col("d__")) & (F.col("rel_path") == F.col("from_path")))
         at = {"rel_path": "to_path", "mtime": "new_mtime", "size_bytes": "new_size"}
-        occurrences = joined.select(*[F.coalesce(at[c], c).alias(c) if c in at else F.col(c) for c in occurrences.columns])
+        gone = change.keep(joined.select("rel_path"))
+        moved_ = change.keep(joined.select(*[F.col(at.get(c, c)).alias(c) for c in occurrences.columns]))
         told = landed.filter("told").select(F.col("document_id").alias("d__"), "told", *[text.clean_field(F.col(c)).alias(f"new_{c}") for c in ("party", "doc_type", "detail")], text.iso_gate(F.col("doc_date")).alias("new_doc_date"))
         joined = documents.join(told, F.col("document_id") == F.col("d__"), "left")
         new = {c: F.when(F.col("told"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in ("doc_date", "party", "doc_type", "detail")} | {"updated_at": F.when(F.col("told"), F.current_timestamp()).otherwise(F.col("updated_at"))}
-        documents = joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns])
-        self.store.commit({"occurrence": occurrences, "document": documents, "move_log": self.spark.createDataFrame(moves.Log(log).rows(), TABLES["move_log"])})
+        documents = change.keep(joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in documents.columns]))
+        change.merge("occurrence", ["rel_path"], moved_, gone, held)
+        change.merge("document", ["document_id"], documents, held=files)
+        change.replace("move_log", self.spark.createDataFrame(moves.Log(log).rows(), TABLES["move_log"]))
+        change.commit()
 
     def snapshot(self, folder: str) -> dict:
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        return {"snapshot": self.store.snapshot(folder, now), "rotated": rotate(folder, now)}
+        made = {"snapshot": self.store.snapshot(folder, now), "rotated": rotate(folder, now, self.spark)}
+        self.store.clean()
+        return made
 
     def restore(self, snapshot: str, dry_run: bool = False) -> dict[str, int]:
         return self.store.restore(snapshot, dry_run)

@@ -25,11 +25,12 @@ def classify(listing: DataFrame, occurrences: DataFrame) -> DataFrame:
     return joined.withColumn("state", state).select(*listing.columns, "state")
 
 
-def merge_documents(documents: DataFrame, hashed: DataFrame, now: Column) -> DataFrame:
+def merge_documents(documents: DataFrame, hashed: DataFrame, now: Column, top: int | None = None) -> DataFrame:
     """K1. Documents by content: a stored row keeps what it knows and fills what it lacks.
 
-    New ids follow the largest stored one in order of digest.  ``hashed``: sha256,
-    size_bytes, mime, page_count.
+    New ids follow the largest stored one, or ``top``, in order of digest.  ``hashed``:
+    sha256, size_bytes, mime, page_count.  Rows depend on the stored ones of their digest
+    only, so with ``top`` those of the digests in ``hashed`` are all that is needed.
     """
     found = hashed.groupBy("sha256").agg(F.max("size_bytes").alias("size_bytes"), F.min("mime").alias("mime"), F.min("page_count").alias("page_count"))
     o, n = documents.alias("o"), found.alias("n")
@@ -44,7 +45,8 @@ def merge_documents(documents: DataFrame, hashed: DataFrame, now: Column) -> Dat
         F.coalesce("o.first_seen_at", now).alias("first_seen_at"),
         F.when(touched, now).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
-    top = documents.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("top")).first()["top"]
+    if top is None:
+        top = documents.agg(F.coalesce(F.max("document_id"), F.lit(0)).alias("top")).first()["top"]
     fresh = numbered(merged.filter("document_id IS NULL"), F.substring("sha256", 1, 3), "sha256", "document_id", top)
     return merged.filter("document_id IS NOT NULL").unionByName(fresh)
 
@@ -59,8 +61,8 @@ def numbered(rows: DataFrame, head: Column, key: str, number: str, top: int) ->
     return joined.withColumn(number, (F.lit(top) + F.col("base__") + F.col("place__")).cast("bigint")).select(*rows.columns)
 
 
-def merge_occurrences(occurrences: DataFrame, seen: DataFrame, scan_id: int, now: Column) -> DataFrame:
-    """K2, K3. Paths after a scan.  ``seen``: rel_path, size_bytes, mtime, state, document_id (null where unchanged), conflict_kind."""
+def merge_occurrences(occurrences: DataFrame, seen: DataFrame, scan_id: int, now: Column, top: int | None = None) -> DataFrame:
+    """K2, K3. Paths after a scan.  ``seen``: rel_path, size_bytes, mtime, state, document_id (null where unchanged), conflict_kind; ``top`` as for documents."""
     o, n = occurrences.alias("o"), seen.alias("n")
     joined = o.join(n, F.col("o.rel_path") == F.col("n.rel_path"), "full_outer")
     here = F.col("n.rel_path").isNotNull()
@@ -78,7 +80,8 @@ def merge_occurrences(occurrences: DataFrame, seen: DataFrame, scan_id: int, now
         F.when(moved, now).otherwise(F.col("o.hashed_at")).alias("hashed_at"),
         F.when(here, F.lit(scan_id).cast("bigint")).otherwise(F.col("o.last_scan_id")).alias("last_scan_id"),
     )
-    top = occurrences.agg(F.coalesce(F.max("occurrence_id"), F.lit(0)).alias("top")).first()["top"]
+    if top is None:
+        top = occurrences.agg(F.coalesce(F.max("occurrence_id"), F.lit(0)).alias("top")).first()["top"]
     fresh = numbered(merged.filter("occurrence_id IS NULL"), F.regexp_extract("rel_path", "(?s)^(.*)/", 1), "rel_path", "occurrence_id", top)
     return merged.filter("occurrence_id IS NOT NULL").unionByName(fresh)
 

@@ -65,13 +65,18 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.summary(states.unionByName(gone))
 
 
-def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored documents, and contents that were found."""
     rows = ad.contents(spark, sf_dir)
     row = lambda df: df.groupBy("sha256").agg(F.min("doc_id").alias("document_id"), F.min(F.octet_length("text")).cast("bigint").alias("size_bytes"))
     null = F.lit(None)
     stored = row(rows.filter("lang = 'en'")).select("document_id", "sha256", "size_bytes", null.cast("string").alias("mime"), F.lit(3).alias("page_count"), _now().alias("first_seen_at"), _now().alias("updated_at"))
     found = row(rows.filter("source <> 'src0'")).select("sha256", "size_bytes", F.lit("text/plain").alias("mime"), F.lit(1).alias("page_count"))
-    return ingest.merge_documents(stored, found, _now()).select("document_id", "sha256", "size_bytes", "mime", "page_count")
+    return stored, found
+
+
+def document_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.merge_documents(*upserted(spark, sf_dir), _now()).select("document_id", "sha256", "size_bytes", "mime", "page_count")
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import search
+from folioscope.operators import index, search
 from folioscope.plans import adapters as ad
 
 
@@ -35,6 +35,14 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "idiot", search.DEFAULT_LIMIT)
 
 
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 of either of two words, from rows of document ranges whose bounds let most ranges be skipped."""
+    docs = ad.doc(spark, sf_dir)
+    lens = search.lengths(docs).withColumn("epoch", F.lit(1).cast("bigint"))
+    rows = index.segment(docs, None, 1, block=64)
+    return index.best("idiot OR stupid", rows, lens, search.DEFAULT_LIMIT).rows.select("document_id", F.round("rank", 6).alias("rank"))
+
+
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir, "all rights reserved")
 
@@ -67,7 +75,7 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(docs, "document_id").select("document_id", search.snippet(F.col("ocr_text"), ["idiot"]).alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (term_postings, corpus_stats, bm25_topk, bm25_phrase, search_and, search_or, search_not, search_prefix, search_near, snippet)}
+QUERIES = {f.__name__: f for f in (term_postings, corpus_stats, bm25_topk, bm25_blockmax, bm25_phrase, search_and, search_or, search_not, search_prefix, search_near, snippet)}
 
 _BASE = f"WITH {ad.DOC}, {ad.TOKENS}, st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"
 
@@ -87,6 +95,7 @@ ORACLES = {
     "term_postings": f"{_BASE}, p AS (SELECT document_id, term, count(*) AS tf, min(pos) AS first FROM tok GROUP BY 1, 2) SELECT term, count(*) AS df, sum(tf)::BIGINT AS n, sum(first)::BIGINT AS firsts FROM p GROUP BY 1",
     "corpus_stats": f"{_BASE} SELECT count(*) AS n, sum(dl)::BIGINT AS tokens, round(avg(dl), 6) AS avgdl FROM dl",
     "bm25_topk": _rank(_ONE.format("idiot"), limit="ORDER BY r.rank, document_id LIMIT 20"),
+    "bm25_blockmax": _rank(_ONE.format("idiot") + " UNION ALL " + _ONE.format("stupid"), limit="ORDER BY r.rank, document_id LIMIT 20"),
     "bm25_phrase": _rank("SELECT a.document_id, 'p' AS leaf, count(*) AS tf FROM tok a JOIN tok b ON a.document_id = b.document_id AND b.pos = a.pos + 1 AND b.term = 'rights' JOIN tok c ON a.document_id = c.document_id AND c.pos = a.pos + 2 AND c.term = 'reserved' WHERE a.term = 'all' GROUP BY 1"),
     "search_and": _rank(_ONE.format("idiot") + " UNION ALL " + _ONE.format("trash"), _HAS.format("idiot") + " AND " + _HAS.format("trash")),
     "search_or": _rank(_ONE.format("idiot") + " UNION ALL " + _ONE.format("stupid")),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import ranged
 from folioscope.functions import phash
 from folioscope.functions import text as tx
-from folioscope.operators import classify, duplicates, ingest, plan, reading, search
+from folioscope.operators import classify, duplicates, index, ingest, plan, reading, search
 from folioscope.plans import adapters as ad
 from folioscope.plans import index_queries, search_queries
+from folioscope.scratch import rounds, shared_dir
 
 
 def _now():
@@ -70,6 +74,39 @@ def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), F.sum(F.element_at("positions", -1)).alias("lasts")).join(F.broadcast(total))  # one row
 
 
+def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``document_upsert`` into a table of key ranges: only rows of the digests that were found are merged, only files that hold one are written anew."""
+    stored, found = index_queries.upserted(spark, sf_dir)
+    folder, layout = f"{shared_dir(spark)}/folioscope/ranges-{uuid.uuid4().hex}", ranged.Layout(("sha256",), ("document_id",), file_rows=2000)
+    schema = stored.schema
+    entries = ranged.write(stored, schema, folder, layout)
+    with rounds(spark) as keep:
+        keys = keep(found)
+        held, _ = ranged.holding(spark, schema, entries, keys, ["sha256"], layout)
+        old = ranged.read(spark, schema, held).join(keys.select("sha256"), "sha256", "left_semi").select(*schema.names)
+        fresh = keep(ingest.merge_documents(old, keys, _now(), ranged.greatest(entries, "document_id")))
+        done = ranged.merge(spark, schema, entries, fresh, None, ["sha256"], folder, layout, held)
+    return ranged.read(spark, schema, done.entries).select("document_id", "sha256", "size_bytes", "mime", "page_count")
+
+
+def posting_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by segments: one of the texts as they were, one of what changed, then both merged; frequencies are sums over rows."""
+    docs = ad.doc(spark, sf_dir)
+    k = F.col("document_id")
+    new = docs.filter(k % 11 > 0).withColumn("ocr_text", F.when(k % 3 == 0, F.concat("ocr_text", F.lit(" added wörd added"))).otherwise(F.col("ocr_text")))
+    old = docs.filter(k % 7 > 0)
+    fresh = search.changed(old, new)
+    dead = old.join(fresh.select("document_id").union(old.select("document_id").join(new.select("document_id"), "document_id", "left_anti")), "document_id", "left_semi")
+    lens = search.lengths(fresh).withColumn("epoch", F.lit(2).cast("bigint"))
+    lens = lens.unionByName(search.lengths(old.join(dead.select("document_id"), "document_id", "left_anti")).withColumn("epoch", F.lit(1).cast("bigint")))
+    both = index.segment(old, None, 1).unionByName(index.segment(fresh, dead, 2))
+    rows = index.merged(both, lens)
+    total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    posts = index.flat(rows, lens).groupBy("term").agg(F.sum("tf").alias("n"), F.sum(F.element_at("positions", -1)).alias("lasts"))
+    counts = rows.groupBy("term").agg(F.sum("n").alias("df"))
+    return counts.join(posts, "term").select("term", "df", "n", "lasts").join(F.broadcast(total))  # one row
+
+
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 with their paths: a top-k, which is the operator."""
     docs, occ = ad.doc(spark, sf_dir), ad.occ(spark, sf_dir).withColumn("missing_since", F.when(F.col("occurrence_id") % 3 == 0, _now()))
@@ -152,7 +189,7 @@ def verdict_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    occurrence_upsert, page_upsert, classification_upsert, plan_rows, postings_delta, search_hits, snippet_marks, summaries_merged, local_read, drive_pages, pending_reviews, pending_hash_first, pair_budget, hamming, paths, verdict_words,
+    occurrence_upsert, page_upsert, classification_upsert, plan_rows, postings_delta, posting_segments, document_ranges, search_hits, snippet_marks, summaries_merged, local_read, drive_pages, pending_reviews, pending_hash_first, pair_budget, hamming, paths, verdict_words,
 )}
 
 _STATED = f"""{ad.SIGHTINGS}, o AS (SELECT rel_path::BIGINT + 1 AS id, rel_path::BIGINT % 10 AS doc, CASE WHEN rel_path::BIGINT % 3 = 0 THEN 'old' END AS kind, * FROM stored WHERE rel_path::BIGINT % 5 > 0), n AS (SELECT * FROM seen WHERE rel_path::BIGINT % 7 > 0),
@@ -172,6 +209,9 @@ ORACLES = {
         SELECT *, CASE WHEN document_id IN (SELECT doc_id FROM labels) THEN 'someone' END AS agent_party, document_id IN (SELECT doc_id FROM labels) AS agent FROM f""",
     "postings_delta": f"""WITH {_NEWDOC}, p AS (SELECT document_id, term, count(*) AS tf, max(pos) AS last FROM tok GROUP BY 1, 2)
         SELECT term, count(*) AS df, sum(tf)::BIGINT AS n, sum(last)::BIGINT AS lasts, (SELECT sum(dl)::BIGINT FROM dl) AS tokens, (SELECT count(*) FROM dl) AS documents FROM p GROUP BY 1""",
+    "posting_segments": f"""WITH {_NEWDOC}, p AS (SELECT document_id, term, count(*) AS tf, max(pos) AS last FROM tok GROUP BY 1, 2)
+        SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS n, sum(last)::BIGINT AS lasts, (SELECT sum(dl)::BIGINT FROM dl) AS tokens, (SELECT count(*) FROM dl) AS documents FROM p GROUP BY 1""",
+    "document_ranges": index_queries.ORACLES["document_upsert"],
     "search_hits": f"""WITH best AS ({search_queries.ORACLES['bm25_topk']}), {ad.OCC}, live AS (SELECT document_id, arg_min(rel_path, occurrence_id) AS rel_path FROM occ WHERE occurrence_id % 3 <> 0 GROUP BY 1)
         SELECT b.document_id, rank, sha256(text) AS sha256, rel_path FROM best b JOIN documents d ON d.doc_id = b.document_id LEFT JOIN live ON live.document_id = b.document_id""",
     "snippet_marks": f"WITH {ad.DOC}, {ad.TOKENS} SELECT DISTINCT document_id, true AS marked, true AS inside, true AS short FROM tok WHERE term = 'idiot'",

@@ -1,16 +1,22 @@
 """Ingest of listings as a stream; an extension of the batch.
 
 Every micro-batch is a scan: its batch id is the monotonic token, so a batch that is
-run again after a failure gives the same state.
+run again after a failure gives the same state.  A batch reads the keys of files that its
+paths and digests may be in, and rewrites those that hold one; a full scan sees every path,
+and writes all occurrences anew.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from folioscope import ranged
 from folioscope.operators import ingest
+from folioscope.scratch import rounds
 from folioscope.store import Store
 
 
@@ -19,18 +25,30 @@ def absorb(store: Store, listing: DataFrame, scan_id: int, full: bool = False) -
 
     full: what the listing lacks is missing.
     """
-    now = F.current_timestamp()
-    documents, occurrences = store.read("document"), store.read("occurrence")
-    listing = listing.dropDuplicates(["rel_path"])
-    states = ingest.classify(listing, occurrences)
-    told = {"mime": "string", "page_count": "int"}
-    fresh = states.filter("state <> 'unchanged'").select("sha256", "size_bytes", *[(F.col(c) if c in states.columns else F.lit(None)).cast(kind).alias(c) for c, kind in told.items()])
-    store.commit({"document": _whole(ingest.merge_documents(documents, fresh, now), documents)})
-    ids = store.read("document").select("sha256", "document_id")
-    seen = states.join(ids, "sha256", "left").withColumn("conflict_kind", ingest.conflict_kind(F.substring_index("rel_path", "/", -1)))
-    merged = ingest.merge_occurrences(occurrences, seen, scan_id, now)
-    store.commit({"occurrence": ingest.sweep(merged, scan_id, now) if full else merged})
-    return states
+    now = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+    change = store.change()
+    with rounds(store.spark) as keep:
+        listing = keep(listing.dropDuplicates(["rel_path"]))
+        paths = None
+        if full:
+            occurrences = change.read("occurrence")
+        else:
+            paths, occurrences = change.hold("occurrence", listing, ["rel_path"])
+        states = keep(ingest.classify(listing, occurrences))
+        told = {"mime": "string", "page_count": "int"}
+        fresh = keep(states.filter("state <> 'unchanged'").select("sha256", "size_bytes", *[(F.col(c) if c in states.columns else F.lit(None)).cast(kind).alias(c) for c, kind in told.items()]))
+        held, documents = change.hold("document", fresh, ["sha256"])
+        merged = ingest.merge_documents(documents, fresh, now, ranged.greatest(change.entries("document"), "document_id"))
+        merged = keep(_whole(merged, documents))
+        change.merge("document", ["sha256"], merged, held=held)
+        seen = states.join(merged.select("sha256", "document_id"), "sha256", "left").withColumn("conflict_kind", ingest.conflict_kind(F.substring_index("rel_path", "/", -1)))
+        landed = ingest.merge_occurrences(occurrences, seen, scan_id, now, ranged.greatest(change.entries("occurrence"), "occurrence_id"))
+        if full:
+            change.replace("occurrence", ingest.sweep(landed, scan_id, now))
+        else:
+            change.merge("occurrence", ["rel_path"], keep(landed), held=paths)
+        change.commit()
+        return keep(states)
 
 
 def _whole(merged: DataFrame, documents: DataFrame) -> DataFrame:
