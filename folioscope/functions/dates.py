@@ -2,8 +2,9 @@
 
 Five classes of dates are read independently, so overlapping hits of different classes
 are all seen; hits that no calendar has are dropped; at one offset the class that is
-declared first wins.  No builtin tells the offsets of all matches, so they come from
-the lengths of the matches and of the text between them.
+declared first wins.  The first date is the leftmost match of all classes as one
+expression, unless no calendar has that.  No builtin tells the offsets of all matches, so
+they come from running sums of the lengths of the matches and of the text between them.
 """
 
 from __future__ import annotations
@@ -53,19 +54,28 @@ def _parts(kind: int, match: Column, order: str, current_year: int) -> Column:
     return iso(full_year(c, current_year), F.when(swap, first).otherwise(second), F.when(swap, second).otherwise(first))
 
 
+def _running(lengths: Column) -> Column:
+    """Sums of an array before each of its elements: within parts of about the root of its size, then over parts, so no long array is grown one by one."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(lengths))).cast("int"), F.lit(1))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / size).cast("int"), F.lit(0))), lambda k: F.slice(lengths, k * size + 1, size))
+    begun = _before(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x)))
+    return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), begun.alias("begun")), lambda p: F.transform(_before(p["part"]), lambda x: x + p["begun"])))
+
+
+def _before(values: Column) -> Column:
+    """The sum of what stands before each element of a short array."""
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["out"], s["sum"]).alias("out")), lambda s: s["out"])
+
+
 def offsets(text: Column, pattern: str) -> Column:
     """T6. Array of (at, match) for all matches of a pattern, by their offsets."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("i"), F.array().cast("array<struct<at:int,match:string>>").alias("out"))
-
-    def step(state: Column, match: Column) -> Column:
-        at = state["end"] + F.length(F.get(gaps, state["i"]))
-        return F.struct(
-            (at + F.length(match)).alias("end"), (state["i"] + 1).alias("i"), F.concat(state["out"], F.array(F.struct(at.alias("at"), match.alias("match")))).alias("out")
-        )
-
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda s: s["out"])).otherwise(start["out"])
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+    steps = F.zip_with(gaps, found, lambda g, m: F.coalesce(g, F.lit(0)) + F.length(m))
+    at = F.zip_with(_running(steps), gaps, lambda before, g: before + F.coalesce(g, F.lit(0)))
+    placed = F.zip_with(at, found, lambda p, m: F.struct(p.cast("int").alias("at"), m.alias("match")))
+    return F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<at:int,match:string>>"))
 
 
 def scan(text: Column, order: str = "dmy", current_year: int = 2026) -> Column:
@@ -90,14 +100,40 @@ def _first(text: Column, kind: int, order: str, current_year: int) -> Column:
     return F.get(F.transform(F.array(F.regexp_extract(text, pattern, 0)), read), F.lit(0))
 
 
+def _last(text: Column, kind: int, order: str, current_year: int) -> Column:
+    """(at, -kind, iso) of the last date of a class, from the end: what follows a match is all that has to be summed."""
+    found = F.regexp_extract_all(text, F.lit(CLASSES[kind]), F.lit(0))
+    gaps = F.split(text, CLASSES[kind], -1)
+    start = F.struct(F.lit(0).alias("after"), F.size(found).alias("i"), F.lit(None).cast("string").alias("iso"))
+
+    def step(state: Column, match: Column) -> Column:
+        after = state["after"] + F.length(F.get(gaps, state["i"])) + F.length(match)
+        seen = state["iso"].isNotNull()
+        return F.struct(F.when(seen, state["after"]).otherwise(after).alias("after"), (state["i"] - 1).alias("i"), F.when(seen, state["iso"]).otherwise(_parts(kind, match, order, current_year)).alias("iso"))
+
+    end = lambda s: F.when(s["iso"].isNotNull(), F.struct((F.length(text) - s["after"]).alias("at"), F.lit(-kind).alias("kind"), s["iso"].alias("iso")))
+    return F.aggregate(F.reverse(found), start, step, end)
+
+
+#: The five classes as one expression: its first match is that of the class whose first match is leftmost, the earlier class at one offset.
+_ANY = "|".join(f"(?:{c})" for c in CLASSES)
+
+
 def extract_date(text: Column, order: str = "dmy", select: str = "first", current_year: int = 2026) -> Column:
     """T10, W3. The first or the last date by position."""
+    kinds = range(len(CLASSES))
     if select != "last":
-        # every class has a year of two digits at least
-        first = F.array_min(F.array_compact(F.array(*[_first(text, kind, order, current_year) for kind in range(len(CLASSES))])))
-        return F.when(text.rlike("[0-9]{2}"), first["iso"])
-    last = F.array_max(F.transform(scan(text, order, current_year), lambda h: F.struct(h["at"], -h["kind"], h["iso"].alias("iso"))))
-    return last["iso"]
+        # every class has a year of two digits at least; only where no calendar has the leftmost match is each class looked at
+        every = F.array_min(F.array_compact(F.array(*[_first(text, kind, order, current_year) for kind in kinds])))["iso"]
+
+        def read(match: Column) -> Column:
+            leftmost = F.lit(None).cast("string")
+            for kind in reversed(kinds):
+                leftmost = F.when(F.regexp_extract(match, CLASSES[kind], 0) == match, _parts(kind, match, order, current_year)).otherwise(leftmost)
+            return F.when(match != "", F.coalesce(leftmost, every))
+
+        return F.when(text.rlike("[0-9]{2}"), F.get(F.transform(F.array(F.regexp_extract(text, _ANY, 0)), read), F.lit(0)))
+    return F.when(text.rlike("[0-9]{2}"), F.array_max(F.array_compact(F.array(*[_last(text, kind, order, current_year) for kind in kinds])))["iso"])
 
 
 def date_for_rule(text: Column, date_regex: str | None = None, select: str | None = None, order: str = "dmy", current_year: int = 2026) -> Column:

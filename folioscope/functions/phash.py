@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Pages of pairs that are compared at once, about.
+_CELLS = 1 << 18
+
 
 def to_long(digest: Column) -> Column:
     """The bits of a hash of 16 hex digits."""
@@ -19,6 +24,45 @@ def hamming_hex(a: Column, b: Column) -> Column:
     return F.when(wide, F.raise_error(F.lit("hashes differ in width")).cast("int")).otherwise(F.bit_count(to_long(a).bitwiseXOR(to_long(b))))
 
 
+def assign(a: pa.Array, b: pa.Array, max_distance: int) -> pa.Array:
+    """T2 for pairs of lists of hashes: pairs of like size side by side, a page of each at a time.
+
+    Distances of a page to all pages of the other list are one xor and one count of bits
+    for all pairs of a slice; pairs that fail leave it.
+    """
+    sizes = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    values = [x.flatten().fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b)]  # of null lists, none
+    starts = [np.cumsum(n) - n for n in sizes]
+    out = np.full(len(a), np.nan)
+    todo = np.flatnonzero((sizes[0] > 0) & (sizes[0] <= sizes[1]))
+    todo = todo[np.lexsort((sizes[0][todo], sizes[1][todo]))]
+    while len(todo):
+        # the last is the longest; as many as fit beside it
+        pairs = todo[-max(1, _CELLS // int(sizes[1][todo[-1]])) :]
+        todo = todo[: -len(pairs)]
+        n, m = sizes[0][pairs], sizes[1][pairs]
+        place = np.arange(int(m.max()))
+        there = place < m[:, None]
+        pages = values[1][np.where(there, starts[1][pairs][:, None] + place, 0)]
+        free, total = there, np.zeros(len(pairs), np.int64)
+        for k in range(int(n.max())):
+            if not len(pairs):
+                break
+            own = values[0][np.where(k < n, starts[0][pairs] + k, 0)]
+            apart = np.where(free, np.bitwise_count(pages ^ own[:, None]), 255).astype(np.uint8)
+            nearest = apart.argmin(axis=1)
+            least = apart[np.arange(len(pairs)), nearest]
+            asks = k < n
+            free[asks, nearest[asks]] = False
+            total += np.where(asks, least, 0)
+            keep = ~asks | (least <= max_distance)
+            done = keep & (n == k + 1)
+            out[pairs[done]] = total[done] / n[done]
+            keep &= ~done
+            pairs, n, pages, free, total = pairs[keep], n[keep], pages[keep], free[keep], total[keep]
+    return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+
 def match_pages(a: Column, b: Column, max_distance: int) -> Column:
     """T2. Mean distance of a greedy page assignment, or null.
 
@@ -27,18 +71,11 @@ def match_pages(a: Column, b: Column, max_distance: int) -> Column:
     do an empty ``a`` and an ``a`` longer than ``b``.
     """
 
-    def take(state: Column, page: Column) -> Column:
-        free = state["free"]
-        best = F.array_min(F.transform(free, lambda h, i: F.struct(F.bit_count(h.bitwiseXOR(page)).cast("int").alias("d"), i.alias("i"))))
-        rest = F.filter(free, lambda _, i: i != best["i"])
-        ok = state["ok"] & best.isNotNull() & (best["d"] <= max_distance)
-        return F.when(ok, F.struct(rest.alias("free"), (state["total"] + best["d"]).alias("total"), F.lit(True).alias("ok"))).otherwise(
-            F.struct(free.alias("free"), state["total"].alias("total"), F.lit(False).alias("ok"))
-        )
-
-    start = F.struct(b.alias("free"), F.lit(0).alias("total"), F.lit(True).alias("ok"))
-    mean = F.aggregate(a, start, take, lambda s: F.when(s["ok"], s["total"].cast("double") / F.size(a)))
-    return F.when((F.size(a) > 0) & (F.size(a) <= F.size(b)), mean)
+    @F.arrow_udf("double")
+    def matched(a: pa.Array, b: pa.Array) -> pa.Array:
+        return assign(a, b, max_distance)
+
+    return matched(a, b)
 
 
 def bands(hash_: Column, max_distance: int, spare: int = 1) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tomllib
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_, or_
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,30 +114,63 @@ def safe_folder(path: str) -> bool:
     return not path.startswith(("/", "\\")) and ":" not in parts[0] and ".." not in parts
 
 
-def matches(rule: Rule, haystack: Column) -> Column:
-    """T4. Whether a rule matches a normalised text."""
-    if not (rule.all or rule.any or rule.regex):
-        return F.lit(False)
-    has = lambda term: haystack.contains(term.casefold())
-    tests = [has(t) for t in rule.all] + [~has(t) for t in rule.none]
-    if rule.any:
-        tests.append(reduce(or_, map(has, rule.any)))
-    if rule.regex:
-        tests.append(haystack.rlike("(?iU)" + rule.regex.replace(r"\Z", r"\z")))
-    return reduce(and_, tests)
+class Literals:
+    """T4. The words of all rules in one automaton, and which rules a text's words leave possible: all of ``all``, one of ``any``, none of ``none``."""
 
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.words: dict[str, int] = {}
+        number = lambda term: self.words.setdefault(term.casefold(), len(self.words))
+        self.rules = [(frozenset(map(number, r.all)), frozenset(map(number, r.any)), frozenset(map(number, r.none))) for r in rules]
+        self.always = {k for w, k in self.words.items() if not w}  # every text has the empty word
+        self.asking: dict[int, list[int]] = {}  # rules by one of the words that each cannot do without
+        self.open: list[int] = []
+        for k, (r, (all_, any_, _)) in enumerate(zip(rules, self.rules, strict=True)):
+            if not (r.all or r.any or r.regex):
+                continue
+            for w in [min(all_)] if all_ else any_:
+                self.asking.setdefault(w, []).append(k)
+            if not all_ and not any_:
+                self.open.append(k)
+        self.automaton = ahocorasick.Automaton()
+        for w, k in self.words.items():
+            if w:
+                self.automaton.add_word(w, k)
+        if len(self.automaton):
+            self.automaton.make_automaton()
 
-def _first(taxonomy: Taxonomy, haystack: Column, value) -> Column:
-    """The value of the first rule that matches; later rules are not evaluated."""
-    out = None
-    for rule in taxonomy.rules:
-        test = matches(rule, haystack)
-        out = F.when(test, value(rule)) if out is None else out.when(test, value(rule))
-    return F.lit(None) if out is None else out
+    def possible(self, text: str) -> list[int]:
+        """Rules whose words allow them, in order."""
+        found = self.always | ({k for _, k in self.automaton.iter(text)} if len(self.automaton) else set())
+        asked = {k for w in found for k in self.asking.get(w, ())}.union(self.open)
+        return [k for k in sorted(asked) if self.rules[k][0] <= found and (not self.rules[k][1] or self.rules[k][1] & found) and not self.rules[k][2] & found]
+
+
+_literals: dict[tuple[Rule, ...], Literals] = {}
+
+
+def _possible(taxonomy: Taxonomy, haystack: Column) -> Column:
+    """Places of the rules whose words a normalised text has: one pass over the text for the words of all rules."""
+    rules = taxonomy.rules
+
+    @F.arrow_udf("array<int>")
+    def possible(texts: pa.Array) -> pa.Array:
+        if rules not in _literals:
+            _literals.clear()
+            _literals[rules] = Literals(rules)
+        own = _literals[rules]
+        return pa.array([None if t is None else own.possible(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return possible(haystack)
 
 
 def match_rule(taxonomy: Taxonomy, body: Column, ascii_only: bool = False) -> Column:
-    """J12, W2. Struct of the first rule that matches: rule_id, party (display name), doc_type, detail, folder, tags; or null."""
+    """J12, W2. Struct of the first rule that matches: rule_id, party (display name), doc_type, detail, folder, tags; or null.
+
+    An automaton tells which rules' words a text has, however many rules there are; the
+    expressions of those that have one are tried on what is left.
+    """
+    if not taxonomy.rules:
+        return F.lit(None)
 
     def value(rule: Rule) -> Column:
         party = taxonomy.parties.get(rule.party, rule.party) if rule.party else None
@@ -145,8 +178,20 @@ def match_rule(taxonomy: Taxonomy, body: Column, ascii_only: bool = False) -> Co
         tags = F.array(*map(F.lit, rule.tags)).cast("array<string>")
         return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in plain.items()], tags.alias("tags"))
 
-    # normalised once, whatever the number of tests
-    return F.get(F.transform(F.array(text.normalize_text(body, ascii_only)), lambda haystack: _first(taxonomy, haystack, value)), F.lit(0))
+    haystack = text.normalize_text(body, ascii_only)
+    found = _possible(taxonomy, haystack)
+    patterns = {k: "(?iU)" + r.regex.replace(r"\Z", r"\z") for k, r in enumerate(taxonomy.rules) if r.regex}
+    if patterns:
+        # normalised once, whatever the number of expressions
+        def fits(k: Column, t: Column) -> Column:
+            test = F.lit(True)
+            for place, pattern in patterns.items():
+                test = F.when(k == place, t.rlike(pattern)).otherwise(test)
+            return test
+
+        found = F.get(F.transform(F.array(F.struct(found.alias("found"), haystack.alias("text"))), lambda x: F.filter(x["found"], lambda k: fits(k, x["text"]))), F.lit(0))
+    values = F.array(*map(value, taxonomy.rules))
+    return F.get(F.transform(F.array(F.get(found, F.lit(0))), lambda k: F.when(k.isNotNull(), F.get(values, k))), F.lit(0))
 
 
 def date_by_rule(taxonomy: Taxonomy, rule_id: Column, body: Column, current_year: int, ascii_only: bool = False) -> Column:

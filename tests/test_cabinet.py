@@ -170,3 +170,39 @@ def test_remote():
     cases = {Failure(403, ["userRateLimitExceeded"]): "drive_quota", Failure(403, ["authError"]): "drive_unauthenticated", Failure(403): "drive_convert_failed", Failure(404): "drive_not_found", Failure(429): "drive_quota", Failure(500): "drive_offline", Failure(400): "drive_convert_failed", OSError(): "drive_offline", KeyError(): "drive_convert_failed", Failure(500, expired=True): "drive_unauthenticated"}
     assert {note_of(e): n for e, n in cases.items()} == {n: n for n in cases.values()}
     assert [passing(e) for e in (Failure(429), Failure(404), OSError(), KeyError(), Failure(503, expired=True))] == [True, False, True, False, False]
+
+
+def test_reading_is_taken_up_where_it_broke_off(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    for k in range(9):
+        (root / f"{k}.pdf").write_text(f"{LETTER} number {k}")
+    box = Cabinet(spark, str(tmp_path / "index"), str(root))
+    own, log = tools(root), str(tmp_path / "read.log")
+    box.migrate()
+    box.ingest(own)
+
+    def layers(path):
+        with open(log, "a") as f:
+            f.write(path.rsplit("/", 1)[-1] + "\n")
+        return own.layers(path)
+
+    calls = []
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost")
+        return real(*args)
+
+    real = box._read_unit
+    box._read_unit = dies
+    with pytest.raises(RuntimeError):
+        box.ocr(own, unit=3)
+    kept = box.store.read("page_ocr").count()
+    assert kept > 0 and box.find("northwind", 20).count() == kept  # what was read is committed and indexed
+    total = box.ocr(Tools(count=own.count, hashes=own.hashes, layers=layers, recognise=own.recognise), unit=3)
+    with open(log) as f:
+        assert len(f.read().split()) == 9 - kept  # units that were done are not read again
+    assert total["documents"] == 9 and total["pages"] == 9 and total["ok"] == 9 and len(calls) <= 4
+    assert box.store.files.names(f"{box.store.path}/reading") == []

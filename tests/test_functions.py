@@ -143,3 +143,30 @@ def test_text(spark):
     rows = spark.createDataFrame(values, "t string, want double").select(tx.confidence_of(F.col("t")).alias("got"), "want").collect()
     assert [r.got for r in rows] == [w for _, w in values]
     assert spark.createDataFrame([(" " * 200_000,)], "t string").select(F.length(tx.strip_trailer(F.col("t"))).alias("n")).first().n == 0
+
+
+def test_match_pages_of_many_sizes(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(12)]
+    near = lambda h: h ^ sum(1 << k for k in rng.sample(range(62), rng.choice([0, 0, 1, 4, 7])))
+    cases = []
+    for _ in range(400):
+        b = [near(rng.choice(base)) for _ in range(rng.choice([1, 2, 3, 9, 40]))]
+        cases.append(([near(rng.choice(b)) for _ in range(rng.randint(0, len(b)))], b))
+    cases += [(None, [1]), ([1], None), ([], []), ([5], [])]
+    rows = spark.createDataFrame(cases, "a array<bigint>, b array<bigint>").repartition(3).select("a", "b", phash.match_pages(F.col("a"), F.col("b"), 6).alias("got")).collect()
+    assert all(r.got == (_match(r.a, r.b, 6) if r.a is not None and r.b is not None else None) for r in rows)
+    assert sum(r.got is not None for r in rows) > 50
+
+
+def test_very_many_dates(spark):
+    day = lambda k: date(1970 + k % 50, 1 + k % 12, 1 + k % 28)
+    said = [day(k).isoformat() if k % 3 else f"{day(k).day} {day(k):%B} {day(k).year}" for k in range(10_000)]
+    body = "; ".join(said) + "; never 31/02/2020"
+    row = spark.createDataFrame([(body,)], "t string").select(dates.scan(F.col("t")).alias("all"), dates.extract_date(F.col("t"), select="last").alias("last"), dates.extract_date(F.concat(F.lit("30/02/2001 "), F.col("t"))).alias("first")).first()
+    places, at = [], 0
+    for s in said:
+        places.append(at)
+        at += len(s) + 2
+    assert sorted((h.at, h.iso) for h in row.all) == [(p, day(k).isoformat()) for k, p in enumerate(places)]
+    assert row.last == day(9_999).isoformat() and row.first == day(0).isoformat()

@@ -1,12 +1,14 @@
 """Operators of the index on small literal tables."""
 
 import random
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope import store
+from folioscope.functions import text as tx
 from folioscope.operators import duplicates, ingest, moves, plan, reading, rules, search, workflow
 from folioscope.sources import listing
 
@@ -220,3 +222,29 @@ def test_workflow(spark):
     assert found == {("a", "c"), ("b", "c"), ("x", "z"), ("y", "z")} | {(f"k{k:02}", "k40") for k in range(40)}
     refs = spark.createDataFrame([("see #12, a#34 &#56 (#78) #1",)], "t string").select(workflow.issue_refs(F.col("t")).alias("r")).first().r
     assert refs == ["12", "78"]
+
+
+def test_rules_by_one_automaton(spark):
+    rng = random.Random(3)
+    words = ["alpha", "alp", "phab", "beta", "b", "rate", "über", "a b", ""] + [f"w{k}" for k in range(20)]
+    made = []
+    for k in range(120):
+        rule = {"id": f"r{k:03}", "priority": rng.randint(0, 3)} | {key: rng.sample(words, rng.randint(1, 2)) for key in ("all", "any", "none") if rng.random() < 0.45}
+        made.append(rule | ({"regex": rng.choice(["w[3-5] b", "^alpha", "beta$"])} if rng.random() < 0.25 else {}))
+    tax = rules.Taxonomy.of({"rule": made})
+    bodies = [" ".join(rng.choices(words, k=rng.randint(0, 6))) for _ in range(300)] + [None, ""]
+
+    def first(body):
+        for r in tax.rules:
+            t = tx_normal[body]
+            has = lambda w: w.casefold() in t
+            if (r.all or r.any or r.regex) and all(map(has, r.all)) and (not r.any or any(map(has, r.any))) and not any(map(has, r.none)) and (not r.regex or re.search(r.regex, t)):
+                return r.id
+        return None
+
+    df = spark.createDataFrame([(b,) for b in bodies], "t string")
+    rows = df.select("t", tx.normalize_text(F.col("t")).alias("n"), rules.match_rule(tax, F.col("t"))["rule_id"].alias("got")).collect()
+    tx_normal = {r.t: r.n for r in rows}
+    assert [(r.t, r.got) for r in rows if r.n is not None and r.got != first(r.t)] == []
+    assert len({r.got for r in rows}) > 10
+    assert df.select(rules.match_rule(rules.Taxonomy(), F.col("t")).alias("got")).distinct().collect()[0].got is None
