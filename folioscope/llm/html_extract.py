@@ -11,6 +11,14 @@ smallest element around all slots that are not dropped by their role.  Only wher
 other slots stands beside an article, an ``article`` or ``main`` that the template has once
 in each page decides, if it holds ``MAIN_SHARE`` of the slots' text.
 
+Pages may name nothing: menus, adverts and footers whose words change from page to page,
+beside a text in a plain element.  Then all of the page is the smallest element around the
+slots, and the classes of elements decide alone: the *focus* is the element that every
+page has once, below the page's own, and that holds ``MAIN_SHARE`` of the text.  It counts
+on pages without an article, with headings that stand directly beside it.  Hosts of
+one page have no classes of their own; they take the focus of all pages, on whatever
+host, that use the same class names and ids.
+
 Pass 2 walks each page with its host's template and extracts the slots that remain:
 those in the main slot, outside menus, headers, footers, side bars, notices, adverts,
 forms and reader comments.  A class or id names such a part only as a whole word, and only of a block
@@ -29,7 +37,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,8 +48,8 @@ from folioscope.llm.url_filter import host_of
 SUPPORT, MIN_PAGES = 0.5, 4
 #: Share of a host's text in slots from which on an article among them is the main slot.
 MAIN_SHARE = 0.5
-#: Rows of the templates that are sent to every executor; more are joined by host.
-BROADCAST_HOSTS = 20_000
+#: Rows and bytes of the templates that are sent to every executor; more are joined by host and by layout.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 4 << 20
 
 # Elements by their role in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,10 +159,22 @@ def _join(pieces: list[tuple[int, str]]) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def extract(page: str, main: str | None, fixed: set[str]) -> str:
-    """Main text of a page under a template: path of the main slot or None, and texts that are the template's own."""
+def _page_level(path: str | None) -> bool:
+    """Whether a main slot is the page itself, or not known."""
+    return path is None or bool(re.fullmatch(r"(?:/html[^/]*)?(?:/body[^/]*)?", path))
+
+
+def extract(page: str, main: str | None, fixed: set[str], focus: str | None = None) -> str:
+    """Main text of a page under a template: path of the main slot or None, texts that are the template's own, and path of the focus or None."""
     _, pieces = parse(page)
     left = [p for p in pieces if not p[2]]
+    if focus is not None and _page_level(main) and not any(p[3] for p in left):
+        above = re.escape(focus.rpartition("/")[0])
+        head = re.compile(rf"{above}/h[1-6](?:\.[^/]*)?(?:/.*)?")
+        under = [p[1] == focus or p[1].startswith(focus + "/") for p in left]
+        if any(p[4].strip() and f"{p[1]} {p[4].strip()}" not in fixed for p, is_under in zip(left, under, strict=True) if is_under):  # it is a slot
+            own = [p for p, is_under in zip(left, under, strict=True) if is_under or head.fullmatch(p[1])]
+            return _join([(p[0], p[4]) for p in _varying(own, fixed)])
     if main is not None:
         inside = [p for p in left if p[1] == main or p[1].startswith(main + "/")]
         if any(p[4].strip() for p in inside):
@@ -171,17 +191,29 @@ def _varying(pieces: list[tuple], fixed: set[str]) -> list[tuple]:
     return found if any(p[4].strip() for p in found) else pieces
 
 
+def layout_of(html: Column) -> Column:
+    """What pages of one layout have in common, on whatever host: the class names and ids they use; a slash, which no host has, comes first."""
+    names = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<[a-z][^<>]*?\s(?:class|id)\s*=\s*["']?([^"'<>]*)"""), F.lit(1))
+    return F.concat(F.lit("/"), F.md5(F.array_join(F.array_sort(F.array_distinct(names)), "\n")))
+
+
 def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(host, main, fixed): path of the host's main slot or null, and its fixed texts, for hosts of two pages or more."""
-    rows = pages.select(host_of(pages[url_col]).alias("host"), F.xxhash64(pages[url_col]).alias("page"), pages[html_col].alias("html"))
+    return _templates(pages, html_col, url_col).filter(~F.col("host").startswith("/")).select("host", "main", "fixed")
+
+
+def _templates(pages: DataFrame, html_col: str, url_col: str) -> DataFrame:
+    """(host, main, fixed, focus) of hosts, and of layouts (with a focus only), of two pages or more."""
+    rows = pages.select(host_of(pages[url_col]).alias("host"), F.xxhash64(pages[url_col]).alias("page"), pages[html_col].alias("html"), layout_of(pages[html_col]).alias("layout"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            hosts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for host, key, page in zip(hosts, keys, batch.column(2), strict=True):
+            hosts, keys, layouts = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            for host, key, page, layout in zip(hosts, keys, batch.column(2), layouts, strict=True):
                 elements, pieces = parse(page.as_py() or "")
                 found = [(path, n, size) for path, (n, size) in elements.items()]
+                plain = list(found)
                 texts: dict[str, int] = {}
                 total = 0
                 for _, path, dropped, article, text in pieces:
@@ -190,10 +222,10 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
                         token = f"{path} " if article else f"{path} {text}"
                         texts[token] = texts.get(token, 0) + 1
                 found += [(t, n, 0) for t, n in texts.items()]
-                found.append(("", 1, total))  # the page itself
-                for token, n, size in found:
-                    for column, value in zip(out, (host, key, token, n, size), strict=True):
-                        column.append(value)
+                for group, tokens_ in ((host, found), (layout, plain)):
+                    for token, n, size in [*tokens_, ("", 1, total)]:  # the last is the page itself
+                        for column, value in zip(out, (group, key, token, n, size), strict=True):
+                            column.append(value)
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "page", "token", "n", "size"])
 
@@ -201,7 +233,7 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
     counted = seen.groupBy("host", "token").agg(vector, F.count(F.lit(1)).alias("pages"), F.sum("n").alias("times"), F.sum("size").alias("size"))
     counted = materialize(counted, "html-tokens")
-    whole = rows.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    whole = rows.select(F.explode(F.array("host", "layout")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     classes = counted.groupBy("host", "vector").agg(F.max("pages").alias("held"))
     valid = classes.join(whole, "host").filter((F.col("held") >= 2) & (F.col("held") >= SUPPORT * F.col("of")))
     # of hosts with few pages, texts on all of them are not dropped but may be outside the main slot
@@ -213,11 +245,14 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     depth = F.size(F.split("token", "/"))
     article = last.rlike(r"^(article|main)(\.|$)")
     best = F.when(once & article, F.struct("size", -depth, F.col("token")))
+    # the shallowest of the elements of most text, of those that hold enough of it
+    below = once & ~last.rlike(r"^(html|body)(\.|$)") & (depth > 1)
+    focus = F.max(F.when(below, F.struct("size", -depth, F.col("token")))).alias("centre")
     own = F.when(F.col("of") >= MIN_PAGES, F.coalesce("valid", F.lit(False))).otherwise(F.col("pages") == F.col("of"))
     fixed = F.when(~element & ~inside & F.col("valid") & (F.col("of") >= MIN_PAGES), F.col("token"))
     varies = F.when(~element & (inside | ~own), F.concat(F.substring_index("token", " ", 1), F.lit("/")))
     whole_text = F.max(F.when(F.col("token") == "", F.col("size"))).alias("text")
-    found = tokens_.groupBy("host").agg(F.max(best).alias("best"), whole_text, F.min(varies).alias("low"), F.max(varies).alias("high"), F.array_sort(F.collect_set(fixed)).alias("fixed"))
+    found = tokens_.groupBy("host").agg(F.max(best).alias("best"), focus, whole_text, F.min(varies).alias("low"), F.max(varies).alias("high"), F.array_sort(F.collect_set(fixed)).alias("fixed"))
     # the common beginning of all paths is that of the least and the greatest
     steps = F.expr("filter(sequence(1, size(split(low, '/')) - 1), k -> substring_index(low, '/', k) = substring_index(high, '/', k))")
     common = F.when(F.col("low").isNotNull(), F.expr("substring_index(low, '/', n)"))
@@ -225,22 +260,27 @@ def template(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     chosen = F.col("best.token")
     beside = ~F.startswith(F.concat("common", F.lit("/")), F.concat(chosen, F.lit("/")))
     main = F.when((F.col("best.size") >= MAIN_SHARE * F.col("text")) & F.coalesce(beside, F.lit(True)), chosen).otherwise(F.col("common"))
-    return found.select("host", main.alias("main"), "fixed")
+    focus = F.when(F.col("centre.size") >= MAIN_SHARE * F.col("text"), F.col("centre.token")).alias("focus")
+    return found.select("host", main.alias("main"), "fixed", focus)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    made = materialize(template(pages, html_col, url_col), "html-templates").select(F.col("host").alias("host__"), "main", "fixed")
-    if made.count() <= BROADCAST_HOSTS and (made.agg(F.sum(F.size("fixed"))).first()[0] or 0) <= BROADCAST_HOSTS:
-        made = F.broadcast(made)
-    rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"))
-    rows = rows.join(made, rows["host"] == F.col("host__"), "left").select("page_id", "url", "html", "main", "fixed")
+    every = materialize(_templates(pages, html_col, url_col), "html-templates")
+    made = every.filter(~F.col("host").startswith("/")).select(F.col("host").alias("host__"), "main", "fixed", "focus")
+    plans = every.filter(F.col("host").startswith("/") & F.col("focus").isNotNull()).select(F.col("host").alias("layout__"), F.col("focus").alias("shared__"))
+    size = every.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("focus") + F.octet_length(F.concat_ws(" ", "fixed"))), F.lit(0))).first()
+    if size[0] <= BROADCAST_HOSTS and size[1] <= BROADCAST_BYTES:
+        made, plans = F.broadcast(made), F.broadcast(plans)
+    rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"), layout_of(pages[html_col]).alias("layout"))
+    rows = rows.join(made, rows["host"] == F.col("host__"), "left").join(plans, F.col("layout") == F.col("layout__"), "left")
+    rows = rows.select("page_id", "url", "html", "main", "fixed", F.coalesce("focus", "shared__").alias("focus"))
     schema = StructType([rows.schema["page_id"], rows.schema["url"]] + StructType.fromDDL("text string, n_chars long").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mains, fixed = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            texts = [extract(h.as_py() or "", m, set(f or ())) for h, m, f in zip(batch.column(2), mains, fixed, strict=True)]
+            mains, fixed, centres = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            texts = [extract(h.as_py() or "", m, set(f or ()), c) for h, m, f, c in zip(batch.column(2), mains, fixed, centres, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)

@@ -108,3 +108,26 @@ def test_parse_takes_any_page():
     for _ in range(4000):
         elements, pieces = html_extract.parse("".join(rng.choices(bits, k=rng.randint(0, 40))))
         assert all(path in elements or not path for _, path, _, _, _ in pieces)
+
+
+def test_pages_that_name_nothing(spark):
+    """Menus, adverts and footers whose words change, in plain elements with plain classes, on hosts of one page and of many."""
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    pages, wanted = [], []
+    for host, n in [("one%d" % k, 1) for k in range(12)] + [("two", 2), ("five", 5), ("ten", 10)]:
+        for _ in range(n):
+            menu = "".join(f"<li><a href='/x'>{words(1)}</a></li>" for _ in range(6))
+            body = [words(rng.randint(8, 60)) for _ in range(rng.randint(2, 9))]
+            pages.append((f"{host}.example", f"<html><body><div class=q1><ul>{menu}</ul></div><div class=q2>{words(7)}</div><div class=q3><h1>{body[0]}</h1>{''.join(f'<p>{b}</p>' for b in body[1:])}</div><div class=q4>{words(9)}</div></body></html>"))
+            wanted.append("\n".join(body))
+    got = texts(spark, pages)
+    assert sum(g == w for g, w in zip(got, wanted, strict=True)) >= 0.9 * len(pages)
+    assert sum(html_extract.extract(h, None, set()) == w for (_, h), w in zip(pages, wanted, strict=True)) == 0
+
+
+def test_headings_beside_the_focus(spark):
+    make = lambda k: f"<body><div class=m>{f'Menu {k} '}</div><h1>Title {k}</h1><div class=c>{f'Long text {k}. ' * 9}</div><div class=f>Foot {k}</div></body>"
+    assert texts(spark, [("a.example", make(k)) for k in range(4)]) == [f"Title {k}\n" + " ".join([f"Long text {k}."] * 9) for k in range(4)]
