@@ -125,6 +125,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _parts(text: str) -> str:
+    """DuckDB's spelling of a row as a leaf's input."""
+    return " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))
+
+
 #: Twins of those queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op4_url_rarest_token": r"""
@@ -161,4 +166,37 @@ asked AS (
 scores AS (SELECT item_id, text, doc_id, k, sum(impact * times)::BIGINT AS score FROM impacts JOIN asked USING (term) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scores WHERE score > 0)
 SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 20""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('s' || source, 'n') AS g, doc_id::VARCHAR AS d,
+    {_parts("text")} AS plain, {_parts("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered
+  FROM documents),
+sums AS (
+  SELECT k, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(d) + 1), lambda i: ord(substr(d, i, 1))::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) AS crc
+  FROM rows),
+hashed AS (SELECT k, doc_id, g, sha256(plain) AS leaf, sha256(CASE WHEN crc % 5 = 0 THEN lowered ELSE plain END) AS claimed FROM rows JOIN sums USING (k)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claimed, k) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+tree AS (
+  SELECT g, 0 AS lvl, pos, leaf AS node, n FROM leaves
+  UNION ALL SELECT g, lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM tree WHERE n > 1 GROUP BY g, lvl, pos // 16, n),
+tops AS (SELECT g, lvl AS height, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (
+  SELECT 0 AS lvl, pos, subroot AS node, n FROM tops
+  UNION ALL SELECT lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM crown WHERE n > 1 GROUP BY lvl, pos // 16, n),
+runs AS (SELECT g, lvl, pos // 16 AS run, list(node ORDER BY pos) AS l FROM tree WHERE n > 1 GROUP BY ALL),
+crown_runs AS (SELECT lvl, pos // 16 AS run, list(node ORDER BY pos) AS l FROM crown WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT k, r.lvl AS step, l[1:(pos >> (4 * r.lvl)) % 16] AS pre, l[(pos >> (4 * r.lvl)) % 16 + 2:] AS post
+  FROM leaves JOIN runs r ON r.g = leaves.g AND r.run = pos >> (4 * (r.lvl + 1))
+  UNION ALL SELECT k, height + r.lvl, l[1:(t.pos >> (4 * r.lvl)) % 16], l[(t.pos >> (4 * r.lvl)) % 16 + 2:]
+  FROM leaves JOIN tops t USING (g) JOIN crown_runs r ON r.run = t.pos >> (4 * (r.lvl + 1))),
+folded AS (
+  SELECT k, 0 AS step, claimed AS node FROM leaves
+  UNION ALL SELECT f.k, f.step + 1, sha256(array_to_string(pre, '') || node || array_to_string(post, '')) FROM folded f JOIN steps s ON s.k = f.k AND s.step = f.step),
+ends AS (SELECT k, arg_max(node, step) AS folded_root FROM folded GROUP BY 1),
+proofs AS (SELECT k, sha256(coalesce(string_agg(array_to_string(pre, '') || array_to_string(post, ''), '' ORDER BY step), '')) AS proof_sha256 FROM leaves LEFT JOIN steps USING (k) GROUP BY 1),
+top AS (SELECT node AS root FROM crown WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN tops USING (g) JOIN ends USING (k) JOIN proofs USING (k), top""",
 }
