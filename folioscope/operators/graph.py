@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.scratch import rounds
+from folioscope.scratch import rounds, size
 
 #: Rows of a round that is held in the plan instead of being written.
 SMALL = 4096
@@ -70,7 +70,7 @@ def contract(keep: Keep, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("into"))
     plain = keep(out.join(into, "node").filter("out = 1 AND into = 1 AND node <> dst").select("node", "dst"))
     rings = edges.select(F.array("src").alias("path")).limit(0)
-    if plain.isEmpty():
+    if not size(plain):
         return edges, rings
     own = plain.select(F.col("node").alias("dst"), F.col("node").alias("next"))
     jumped = _jumped(keep, keep(_runs(plain.join(own, "dst", "left").select("node", "next"))))
@@ -100,7 +100,7 @@ def _core(keep: Keep, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = edges.filter("src <> dst")
         onward = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         held = keep(onward.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "inner"))
-        if held.count() == edges.count():
+        if size(held) == edges.count():
             return held, keep(found)
         edges = held
 
@@ -108,7 +108,7 @@ def _core(keep: Keep, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _grown(keep: Keep, members: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Members and all that steps from the newest of them lead to."""
     newest = members
-    while not newest.isEmpty():
+    while size(newest):
         newest = keep(step(newest).distinct().join(members, members.columns, "left_anti"))
         members = keep(members.unionByName(newest))
     return members
@@ -157,7 +157,7 @@ def simple_cycles(edges: DataFrame) -> DataFrame:
         found = found.unionByName(more).unionByName(rest)
         steps = core.select(F.col("src").alias("node"), F.col("dst").alias("next"), "inner")
         walks = core.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src").alias("seen"), F.concat(F.array("src"), F.col("inner")).alias("path"))
-        while not walks.isEmpty():
+        while size(walks):
             ways = walks.join(steps, "node").filter("next = start OR next > start AND next <> node AND NOT array_contains(seen, next)")
             path = F.concat("path", F.array("node"), "inner")
             grown = keep(ways.select("start", F.col("next").alias("node"), F.array_append("seen", F.col("node")).alias("seen"), path.alias("path")))
@@ -183,7 +183,7 @@ def ends(edges: DataFrame) -> DataFrame:
         while True:
             single = left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("dst")).filter("n = 1").select("node", "dst")
             single = keep(single)
-            if single.isEmpty():
+            if not size(single):
                 break
             steps = single.join(single.select(F.col("node").alias("dst"), F.col("node").alias("next")), "dst", "left").select("node", "next")
             jumped = _jumped(keep, keep(_runs(steps)))
@@ -195,8 +195,8 @@ def ends(edges: DataFrame) -> DataFrame:
             moved = moved.filter("src <> dst").distinct()
             # what had ways into rings only reaches nothing, and nothing comes through it
             left, n = keep(moved), -1
-            while n != left.count():
-                n = left.count()
+            while n != size(left):
+                n = size(left)
                 left = keep(left.join(left.select(F.col("src").alias("dst")).distinct().unionByName(stop.select(F.col("node").alias("dst"))), "dst", "left_semi").select("src", "dst"))
         direct = left.join(stop.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("end"))
         inner = keep(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import index, search
 from folioscope.plans import adapters as ad
+from folioscope.scratch import rounds
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -38,9 +39,11 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 of either of two words, from rows of document ranges whose bounds let most ranges be skipped."""
     docs = ad.doc(spark, sf_dir)
-    lens = search.lengths(docs).withColumn("epoch", F.lit(1).cast("bigint"))
-    rows = index.segment(docs, None, 1, block=64)
-    return index.best("idiot OR stupid", rows, lens, search.DEFAULT_LIMIT).rows.select("document_id", F.round("rank", 6).alias("rank"))
+    with rounds(spark) as keep:  # the index is stored, as it is for the verbs
+        rows = keep(index.segment(docs, None, 1, block=64))
+        lens = keep(search.lengths(docs).withColumn("epoch", F.lit(1).cast("bigint")))
+        found = index.best("idiot OR stupid", rows, lens, search.DEFAULT_LIMIT).rows
+    return found.select("document_id", F.round("rank", 6).alias("rank"))
 
 
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:

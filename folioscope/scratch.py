@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_sizes: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +29,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def size(df: DataFrame) -> int:
+    """Rows of a table: known of one that ``rounds`` holds in the plan, else counted."""
+    return _sizes[df] if df in _sizes else df.count()
+
+
 @contextmanager
 def rounds(spark: SparkSession, small: int = 0):
     """A function that writes a table and reads it back; all but the last table are deleted at the end.
@@ -38,9 +45,11 @@ def rounds(spark: SparkSession, small: int = 0):
 
     def keep(df: DataFrame) -> DataFrame:
         if small:
-            rows = df.limit(small + 1).collect()  # a bounded number
-            if len(rows) <= small:
-                return spark.createDataFrame(rows, df.schema)
+            rows = df.limit(small + 1).toArrow()  # a bounded number
+            if rows.num_rows <= small:
+                out = spark.createDataFrame(rows, df.schema)  # a local relation, whose size the planner knows
+                _sizes[out] = rows.num_rows
+                return out
         made.append(f"{shared_dir(spark)}/folioscope/round-{uuid.uuid4().hex}")
         df.write.parquet(made[-1])
         return spark.read.schema(df.schema).parquet(made[-1])
