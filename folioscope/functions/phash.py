@@ -79,10 +79,11 @@ def match_pages(a: Column, b: Column, max_distance: int) -> Column:
 
 
 def bands(hash_: Column, max_distance: int, spare: int = 1) -> Column:
-    """Array of (band, bits): all choices of ``spare + 1`` of ``max_distance + spare + 1`` disjoint parts of the 64 bits.
+    """Array of 64-bit keys: all choices of ``spare + 1`` of ``max_distance + spare + 1`` disjoint parts of the 64 bits.
 
     Two hashes within the distance agree on ``spare + 1`` parts at least, so on one choice.
     More to spare makes choices wider, which fewer hashes share by chance, and more of them.
+    A key stands for a choice and its bits; two that clash only cost a comparison.
     """
     count = min(max_distance + spare + 1, 64)
     if not 0 <= max_distance < count:
@@ -92,5 +93,5 @@ def bands(hash_: Column, max_distance: int, spare: int = 1) -> Column:
     for k, chosen in enumerate(combinations(range(count), count - max_distance)):
         mask = sum(((1 << (cuts[j + 1] - cuts[j])) - 1) << cuts[j] for j in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        parts.append(F.struct(F.lit(k).alias("band"), hash_.bitwiseAND(F.lit(signed)).alias("bits")))
+        parts.append(F.xxhash64(F.lit(k), hash_.bitwiseAND(F.lit(signed))))
     return F.array(*parts)

@@ -1,9 +1,9 @@
 """Duplicates of documents: exact, near and contained.
 
-As every page of a document must find a partner in the other, its rarest page alone tells
-the candidates.  Hashes within the distance of it share a band, a choice of parts of their
-bits; by the pigeonhole principle none is missed, and the join is an equi-join of distinct
-hashes instead of a nested loop over documents.  The greedy page assignment then decides (T2).
+As every page of a document must find a partner in the other, one page alone, its probe, tells
+the candidates: the page with the fewest others about it.  Hashes within the distance of it
+share a band, a choice of parts of their bits; by the pigeonhole principle none is missed, and
+the join is an equi-join of distinct hashes instead of a nested loop over documents.  The greedy page assignment then decides (T2).
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import phash
 from folioscope.functions.text import normalise_verdict
+from folioscope.scratch import rounds
 
 MAX_DISTANCE = 6
+#: Range of ids that a budget of pairs is first looked for in.
+FIRST_IDS = 16
 REVIEW_KEY = ["kind", "document_a", "document_b"]
 VERDICTS = ("dup", "not_dup")
 LABEL_KINDS = ("exact", "near", "subset")
@@ -39,22 +42,59 @@ def page_arrays(page_hash: DataFrame, algo: str = "phash8") -> DataFrame:
     return rows.groupBy("document_id").agg(F.transform(ordered, lambda x: x["h"]).alias("pages")).withColumn("n_pages", F.size("pages"))
 
 
-def _candidates(arrays: DataFrame, max_distance: int, wanted: Column) -> DataFrame:
-    """(a, b): documents of which b has a page within the distance of a's rarest one.  ``wanted``: a test of a, b, n_a and n_b."""
-    pages = arrays.select("document_id", "n_pages", F.explode(F.array_distinct("pages")).alias("page"))
+def _probes(arrays: DataFrame, max_distance: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with their probe, pages of documents, distinct pages by band).
+
+    The probe is the page whose quarters, of 16 bits, the fewest pages of documents share: blank
+    pages that each were scanned a little differently are rare by value and common by quarters.
+    """
+    told = [c for c in ("sha256",) if c in arrays.columns]
+    pages = arrays.select("document_id", "n_pages", *told, F.explode(F.array_distinct("pages")).alias("page"))
     seen = pages.groupBy("page").agg(F.count(F.lit(1)).alias("seen"))
-    probes = pages.join(seen, "page").groupBy("document_id", "n_pages").agg(F.min(F.struct("seen", "page"))["page"].alias("page"))
+    quarters = [F.xxhash64(F.lit(k), F.shiftrightunsigned("page", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
+    parted = seen.select("page", "seen", F.explode(F.array(*quarters)).alias("part"))
+    shared = parted.groupBy("part").agg(F.sum("seen").alias("load"))
+    loads = parted.join(shared, "part").groupBy("page").agg(F.sum("load").alias("load"))
+    banded = seen.select(F.col("page").alias("q"), F.explode(phash.bands(F.col("page"), max_distance)).alias("band"))
+    probes = pages.join(loads, "page").groupBy("document_id", "n_pages", *told).agg(F.min(F.struct("load", "page"))["page"].alias("page"))
+    return probes, pages, banded
+
+
+def _near_probes(probes: DataFrame, pages: DataFrame, banded: DataFrame, max_distance: int, wanted: Column) -> DataFrame:
+    """(a, b): documents of which b has a page within the distance of a's probe."""
+    told = [c for c in ("sha256",) if c in probes.columns]
     probe = probes.select("page").distinct().select(F.col("page").alias("p"), F.explode(phash.bands(F.col("page"), max_distance)).alias("band"))
-    every = seen.select(F.col("page").alias("q"), F.explode(phash.bands(F.col("page"), max_distance)).alias("band"))
-    near = probe.join(every, "band").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= max_distance).select("p", "q").distinct()
-    a = probes.select(F.col("document_id").alias("a"), F.col("n_pages").alias("n_a"), F.col("page").alias("p"))
-    b = pages.select(F.col("document_id").alias("b"), F.col("n_pages").alias("n_b"), F.col("page").alias("q"))
+    near = probe.join(banded, "band").filter(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= max_distance).select("p", "q").distinct()
+    a = probes.select(F.col("document_id").alias("a"), F.col("n_pages").alias("n_a"), F.col("page").alias("p"), *[F.col(c).alias(f"{c}_a") for c in told])
+    b = pages.select(F.col("document_id").alias("b"), F.col("n_pages").alias("n_b"), F.col("page").alias("q"), *[F.col(c).alias(f"{c}_b") for c in told])
     return a.join(near, "p").join(b, "q").filter(wanted).select("a", "b").distinct()
 
 
+def candidates(arrays: DataFrame, max_distance: int, wanted: Column, max_pairs: int | None = None) -> DataFrame:
+    """(a, b) that may be near or contained.  ``wanted``: a test of a, b, n_a, n_b and, where it is there, sha256_a and sha256_b.
+
+    ``max_pairs`` (W7): the first so many by a and b.  They are made for ranges of a that grow
+    until enough are found, so a small budget does not make the pairs that it leaves out.
+    """
+    probes, pages, banded = _probes(arrays, max_distance)
+    if max_pairs is None:
+        return _near_probes(probes, pages, banded, max_distance, wanted)
+    with rounds(arrays.sparkSession) as keep:
+        probes, banded = keep(probes), keep(banded)
+        ends = probes.agg(F.min("document_id"), F.max("document_id")).first()
+        width = FIRST_IDS
+        while True:
+            upto = None if ends[0] is None else min(ends[0] + width - 1, ends[1])
+            some = _near_probes(probes.filter(F.col("document_id") <= upto), pages, banded, max_distance, wanted)
+            found = keep(budget(some, max_pairs, "a", "b"))
+            if upto in (None, ends[1]) or found.count() == max_pairs:
+                return found
+            width *= 8
+
+
 def _with_pages(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    a = arrays.select(F.col("document_id").alias("a"), F.col("pages").alias("pages_a"), F.col("n_pages").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in arrays.columns if c == "sha256"])
-    b = arrays.select(F.col("document_id").alias("b"), F.col("pages").alias("pages_b"), F.col("n_pages").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in arrays.columns if c == "sha256"])
+    a = arrays.select(F.col("document_id").alias("a"), F.col("pages").alias("pages_a"), F.col("n_pages").alias("n_a"))
+    b = arrays.select(F.col("document_id").alias("b"), F.col("pages").alias("pages_b"), F.col("n_pages").alias("n_b"))
     return pairs.join(a, "a").join(b, "b")
 
 
@@ -64,17 +104,14 @@ def near_matches(arrays: DataFrame, max_distance: int = MAX_DISTANCE, max_pairs:
     The lower id is a.  score: 1 - mean distance / 64.  Documents of one sha256, where
     that column is there, are the exact tier's.  ``max_pairs`` bounds the candidates (W7).
     """
-    rows = _with_pages(_candidates(arrays, max_distance, F.expr("a < b AND n_a = n_b")), arrays)
-    if "sha256" in arrays.columns:
-        rows = rows.filter("sha256_a <> sha256_b")
-    rows = budget(rows, max_pairs, "a", "b")
-    return _scored(rows, max_distance)
+    apart = " AND sha256_a <> sha256_b" if "sha256" in arrays.columns else ""
+    pairs = candidates(arrays, max_distance, F.expr("a < b AND n_a = n_b" + apart), max_pairs)
+    return _scored(_with_pages(pairs, arrays), max_distance)
 
 
 def subset_matches(arrays: DataFrame, max_distance: int = MAX_DISTANCE, max_pairs: int | None = None) -> DataFrame:
     """J9. (document_a, document_b, score): all pages of a pair up with pages of the longer b; score: share of b."""
-    rows = _with_pages(_candidates(arrays, max_distance, F.expr("a <> b AND n_a < n_b")), arrays)
-    rows = budget(rows, max_pairs, "a", "b")
+    rows = _with_pages(candidates(arrays, max_distance, F.expr("a <> b AND n_a < n_b"), max_pairs), arrays)
     mean = phash.match_pages(F.col("pages_a"), F.col("pages_b"), max_distance)
     return rows.filter(mean.isNotNull()).select(F.col("a").alias("document_a"), F.col("b").alias("document_b"), (F.col("n_a") / F.col("n_b")).alias("score"))
 

@@ -40,6 +40,52 @@ def test_budget(spark):
     assert duplicates.truncated(duplicates.near_matches(arrays, 0), 2)
 
 
+def _noisy(rng, hash_, bits):
+    for at in rng.sample(range(64), bits):
+        hash_ ^= 1 << at
+    return hash_
+
+
+def test_documents_that_share_blank_pages_are_no_candidates(spark):
+    """10,000 documents with a blank page, each scanned a little differently, and a page of their own."""
+    rng = random.Random(8)
+    docs = {k: [_noisy(rng, 0, rng.randint(0, 3)), rng.getrandbits(64)] for k in range(10_000)}
+    docs[10_000] = [docs[5][0], _noisy(rng, docs[5][1], 4)]
+    arrays = _pages(spark, docs)
+    assert duplicates.candidates(arrays, 6, F.expr("a < b AND n_a = n_b")).count() < 10_000
+    assert [(r.document_a, r.document_b) for r in duplicates.near_matches(arrays).collect()] == [(5, 10_000)]
+
+
+def test_near_and_subset_against_all_pairs(spark):
+    rng = random.Random(9)
+    forms = [rng.getrandbits(64) for _ in range(6)]
+    docs = {k: [_noisy(rng, rng.choice(forms), rng.randint(0, 4)) for _ in range(rng.randint(1, 4))] for k in range(120)}
+
+    def pairs_up(a, b):
+        free = list(b)
+        for page in a:
+            nearest = min(free, key=lambda other: (page ^ other).bit_count())
+            if (page ^ nearest).bit_count() > 6:
+                return False
+            free.remove(nearest)
+        return True
+
+    wanted = sorted((a, b) for a in docs for b in docs if a < b and len(docs[a]) == len(docs[b]) and pairs_up(docs[a], docs[b]))
+    within = sorted((a, b) for a in docs for b in docs if len(docs[a]) < len(docs[b]) and pairs_up(docs[a], docs[b]))
+    arrays = _pages(spark, docs)
+    assert sorted((r.document_a, r.document_b) for r in duplicates.near_matches(arrays).collect()) == wanted and len(wanted) > 50
+    assert sorted((r.document_a, r.document_b) for r in duplicates.subset_matches(arrays).collect()) == within and len(within) > 50
+
+
+def test_budget_takes_the_first_pairs(spark):
+    arrays = _pages(spark, {3 * k: [k // 40, 1 << 40] for k in range(400)}).withColumn("sha256", (F.col("document_id") % 2).cast("string"))
+    wanted = F.expr("a < b AND n_a = n_b AND sha256_a <> sha256_b")
+    every = sorted((r.a, r.b) for r in duplicates.candidates(arrays, 0, wanted).collect())
+    for most in (1, 100, len(every), len(every) + 5):
+        assert sorted((r.a, r.b) for r in duplicates.candidates(arrays, 0, wanted, most).collect()) == every[:most]
+    assert duplicates.candidates(arrays.limit(0), 0, wanted, 5).count() == 0
+
+
 def test_review_queue_keeps_verdicts_and_is_idempotent(spark):
     kinds = "kind STRING, document_a BIGINT, document_b BIGINT, score DOUBLE, detail STRING, status STRING, created_at TIMESTAMP, resolved_at TIMESTAMP"
     found = spark.createDataFrame([("near", 2, 1, 0.9, "x"), ("subset", 5, 4, 0.5, "y")], "kind string, document_a long, document_b long, score double, detail string")
