@@ -410,7 +410,7 @@ def meet(sent: DataFrame, block_rows: int, least: float) -> DataFrame:
     sizes = every.groupBy("dim", "b").agg(F.count_if(~F.col("guest")).alias("own_n"), F.count_if(F.col("guest")).alias("guest_n"))
     sizes = sizes.select("dim", "b", split("own_n").alias("own"), F.when(F.col("guest_n") > 0, split("guest_n")).otherwise(0).alias("guests"))
     sizes = materialize(few(sizes, 0), "vec-blocks")
-    every = every.join(F.broadcast(sizes), ["dim", "b"])  # a row for each block
+    every = every.join(sizes, ["dim", "b"])  # a row for each block, which may be many: adaptive execution decides
     host = every.filter("NOT guest").withColumn("i", part("own"))
     planted = StructType(host.schema.fields + StructType.fromDDL("labels array<long>, first long").fields)
     host = materialize(host.groupBy("dim", "b", "i").applyInArrow(plant, planted), "vec-trees")
