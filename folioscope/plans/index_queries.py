@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from folioscope import store
 from folioscope.functions import text as tx
 from folioscope.operators import duplicates, export, ingest, reading
 from folioscope.plans import adapters as ad
+from folioscope.scratch import shared_dir
+from folioscope.streaming.sightings import STATES, state_store, track
 
 def _now():
     return F.lit("2026-01-01 00:00:00").cast("timestamp")
@@ -59,6 +64,19 @@ def missing_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.missing(stored, seen)
 
 
+def sighting_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second scan, in which files of size 3 are gone, as a stream after the first one's index; live paths that it lacks time out."""
+    folder = f"{shared_dir(spark)}/folioscope/sightings-{uuid.uuid4().hex}"
+    listing = ad.sightings(spark, sf_dir, False).drop("missing_since").filter("size_bytes < 3").withColumn("scanned_at", F.lit("2024-02-01").cast("timestamp"))
+    listing.write.parquet(f"{folder}/in")
+    stored = ad.sightings(spark, sf_dir, True).withColumn("seen_at", F.lit("2024-01-16").cast("timestamp"))
+    stream = spark.readStream.schema(listing.schema).parquet(f"{folder}/in")
+    with state_store(spark):
+        states = track(stream, timedelta(days=7), stored).writeStream.option("checkpointLocation", f"{folder}/check")
+        states.trigger(availableNow=True).start(f"{folder}/out", "parquet").awaitTermination()
+    return spark.read.schema(STATES).parquet(f"{folder}/out").select("rel_path", "state")
+
+
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = ingest_diff(spark, sf_dir)
     gone = ingest.missing(ad.sightings(spark, sf_dir, True), ad.sightings(spark, sf_dir, False)).select("rel_path", F.lit("missing").alias("state"))
@@ -206,7 +224,7 @@ def export_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    exact_duplicates, exact_summary, first_live_path_min, first_live_path_by_id, pending_hash_docs, conflict_kind, ingest_diff, missing_sweep, ingest_summary,
+    exact_duplicates, exact_summary, first_live_path_min, first_live_path_by_id, pending_hash_docs, conflict_kind, ingest_diff, missing_sweep, sighting_states, ingest_summary,
     document_upsert, review_upsert, label_upsert, hamming_pairs, near_duplicates, near_pairs_all, subset_matches, shared_hash_pairs, page_rollup, ocr_status_hist, coarse_source,
     ocr_resume_index, ocr_walk, keep_earlier_read, confidence_of, strip_trailer, tsv_parse, retention_keep, table_counts, export_rows, export_page_text,
 )}
@@ -232,6 +250,7 @@ ORACLES = {
         CASE WHEN p_size < 15 THEN 'drive_numbered' WHEN p_size < 30 THEN 'drive_conflicted_copy' END AS kind FROM part""",
     "ingest_diff": f"WITH {ad.SIGHTINGS}, {_STATES} SELECT * FROM states",
     "missing_sweep": "SELECT DISTINCT user_id::VARCHAR AS rel_path FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)",
+    "sighting_states": f"WITH {ad.SIGHTINGS}, {_STATES} SELECT states.* FROM states JOIN seen USING (rel_path) WHERE size_bytes < 3 UNION ALL SELECT rel_path, 'missing' FROM stored WHERE missing_since IS NULL AND rel_path NOT IN (SELECT rel_path FROM seen WHERE size_bytes < 3)",
     "ingest_summary": f"""WITH {ad.SIGHTINGS}, {_STATES}, x AS (SELECT state FROM states UNION ALL SELECT 'missing' FROM stored WHERE rel_path NOT IN (SELECT rel_path FROM seen))
         SELECT count_if(state <> 'missing')::BIGINT AS scanned, count_if(state = 'new')::BIGINT AS "new", count_if(state = 'changed')::BIGINT AS changed, count_if(state = 'unchanged')::BIGINT AS unchanged, count_if(state = 'missing')::BIGINT AS missing, 0::BIGINT AS error FROM x""",
     "document_upsert": """WITH c AS (SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS size_bytes, lang, source FROM documents),
