@@ -5,6 +5,8 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
+import xxhash
 from test_identity import passages_by_a_loop
 
 from folioscope.llm import bpe, minhash, mixing, sharding, substring_dedup
@@ -57,6 +59,38 @@ def test_shards_are_shuffled(spark):
     assert abs(np.corrcoef(x[:-1], x[1:])[0, 1]) < 0.06
 
 
+def places_by_a_loop(keys, size, shards, seed):
+    """(key, shard, slot): copies scattered by a chained hash of seed, key and number, then each bucket shuffled in turn."""
+    buckets = max(shards, -(-size // sharding.BUCKET_BYTES), -(-len(keys) // sharding.BUCKET_ROWS))
+    held, copies = collections.defaultdict(list), collections.Counter()
+    for key in sorted(keys):
+        copies[key] += 1
+        h = 42
+        for part in (seed.to_bytes(4, "little"), key, copies[key].to_bytes(8, "little")):
+            h = xxhash.xxh64_intdigest(part, h)
+        held[(h - (1 << 64) if h >> 63 else h) % buckets].append((key, copies[key]))
+    line = []
+    for bucket in range(buckets):
+        order = np.random.Generator(np.random.PCG64([seed, bucket])).permutation(len(held[bucket]))
+        line += [held[bucket][k][0] for k in order]
+    out, slots = [], collections.Counter()
+    for at, key in enumerate(line):
+        shard = at * shards // len(line)
+        out.append((key, shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bucket_rows", [1 << 14, 20])
+def test_shards_against_a_loop(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(15)
+    rows = [(rng.choice([None, k]), rng.choice([None, "", prose(rng, 6)])) for k in range(500)] + [(7, "copy")] * 200
+    found = sharding.place(spark.createDataFrame(rows, "doc_id long, text string"), 9).collect()
+    size = sum(len(t or "") + sharding.RECORD_BYTES for _, t in rows)
+    assert sorted((bytes(r.row), r.shard, r.slot) for r in found) == places_by_a_loop([bytes(r.row) for r in found], size, 9, 23)
+
+
 def test_recall_at_the_threshold(spark):
     """Of all pairs whose weighted similarity reaches the threshold, nearly all are in one class; classes only join what a chain of such pairs joins."""
     rng = random.Random(11)
