@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,32 +22,36 @@ _ASCII = r"\A\p{ASCII}*\z"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-def _normal_form(form: str):
-    def apply(values: pd.Series) -> pd.Series:
-        return values.map(lambda s: s if s is None else unicodedata.normalize(form, s))
+#: Texts that Python holds at once beside those of an Arrow batch.
+_TEXTS = 128
 
-    return F.pandas_udf(apply, "string")
 
+def _mapped(text: Column, f: Callable[[str], str]) -> Column:
+    """A function of each text that is not null, a few texts at a time."""
 
-def _fold(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: s if s is None else s.casefold())
+    @F.arrow_udf("string")
+    def apply(values: pa.Array) -> pa.Array:
+        parts = [pa.array([None if s is None else f(s) for s in values.slice(at, _TEXTS).to_pylist()], pa.string()) for at in range(0, len(values), _TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
+    return apply(text)
 
-def _without_marks(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: s if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition; ASCII, which it leaves alone, stays in the JVM."""
-    return F.when(text.rlike(_ASCII), text).otherwise(_normal_form("NFKC")(F.when(~text.rlike(_ASCII), text)))
+    return F.when(text.rlike(_ASCII), text).otherwise(_mapped(F.when(~text.rlike(_ASCII), text), lambda s: unicodedata.normalize("NFKC", s)))
 
 
 def casefold(text: Column) -> Column:
-    return F.when(text.rlike(_ASCII), F.lower(text)).otherwise(F.pandas_udf(_fold, "string")(F.when(~text.rlike(_ASCII), text)))
+    return F.when(text.rlike(_ASCII), F.lower(text)).otherwise(_mapped(F.when(~text.rlike(_ASCII), text), str.casefold))
 
 
 def fold_marks(text: Column) -> Column:
-    return F.when(text.rlike(_ASCII), text).otherwise(F.pandas_udf(_without_marks, "string")(F.when(~text.rlike(_ASCII), text)))
+    return F.when(text.rlike(_ASCII), text).otherwise(_mapped(F.when(~text.rlike(_ASCII), text), _without_marks))
 
 
 def strip(text: Column) -> Column:

@@ -20,16 +20,22 @@ only those whose bound reaches the k-th best score found are read at all.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import ranged
+from folioscope.functions import text as tx
 from folioscope.operators import search
 from folioscope.scratch import rounds
 from folioscope.store import Change
 
+_SEGMENT = "term string, block bigint, n bigint, max_tf int, min_dl bigint, docs array<struct<document_id:bigint,tf:int,dl:bigint,epoch:bigint,positions:array<int>>>"
 #: Ids of a range of documents.
 BLOCK = 1024
 #: Segments of one size that are merged, and the factor from one size to the next.
@@ -39,16 +45,48 @@ SEEDS, MOST_SEEDS = 8, 4096
 
 
 def segment(new: DataFrame, dead: DataFrame | None, epoch: int, block: int = BLOCK) -> DataFrame:
-    """Rows of a segment: documents (document_id, ocr_text) as they are now, and those whose earlier texts no longer count."""
-    lens = search.lengths(new)
-    now = search.postings(new).join(lens, "document_id")
-    doc = F.struct("document_id", "tf", "dl", F.lit(epoch).cast("bigint").alias("epoch"), "positions")
-    rows = now.select("term", F.expr(f"document_id div {block}").alias("block"), F.lit(1).alias("one"), "tf", "dl", doc.alias("doc"))
+    """Rows of a segment: documents (document_id, ocr_text) as they are now, and those whose earlier texts no longer count.
+
+    Texts meet by ranges of ids, and a range is inverted as a whole: the many more postings are not shuffled.
+    """
+    texts = new.select("document_id", "ocr_text", F.lit(True).alias("now"))
     if dead is not None:
-        was = search.postings(dead).select("term", F.expr(f"document_id div {block}").alias("block"), F.lit(-1).alias("one"))
-        rows = rows.unionByName(was, allowMissingColumns=True)
-    docs = F.sort_array(F.collect_list("doc")).alias("docs")  # collect_list leaves nulls out
-    return rows.groupBy("term", "block").agg(F.sum("one").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("dl").alias("min_dl"), docs)
+        texts = texts.unionByName(dead.select("document_id", "ocr_text", F.lit(False).alias("now")))
+    texts = texts.withColumn("block", F.expr(f"document_id div {block}")).repartition("block").sortWithinPartitions("block", "document_id")
+    words = texts.select("block", F.col("document_id").cast("bigint").alias("document_id"), "now", tx.tokens(F.col("ocr_text")).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one range
+        for batch in batches:
+            at = batch.column("block").to_numpy()
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1), len(at)] if len(at) else []):
+                if held and held[0].column("block")[0].as_py() != at[a]:
+                    yield from inverted(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from inverted(pa.Table.from_batches(held)).to_batches()
+
+    def inverted(table: pa.Table) -> pa.Table:
+        now = table["now"].to_numpy()
+        words = table["words"].combine_chunks()
+        found = search.inverted(words, by_term=True)
+        own = now[found.row]
+        terms = len(found.names)
+        n = np.bincount(found.code, np.where(own, 1, -1), terms).astype(np.int64)
+        row, code, tf = found.row[own], found.code[own], found.tf[own].astype(np.int32)
+        dl = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        fields = {"document_id": table["document_id"].combine_chunks().take(pa.array(row)), "tf": pa.array(tf), "dl": pa.array(dl), "epoch": pa.array(np.full(len(row), epoch, np.int64)), "positions": found.positions.filter(pa.array(own))}
+        ends = np.append(0, np.cumsum(np.bincount(code, minlength=terms)))
+        docs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+        none = np.diff(ends) == 0
+        most, least = np.zeros(terms, np.int32), np.full(terms, np.iinfo(np.int64).max)
+        np.maximum.at(most, code, tf)
+        np.minimum.at(least, code, dl)
+        columns = [found.names, pa.array(np.full(terms, table["block"][0].as_py(), np.int64)), pa.array(n), pa.array(most, mask=none), pa.array(least, mask=none), docs]
+        return pa.Table.from_arrays(columns, ["term", "block", "n", "max_tf", "min_dl", "docs"])
+
+    return words.mapInArrow(run, _SEGMENT)
 
 
 def _exploded(rows: DataFrame) -> DataFrame:

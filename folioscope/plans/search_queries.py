@@ -12,12 +12,12 @@ from folioscope.scratch import rounds
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = ad.doc(spark, sf_dir)
-    return search.postings(docs), search.lengths(docs)
+    return search.looked_up(docs), search.lengths(docs)
 
 
 def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each term: documents, occurrences, and the sum of their first positions."""
-    posts, _ = _index(spark, sf_dir)
+    posts = search.postings(ad.doc(spark, sf_dir))
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), F.sum(F.element_at("positions", 1)).alias("firsts"))
 
 
@@ -38,8 +38,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 of either of two words, from rows of document ranges whose bounds let most ranges be skipped."""
-    docs = ad.doc(spark, sf_dir)
     with rounds(spark) as keep:  # the index is stored, as it is for the verbs
+        docs = keep(ad.doc(spark, sf_dir).select("document_id", "ocr_text"))
         rows = keep(index.segment(docs, None, 1, block=64))
         lens = keep(search.lengths(docs).withColumn("epoch", F.lit(1).cast("bigint")))
         found = index.best("idiot OR stupid", rows, lens, search.DEFAULT_LIMIT).rows

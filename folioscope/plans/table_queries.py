@@ -63,15 +63,20 @@ def plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.plan_rows(docs, occ, stored).select("document_id", "sha256", "rel_path", "agent_party", F.coalesce("agent", F.lit(False)).alias("agent"))
 
 
-def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings after some texts grew, some went and some came: a row for each term."""
-    docs = ad.doc(spark, sf_dir)
+def _edited(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents before and after some texts grew, some went and some came."""
     k = F.col("document_id")
     new = docs.filter(k % 11 > 0).withColumn("ocr_text", F.when(k % 3 == 0, F.concat("ocr_text", F.lit(" added wörd added"))).otherwise(F.col("ocr_text")))
-    old = docs.filter(k % 7 > 0)
-    posts, lens = search.update(old, new, search.postings(old).select("term", "document_id", "tf", "positions"), search.lengths(old))
-    total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), F.sum(F.element_at("positions", -1)).alias("lasts")).join(F.broadcast(total))  # one row
+    return docs.filter(k % 7 > 0), new
+
+
+def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings after some texts grew, some went and some came: a row for each term."""
+    with rounds(spark) as keep:  # what is indexed is stored, as it is for the verbs
+        old, new = _edited(keep(ad.doc(spark, sf_dir).select("document_id", "ocr_text")))
+        posts, lens = search.update(old, new, search.postings(old).select("term", "document_id", "tf", "positions"), search.lengths(old))
+        total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+        return keep(posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), F.sum(F.element_at("positions", -1)).alias("lasts")).join(F.broadcast(total)))  # one row
 
 
 def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,33 +96,32 @@ def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posting_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by segments: one of the texts as they were, one of what changed, then both merged; frequencies are sums over rows."""
-    docs = ad.doc(spark, sf_dir)
-    k = F.col("document_id")
-    new = docs.filter(k % 11 > 0).withColumn("ocr_text", F.when(k % 3 == 0, F.concat("ocr_text", F.lit(" added wörd added"))).otherwise(F.col("ocr_text")))
-    old = docs.filter(k % 7 > 0)
-    fresh = search.changed(old, new)
-    dead = old.join(fresh.select("document_id").union(old.select("document_id").join(new.select("document_id"), "document_id", "left_anti")), "document_id", "left_semi")
-    lens = search.lengths(fresh).withColumn("epoch", F.lit(2).cast("bigint"))
-    lens = lens.unionByName(search.lengths(old.join(dead.select("document_id"), "document_id", "left_anti")).withColumn("epoch", F.lit(1).cast("bigint")))
-    both = index.segment(old, None, 1).unionByName(index.segment(fresh, dead, 2))
-    rows = index.merged(both, lens)
-    total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    posts = index.flat(rows, lens).groupBy("term").agg(F.sum("tf").alias("n"), F.sum(F.element_at("positions", -1)).alias("lasts"))
-    counts = rows.groupBy("term").agg(F.sum("n").alias("df"))
-    return counts.join(posts, "term").select("term", "df", "n", "lasts").join(F.broadcast(total))  # one row
+    with rounds(spark) as keep:  # segments are stored, as they are for the verbs
+        old, new = _edited(keep(ad.doc(spark, sf_dir).select("document_id", "ocr_text")))
+        fresh = keep(search.changed(old, new))
+        gone = keep(fresh.select("document_id").union(old.select("document_id").join(new.select("document_id"), "document_id", "left_anti")))
+        dead = old.join(gone, "document_id", "left_semi")
+        lens = search.lengths(fresh).withColumn("epoch", F.lit(2).cast("bigint"))
+        lens = keep(lens.unionByName(search.lengths(old.join(gone, "document_id", "left_anti")).withColumn("epoch", F.lit(1).cast("bigint"))))
+        both = keep(index.segment(old, None, 1).unionByName(index.segment(fresh, dead, 2)))
+        rows = index.merged(both, lens)  # without dead ones, so rows tell all
+        total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+        per = lambda f: F.aggregate("docs", F.lit(0).cast("bigint"), lambda s, d: s + f(d))
+        found = rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(per(lambda d: d["tf"])).alias("n"), F.sum(per(lambda d: F.element_at(d["positions"], -1))).alias("lasts"))
+        return keep(found.filter("n > 0").join(F.broadcast(total)))  # one row
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 with their paths: a top-k, which is the operator."""
     docs, occ = ad.doc(spark, sf_dir), ad.occ(spark, sf_dir).withColumn("missing_since", F.when(F.col("occurrence_id") % 3 == 0, _now()))
-    found = search.find("idiot", search.postings(docs), search.lengths(docs))
+    found = search.find("idiot", search.looked_up(docs), search.lengths(docs))
     return search.hits(found, docs.select("document_id", "sha256"), occ).select("document_id", F.round("rank", 6).alias("rank"), "sha256", "rel_path")
 
 
 def snippet_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each hit: whether the snippet marks the word, whether it is a piece of the text, and that it has twelve words at most."""
     docs = ad.doc(spark, sf_dir)
-    found = search.find("idiot", search.postings(docs), search.lengths(docs), None)
+    found = search.find("idiot", search.looked_up(docs), search.lengths(docs), None)
     shown = found.join(docs, "document_id").withColumn("s", search.snippet(F.col("ocr_text"), ["idiot"]))
     bare = F.trim(F.regexp_replace(F.col("s"), r"^\.\.\. | \.\.\.$|\[|\]", ""))
     text = F.regexp_replace("ocr_text", r"\[|\]", "")
