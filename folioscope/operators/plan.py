@@ -5,14 +5,15 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import sanitize_component
+from folioscope.functions.text import casefold, sanitize_component
 from folioscope.operators.rules import ConfigError
+from folioscope.scratch import rounds
 
 PLAN_VERSION = 2
 DEFAULT_TEMPLATE = "{doc_date}_{party}_{doc_type}_{detail}"
@@ -111,6 +112,25 @@ def first_pass(planned: DataFrame) -> DataFrame:
     return out.withColumn("final_path", F.when(F.col("status").isin("move", "noop"), moved))
 
 
+def _clashes(planned: DataFrame, keep) -> DataFrame:
+    """(target_key, clash): targets whose claims meet those of another target, under the least of all that hang together.
+
+    Two targets meet where a suffixed path of one is the other or a suffixed path of the other.
+    """
+    own = planned.select("target_key", F.col("target_key").alias("key__"))
+    more = planned.filter("suffixed_path IS NOT NULL").select("target_key", casefold(F.col("suffixed_path")).alias("key__"))
+    met = own.unionByName(more).groupBy("key__").agg(F.min("target_key").alias("a"), F.max("target_key").alias("b"))
+    met = keep(met.filter("a <> b").select("key__"))  # few, of a size that the planner then knows
+    edges = keep(own.unionByName(more).join(met, "key__").select("key__", "target_key").distinct())
+    label = keep(edges.select("target_key", F.col("target_key").alias("clash")).distinct())
+    while True:
+        least = edges.join(label, "target_key").groupBy("key__").agg(F.min("clash").alias("clash"))
+        now = keep(edges.join(least, "key__").groupBy("target_key").agg(F.min("clash").alias("clash")))
+        if not now.join(label, ["target_key", "clash"], "left_anti").limit(1).count():
+            return now
+        label = now
+
+
 def claims(planned: DataFrame) -> DataFrame:
     """H3. status, final_path and claimed_by of every document, in order of id.
 
@@ -126,51 +146,62 @@ def claims(planned: DataFrame) -> DataFrame:
     odd = twice.join(plain, ["folder__", "key__"], "left").filter("n__ > 1 OR there__ OR plain__").select("folder__").distinct()
     kept = [*planned.columns, "status", "final_path", "claimed_by"]
     easy = passed.join(odd, "folder__", "left_anti").select(*kept)
-    return easy.unionByName(fold(planned.withColumn("folder__", F.lower("place")).join(odd, "folder__", "left_semi").drop("folder__")).select(*kept))
+    return easy.unionByName(_folded(planned.withColumn("folder__", F.lower("place")).join(odd, "folder__", "left_semi").withColumnRenamed("folder__", "clash__")).select(*kept))
 
 
 def fold(planned: DataFrame) -> DataFrame:
-    """H3. The exact order of claims: a fold over each folder's documents by id.
+    """H3. The exact order of claims: a fold by id over the documents of each target, and of targets that suffixed paths tie together.
 
-    All targets of a document share its folder, so folders are independent.  Adds
-    status, final_path, claimed_by.  ``on_disk`` and ``suffixed_on_disk`` tell what is there.
+    Adds status, final_path, claimed_by.  ``on_disk`` and ``suffixed_on_disk`` tell what is there.
     """
-    names = [f.name for f in planned.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in planned.schema.fields) + ", folder_key string, status string, final_path string, claimed_by long"
+    with rounds(planned.sparkSession) as keep:
+        planned = keep(planned)
+        tied = planned.join(_clashes(planned, keep), "target_key", "left")
+        return keep(_folded(tied.withColumn("clash__", F.coalesce("clash", "target_key", F.lit(""))).drop("clash")))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _folded(tied: DataFrame) -> DataFrame:
+    """The fold by ``clash__``; a task streams its documents and holds the paths that were taken of one group."""
+    fields = [f for f in tied.schema.fields if f.name != "clash__"]
+    names = [f.name for f in fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", status string, final_path string, claimed_by long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken: dict[str, int] = {}
-        out: list[tuple] = []
-        rows = rows.sort_values("document_id")
-        for row in rows.itertuples(index=False):
-            if not row.name_:
-                out.append(("error", None, None))
-            elif row.target_path == row.rel_path:
-                taken.setdefault(row.target_key, row.document_id)
-                out.append(("noop", row.target_path, None))
-            elif row.target_key in taken:
-                by, path = taken[row.target_key], row.suffixed_path
-                if not isinstance(path, str):
-                    out.append(("collision", None, by))
-                elif path == row.rel_path:
-                    taken.setdefault(path.casefold(), row.document_id)
-                    out.append(("noop", path, by))
-                elif path.casefold() in taken or row.suffixed_on_disk:
-                    out.append(("collision", None, by))
+        group = None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.select(["clash__", "document_id", "name", "rel_path", "target_path", "target_key", "suffixed_path", "on_disk", "suffixed_on_disk"]).to_pylist():
+                if row["clash__"] != group:
+                    taken, group = {}, row["clash__"]
+                id_, key, path = row["document_id"], row["target_key"], row["suffixed_path"]
+                if not row["name"]:
+                    out.append(("error", None, None))
+                elif row["target_path"] == row["rel_path"]:
+                    taken.setdefault(key, id_)
+                    out.append(("noop", row["target_path"], None))
+                elif key in taken:
+                    by = taken[key]
+                    if path is None:
+                        out.append(("collision", None, by))
+                    elif path == row["rel_path"]:
+                        taken.setdefault(path.casefold(), id_)
+                        out.append(("noop", path, by))
+                    elif path.casefold() in taken or row["suffixed_on_disk"]:
+                        out.append(("collision", None, by))
+                    else:
+                        taken.setdefault(path.casefold(), id_)
+                        out.append(("move", path, by))
+                elif row["on_disk"]:
+                    out.append(("collision", None, None))
                 else:
-                    taken.setdefault(path.casefold(), row.document_id)
-                    out.append(("move", path, by))
-            elif row.on_disk:
-                out.append(("collision", None, None))
-            else:
-                taken.setdefault(row.target_key, row.document_id)
-                out.append(("move", row.target_path, None))
-        found = pd.DataFrame(out, columns=["status", "final_path", "claimed_by"], index=rows.index)
-        found["claimed_by"] = found["claimed_by"].astype("Int64")
-        return pd.concat([rows.rename(columns={"name_": "name"}), found], axis=1)[[*names, "folder_key", "status", "final_path", "claimed_by"]]
-
-    keyed = planned.withColumn("folder_key", F.lower("place")).withColumnRenamed("name", "name_")
-    return keyed.groupBy("folder_key").applyInPandas(run, schema).drop("folder_key")
+                    taken.setdefault(key, id_)
+                    out.append(("move", row["target_path"], None))
+            said = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *said], [*names, "status", "final_path", "claimed_by"])
+
+    dealt = tied.repartition("clash__").sortWithinPartitions("clash__", "document_id")
+    return dealt.mapInArrow(run, schema)
 
 
 def summary(entries: DataFrame) -> DataFrame:
