@@ -44,15 +44,17 @@ FAN = 4
 SEEDS, MOST_SEEDS = 8, 4096
 
 
-def segment(new: DataFrame, dead: DataFrame | None, epoch: int, block: int = BLOCK) -> DataFrame:
+def segment(new: DataFrame, dead: DataFrame | None, epoch: int, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """Rows of a segment: documents (document_id, ocr_text) as they are now, and those whose earlier texts no longer count.
 
     Texts meet by ranges of ids, and a range is inverted as a whole: the many more postings are not shuffled.
+    ``parts``: in so many tasks, where what a task writes should not grow with the texts.
     """
     texts = new.select("document_id", "ocr_text", F.lit(True).alias("now"))
     if dead is not None:
         texts = texts.unionByName(dead.select("document_id", "ocr_text", F.lit(False).alias("now")))
-    texts = texts.withColumn("block", F.expr(f"document_id div {block}")).repartition("block").sortWithinPartitions("block", "document_id")
+    texts = texts.withColumn("block", F.expr(f"document_id div {block}"))
+    texts = (texts.repartition(parts, "block") if parts else texts.repartition("block")).sortWithinPartitions("block", "document_id")
     words = texts.select("block", F.col("document_id").cast("bigint").alias("document_id"), "now", tx.tokens(F.col("ocr_text")).alias("words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,19 +78,26 @@ def segment(new: DataFrame, dead: DataFrame | None, epoch: int, block: int = BLO
         n = np.bincount(found.code, np.where(own, 1, -1), terms).astype(np.int64)
         row, code, tf = found.row[own], found.code[own], found.tf[own].astype(np.int32)
         dl = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        fields = {"document_id": table["document_id"].combine_chunks().take(pa.array(row)), "tf": pa.array(tf), "dl": pa.array(dl), "epoch": pa.array(np.full(len(row), epoch, np.int64)), "positions": found.positions.filter(pa.array(own))}
-        ends = np.append(0, np.cumsum(np.bincount(code, minlength=terms)))
-        docs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-        none = np.diff(ends) == 0
-        most, least = np.zeros(terms, np.int32), np.full(terms, np.iinfo(np.int64).max)
-        np.maximum.at(most, code, tf)
-        np.minimum.at(least, code, dl)
-        columns = [found.names, pa.array(np.full(terms, table["block"][0].as_py(), np.int64)), pa.array(n), pa.array(most, mask=none), pa.array(least, mask=none), docs]
-        return pa.Table.from_arrays(columns, ["term", "block", "n", "max_tf", "min_dl", "docs"])
+        posts = {"document_id": table["document_id"].combine_chunks().take(pa.array(row)), "tf": pa.array(tf), "dl": pa.array(dl), "epoch": pa.array(np.full(len(row), epoch, np.int64)), "positions": found.positions.filter(pa.array(own))}
+        return _packed(found.names, table["block"][0].as_py(), n, code, posts)
 
     return words.mapInArrow(run, _SEGMENT)
 
 
+def _packed(names: pa.Array, block: int, n: np.ndarray, code: np.ndarray, posts: dict[str, pa.Array]) -> pa.Table:
+    """Rows of one range: ``posts`` in order of their terms, whose codes are ``code``."""
+    terms = len(names)
+    tf, dl = posts["tf"].to_numpy(), posts["dl"].to_numpy()
+    ends = np.append(0, np.cumsum(np.bincount(code, minlength=terms)))
+    docs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays(list(posts.values()), list(posts)))
+    none = np.diff(ends) == 0
+    most, least = np.zeros(terms, np.int32), np.full(terms, np.iinfo(np.int64).max)
+    np.maximum.at(most, code, tf)
+    np.minimum.at(least, code, dl)
+    columns = [names, pa.array(np.full(terms, block, np.int64)), pa.array(n), pa.array(most, mask=none), pa.array(least, mask=none), docs]
+    return pa.Table.from_arrays(columns, ["term", "block", "n", "max_tf", "min_dl", "docs"])
+
+
 def _exploded(rows: DataFrame) -> DataFrame:
     return rows.select("term", "block", F.inline("docs"))
 
@@ -98,15 +107,37 @@ def flat(rows: DataFrame, lens: DataFrame) -> DataFrame:
     return _exploded(rows).join(lens.select("document_id", "epoch"), ["document_id", "epoch"], "left_semi").select("document_id", "term", "tf", "positions")
 
 
-def merged(rows: DataFrame, lens: DataFrame) -> DataFrame:
-    """One segment of several: dead documents go, counts are added up."""
-    live = _exploded(rows).join(lens.select("document_id", "epoch"), ["document_id", "epoch"], "left_semi")
-    doc = F.struct("document_id", "tf", "dl", "epoch", "positions")
-    docs = live.groupBy("term", "block").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(doc)).alias("docs"))
-    counts = rows.groupBy("term", "block").agg(F.sum("n").alias("n"))
-    none = F.array().cast(rows.schema["docs"].dataType)
-    out = counts.join(docs, ["term", "block"], "left").withColumn("docs", F.coalesce("docs", none))
-    return out.filter((F.col("n") != 0) | (F.size("docs") > 0)).select(*rows.columns)
+def merged(rows: DataFrame, lens: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One segment of several: dead documents go, counts are added up.
+
+    Rows are shuffled once, as they are, and meet by ranges of ids, as texts do; single postings are not shuffled.
+    """
+    each = ("document_id", "tf", "dl", "epoch")
+    parts = rows.select("term", "block", "n", *[F.col(f"docs.{c}").alias(c) for c in each], F.flatten("docs.positions").alias("positions"))
+    now = lens.select(F.expr(f"document_id div {block}").alias("block"), F.col("document_id").cast("bigint").alias("document_id"), F.col("epoch").cast("bigint").alias("epoch"))
+
+    def one(found: pa.Table, live: pa.Table) -> pa.Table:
+        """The rows of one range."""
+        names = found["term"].combine_chunks().dictionary_encode()
+        of = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = found["document_id"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        ids, tf, dl, epoch = (found[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in each)
+        code = np.repeat(of, sizes)
+        known = live.sort_by("document_id")
+        at = np.searchsorted(known["document_id"].to_numpy(), ids)
+        own = np.append(known["document_id"].to_numpy(), -1)[at] == ids
+        own &= np.append(known["epoch"].to_numpy(), -1)[at] == epoch
+        order = np.lexsort((ids, code))
+        order = order[own[order]]
+        n = np.zeros(len(names.dictionary), np.int64)
+        np.add.at(n, of, found["n"].to_numpy())
+        ends = np.append(0, np.cumsum(tf, dtype=np.int64)).astype(np.int32)
+        positions = pa.ListArray.from_arrays(pa.array(ends), found["positions"].combine_chunks().flatten()).take(pa.array(order))
+        posts = {"document_id": pa.array(ids[order]), "tf": pa.array(tf[order]), "dl": pa.array(dl[order]), "epoch": pa.array(epoch[order]), "positions": positions}
+        out = _packed(names.dictionary, found["block"][0].as_py() if len(found) else 0, n, code[order], posts)
+        return out.filter(pa.array((n != 0) | (np.bincount(code[order], minlength=len(n)) > 0)))
+
+    return parts.groupBy("block").cogroup(now.groupBy("block")).applyInArrow(one, _SEGMENT)
 
 
 def _segments(entries: list[dict]) -> dict[str, list[dict]]:
@@ -132,11 +163,11 @@ def update(change: Change, old: DataFrame, new: DataFrame, block: int = BLOCK) -
     change.append("posting", change.keep(segment(fresh, dead, change.number, block)))
     lens = search.lengths(fresh).withColumn("epoch", F.lit(change.number).cast("bigint"))
     change.merge("doc_length", ["document_id"], lens, both.filter("has IS NULL").select("document_id"))
-    tier(change)
+    tier(change, block=block)
     return n
 
 
-def tier(change: Change, fan: int = FAN) -> None:
+def tier(change: Change, fan: int = FAN, block: int = BLOCK) -> None:
     """Merge segments while ``fan`` or more are of one size."""
     while True:
         sizes: dict[int, list[list[dict]]] = {}
@@ -149,7 +180,7 @@ def tier(change: Change, fan: int = FAN) -> None:
         paths = {e["path"] for e in taken}
         rows = ranged.read(change.store.spark, change.store.schema("posting"), taken)
         change.set("posting", [e for e in change.entries("posting") if e["path"] not in paths])
-        change.append("posting", change.keep(merged(rows, change.read("doc_length"))))
+        change.append("posting", change.keep(merged(rows, change.read("doc_length"), block)))
 
 
 def totals(entries: list[dict]) -> tuple[int, float]:

@@ -13,7 +13,7 @@ from folioscope.functions import text as tx
 from folioscope.operators import classify, duplicates, index, ingest, plan, reading, search
 from folioscope.plans import adapters as ad
 from folioscope.plans import index_queries, search_queries
-from folioscope.scratch import rounds, shared_dir
+from folioscope.scratch import buckets, release, rounds, shared_dir
 
 
 def _now():
@@ -97,18 +97,25 @@ def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posting_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by segments: one of the texts as they were, one of what changed, then both merged; frequencies are sums over rows."""
     with rounds(spark) as keep:  # segments are stored, as they are for the verbs
-        old, new = _edited(keep(ad.doc(spark, sf_dir).select("document_id", "ocr_text")))
-        fresh = keep(search.changed(old, new))
-        gone = keep(fresh.select("document_id").union(old.select("document_id").join(new.select("document_id"), "document_id", "left_anti")))
-        dead = old.join(gone, "document_id", "left_semi")
-        lens = search.lengths(fresh).withColumn("epoch", F.lit(2).cast("bigint"))
-        lens = keep(lens.unionByName(search.lengths(old.join(gone, "document_id", "left_anti")).withColumn("epoch", F.lit(1).cast("bigint"))))
-        both = keep(index.segment(old, None, 1).unionByName(index.segment(fresh, dead, 2)))
-        rows = index.merged(both, lens)  # without dead ones, so rows tell all
-        total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-        per = lambda f: F.aggregate("docs", F.lit(0).cast("bigint"), lambda s, d: s + f(d))
-        found = rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(per(lambda d: d["tf"])).alias("n"), F.sum(per(lambda d: F.element_at(d["positions"], -1))).alias("lasts"))
-        return keep(found.filter("n > 0").join(F.broadcast(total)))  # one row
+        docs = keep(ad.doc(spark, sf_dir).select("document_id", "ocr_text"))
+        parts = max(8, docs.count() // (4 * index.BLOCK))  # a task has about four ranges of texts, however many there are
+        with buckets(spark, "block", parts) as add:  # ranges lie together, as they are merged by them
+            old, new = _edited(docs)
+            fresh = keep(search.changed(old, new))
+            gone = keep(fresh.select("document_id").union(old.select("document_id").join(new.select("document_id"), "document_id", "left_anti")))
+            dead = keep(old.join(gone, "document_id", "left_semi"))
+            lens = search.lengths(fresh).withColumn("epoch", F.lit(2).cast("bigint"))
+            lens = keep(lens.unionByName(search.lengths(old).join(gone, "document_id", "left_anti").withColumn("epoch", F.lit(1).cast("bigint"))))
+            add(index.segment(fresh, dead, 2, parts=parts))
+            release(fresh, gone, dead)  # a table goes when nothing reads it any more, as postings take more room than texts
+            for k in range(2):  # every other range, as the texts of one half only are shuffled then
+                both = add(index.segment(old.filter(F.expr(f"document_id div {index.BLOCK} % 2 = {k}")), None, 1, parts=parts))
+            release(docs)
+            rows = index.merged(both, lens)  # without dead ones, so rows tell all
+            total = lens.agg(F.sum("dl").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+            per = lambda f: F.aggregate("docs", F.lit(0).cast("bigint"), lambda s, d: s + f(d))
+            found = rows.groupBy("term").agg(F.sum("n").alias("df"), F.sum(per(lambda d: d["tf"])).alias("n"), F.sum(per(lambda d: F.element_at(d["positions"], -1))).alias("lasts"))
+            return keep(found.filter("n > 0").join(F.broadcast(total)))  # one row
 
 
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
